@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, secrets
+from . import decontaminate, language, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_language_id": language.op3_language_id,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op6_decontaminate": decontaminate.op6_decontaminate,
         "op9_secret_scans": secrets.op9_secret_scans,
     }
