@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, secrets, toxicity
+from . import decontaminate, language, secrets, substring, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_language_id": language.op3_language_id,
         "op8_toxicity": toxicity.op8_toxicity,
+        "op5_substring_dedup": substring.op5_substring_dedup,
         "op6_decontaminate": decontaminate.op6_decontaminate,
         "op9_secret_scans": secrets.op9_secret_scans,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_substring_dedup": substring.SQL,
+    }
