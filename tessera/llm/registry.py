@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, secrets, substring, toxicity
+from . import decontaminate, language, minhash, secrets, substring, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_language_id": language.op3_language_id,
+        "op7_minhash": minhash.op7_minhash,
         "op8_toxicity": toxicity.op8_toxicity,
         "op5_substring_dedup": substring.op5_substring_dedup,
         "op6_decontaminate": decontaminate.op6_decontaminate,
