@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, minhash, secrets, substring, toxicity
+from . import decontaminate, language, minhash, secrets, sentencepiece_fst, substring, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_sentencepiece": sentencepiece_fst.op2_sentencepiece,
         "op3_language_id": language.op3_language_id,
         "op7_minhash": minhash.op7_minhash,
         "op8_toxicity": toxicity.op8_toxicity,
