@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, minhash, secrets, sentencepiece_fst, substring, toxicity
+from . import decontaminate, language, minhash, secrets, sentencepiece_fst, substring, token_ids, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language_id": language.op3_language_id,
         "op7_minhash": minhash.op7_minhash,
         "op8_toxicity": toxicity.op8_toxicity,
+        "op10_token_ids": token_ids.op10_token_ids,
         "op5_substring_dedup": substring.op5_substring_dedup,
         "op6_decontaminate": decontaminate.op6_decontaminate,
         "op9_secret_scans": secrets.op9_secret_scans,
