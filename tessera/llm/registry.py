@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, minhash, secrets, sentencepiece_fst, substring, token_ids, toxicity
+from . import decontaminate, embeddings, language, minhash, secrets, sentencepiece_fst, substring, token_ids, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_embedding_dedup": embeddings.op1_embedding_dedup,
         "op2_sentencepiece": sentencepiece_fst.op2_sentencepiece,
         "op3_language_id": language.op3_language_id,
         "op7_minhash": minhash.op7_minhash,
@@ -24,5 +25,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_embedding_dedup": embeddings.SQL,
         "op5_substring_dedup": substring.SQL,
     }
