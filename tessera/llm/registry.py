@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, language, minhash, secrets, sentencepiece_fst, substring, token_ids, toxicity
+from . import decontaminate, embeddings, language, minhash, quotes, secrets, sentencepiece_fst, substring, token_ids, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_minhash": minhash.op7_minhash,
         "op8_toxicity": toxicity.op8_toxicity,
         "op10_token_ids": token_ids.op10_token_ids,
+        "op4_quotation_linking": quotes.op4_quotation_linking,
         "op5_substring_dedup": substring.op5_substring_dedup,
         "op6_decontaminate": decontaminate.op6_decontaminate,
         "op9_secret_scans": secrets.op9_secret_scans,
