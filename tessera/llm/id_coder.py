@@ -1,6 +1,6 @@
 """Adaptive context-mixing range coder for token ids.
 
-Ids are cut into blocks of BLOCK_IDS; every block starts from a fresh model and carries a CRC-32 of its ids, so
+Ids are cut into blocks of BLOCK_IDS; every block starts from a fresh model and carries a CRC-32 of its ids and words, so
 that any block can be decoded alone. For each id, order 2 predicts the id that last followed the two ids
 before, order 1 the one that last followed the id before, and order 0 gives a distribution over all ids by
 adaptive tables of their nibbles, each in the context of the nibbles above it. The mixture of the three, weighted by how often a prediction of
@@ -234,8 +234,9 @@ def encode_file(doc_ids: np.ndarray, null: np.ndarray, counts: np.ndarray, ids:
         for i, x in enumerate(part):
             grid[i, : len(x)] = x
         for x, w in zip(part, encode_blocks(grid, n, nibbles), strict=True):
-            table.append((len(w), zlib.crc32(x.astype("<u4").tobytes())))
-            payload.append(w.astype("<u4").tobytes())
+            raw = w.astype("<u4").tobytes()
+            table.append((len(w), zlib.crc32(raw, zlib.crc32(x.astype("<u4").tobytes()))))
+            payload.append(raw)
     docs = zlib.compress(doc_ids.astype("<i8").tobytes() + null.astype(np.uint8).tobytes() + counts.astype("<u8").tobytes(), 6)
     blocks = np.array(table, "<u4").reshape(-1, 2).tobytes()
     head = _HEAD.pack(MAGIC, VERSION, nibbles, block_ids, len(doc_ids), len(ids), before, len(docs), zlib.crc32(docs + blocks))
@@ -265,7 +266,7 @@ def decode_file(image: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         got = decode_blocks([np.frombuffer(image, "<u4", table[i, 0], cut[i]) for i in range(a, b)], n, nibbles)
         for i in range(a, b):
             x = got[i - a, : n[i - a]].astype("<u4")
-            if zlib.crc32(x.tobytes()) != table[i, 1]:
+            if zlib.crc32(image[cut[i] : cut[i + 1]], zlib.crc32(x.tobytes())) != table[i, 1]:
                 raise Damaged(f"block {i} differs from its checksum")
             ids[i * block_ids : i * block_ids + len(x)] = x
     return doc_ids, null, counts, ids, before

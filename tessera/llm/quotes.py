@@ -62,7 +62,7 @@ def quoted_passages(messages: DataFrame) -> DataFrame:
 def link(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Per message with quotes: its counts; and links (conv_id, turn) to (parent_conv, parent_turn)."""
     passages = written(quoted_passages(messages), "quoted")
-    refs = written(_hashed(passages, F.col("body")).drop("body"), "quote-refs")
+    refs = written(_hashed(passages.where("conv_id IS NOT NULL AND turn IS NOT NULL"), F.col("body")).drop("body"), "quote-refs")
     wanted = written(refs.select("h1", "h2").distinct(), "wanted")
     own = messages.select("conv_id", "turn", "own").where("conv_id IS NOT NULL AND turn IS NOT NULL")
     said = own.select("conv_id", "turn", F.explode(F.concat(F.array("own"), F.split("own", "\n", -1))).alias("body"))
