@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.counters import sum_wrapping, wrapped
 from ..predicate import Filter, compile_all
+from ..sources.steps import settled
 from ..types import TypeMismatch
 
 
@@ -23,7 +24,7 @@ def with_ids(rows: DataFrame, next_id: int, order: Sequence[Column | str], key:
     """Consecutive ids from next_id in the given order: a range sort and partition offsets, no single-task window."""
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    at = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    at = settled(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
     at = at.withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = at.groupBy("_p").agg(F.count(F.lit(1)).alias("n"))  # one row a partition
     first = sizes.select("_p", (F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("_o"))
