@@ -31,12 +31,32 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str = "step") -> DataFrame:
-    """df as a Parquet table in the shared folder, reread: lineage ends there and lost executors lose nothing."""
+    """df as a Parquet table in the shared folder, reread: lineage ends there and lost executors lose nothing.
+
+    The write's own shuffle files serve nothing afterwards, so Spark is told to remove them when it is done.
+    """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tessera_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete written tables that no later step reads."""
+    for df in frames:
+        at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._tessera_path)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

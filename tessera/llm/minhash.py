@@ -9,7 +9,8 @@ horizon by which all components are likely hit; texts with an unhit component ru
 
 BANDS bands of ROWS components make buckets (a pair at similarity 0.8 shares none with a probability of 3e-6).
 Equal texts become one row first. In each bucket every text is verified against the bucket's least one, on
-exact multiset overlap. What is still unconnected within a bucket of three texts or more is compared in blocks
+exact multiset overlap, then (HUB_ROUNDS times) against the text with most links so far, which the copies of
+one original have in common. What is still unconnected within a bucket of three texts or more is compared in blocks
 inside tasks, pair by pair, where only found links leave the task; so within buckets no link is lost,
 whatever their size, and no list of all pairs is made. Connected components give the classes.
 
@@ -28,9 +29,9 @@ from pyspark.sql import functions as F
 
 from . import _text as X
 from ._components import components
-from ._session import ship, table, written
+from ._session import discard, ship, table, written
 
-SHINGLE, BANDS, ROWS, LEAST, BLOCK_WEIGHT = 5, 24, 4, 0.8, 200_000
+SHINGLE, BANDS, ROWS, LEAST, BLOCK_WEIGHT, HUB_ROUNDS = 5, 24, 4, 0.8, 200_000, 1
 
 
 def bags(w: X.Words, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,13 +151,14 @@ def _verify(least: float):
 
 
 def _compare(least: float):
-    """One block of a bucket: queries (side 0) against targets (side 1); a pair only in its first common band."""
+    """One block of a bucket: texts that ask against targets; a pair once, in its first common band."""
 
     def run(block: pa.Table) -> pa.Table:
-        side, who, part = (block.column(c).to_numpy() for c in ("side", "doc", "part"))
+        who, part, asks, target, query = (block.column(c).to_numpy() for c in ("doc", "part", "asks", "target", "query"))
         band = int(block.column("band")[0].as_py())
         bag = [x.values.to_numpy() for x in block.column("bag")]
-        signs = [x.values.to_numpy() for x in block.column("bands")]
+        size = np.array([len(x) for x in bag])
+        signs = np.stack([x.values.to_numpy() for x in block.column("bands")])
         root = {int(p): int(p) for p in part}
 
         def find(x: int) -> int:
@@ -166,10 +168,14 @@ def _compare(least: float):
             return x
 
         u, v = [], []
-        for i in np.flatnonzero(side == 0):
-            for j in np.flatnonzero(side == 1):
+        targets = np.flatnonzero(target)
+        for i in np.flatnonzero(asks):
+            # Targets of other parts and of a fitting size, that met the query in no earlier band. Two that both ask meet
+            # twice: the one with the larger id compares.
+            near = targets[(part[targets] != part[i]) & (~query[targets] | (who[targets] < who[i])) & (np.minimum(size[targets], size[i]) >= least * np.maximum(size[targets], size[i]))]
+            for j in near[(signs[near] == signs[i]).argmax(1) == band]:
                 a, b = find(int(part[i])), find(int(part[j]))
-                if a != b and int(np.flatnonzero(signs[i] == signs[j])[0]) == band and similar(bag[i], bag[j], least):
+                if a != b and similar(bag[i], bag[j], least):
                     u.append(who[i])
                     v.append(who[j])
                     root[max(a, b)] = min(a, b)
@@ -178,19 +184,37 @@ def _compare(least: float):
     return run
 
 
+def _parts(exploded: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of buckets with the component each text has so far."""
+    told = exploded.join(found.select(F.col("u").alias("doc"), F.col("v").alias("to")), "doc", "left")
+    return told.select("key", "band", "doc", "weight", F.coalesce("to", "doc").alias("part"))
+
+
+def _hub_pairs(exploded: DataFrame, found: DataFrame, links: DataFrame, used: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """In each open bucket, the text with most links so far (not tried there yet) against all that aren't with it; and these texts."""
+    degree = links.select(F.explode(F.array("u", "v")).alias("doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("degree"))
+    told = _parts(exploded, found).join(degree, "doc", "left").join(used.withColumn("tried", F.lit(True)), ["key", "band", "doc"], "left")
+    told = written(told.withColumn("score", F.when(F.col("tried"), None).otherwise(F.coalesce("degree", F.lit(0)))).drop("tried", "degree"), "hub-rows")
+    hubs = told.groupBy("key", "band").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high"), F.max(F.when(F.col("score").isNotNull(), F.struct("score", (-F.col("doc")).alias("id"), "part", "weight"))).alias("hub"))
+    hubs = written(hubs.where("n > 2 AND low < high AND hub IS NOT NULL").select("key", "band", (-F.col("hub.id")).alias("at"), F.col("hub.part").alias("hub_part"), F.col("hub.weight").alias("hub_weight")), "hubs")
+    pairs = told.join(hubs, ["key", "band"]).where("part <> hub_part").where(F.least("weight", "hub_weight") >= least * F.greatest("weight", "hub_weight"))
+    return pairs.select(F.greatest("doc", "at").alias("u"), F.least("doc", "at").alias("v")).distinct(), hubs.select("key", "band", F.col("at").alias("doc"))
+
+
 def _rest(exploded: DataFrame, found: DataFrame, bag_of, least: float, block_weight: int) -> DataFrame:
     """Links between parts of buckets (of three texts or more) that aren't connected yet."""
-    told = exploded.join(found.select(F.col("u").alias("doc"), F.col("v").alias("to")), "doc", "left")
-    told = told.select("key", "band", "doc", "weight", F.coalesce("to", "doc").alias("part"))
+    told = _parts(exploded, found)
     size = told.groupBy("key", "band").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high"), F.min_by("part", "doc").alias("main"), F.sum("weight").alias("mass"))
     open_ = written(size.where("n > 2 AND low < high").select("key", "band", "main", F.ceil(F.col("mass") / block_weight).cast("int").alias("cuts")), "open-buckets")
     rows = written(told.join(open_, ["key", "band"]), "open-rows")
     cut = F.pmod(F.xxhash64("doc"), F.col("cuts")).cast("int")
-    # The main part's texts aren't queries: a pair of the main part and another is compared from the other's side.
-    cuts = F.sequence(F.lit(0), F.col("cuts") - 1)
-    queries = rows.where("part <> main").select("key", "band", "doc", "part", F.lit(0).alias("side"), cut.alias("q"), F.explode(cuts).alias("t"))
-    targets = rows.select("key", "band", "doc", "part", F.lit(1).alias("side"), F.explode(cuts).alias("q"), cut.alias("t"))
-    work = written(queries.unionByName(targets), "blocks")
+    # Block (q, t) compares queries of cut q with targets of cut t. The main part's texts aren't queries: a pair of one
+    # of them and another is compared from the other's side. In block (c, c) a text is sent once for both sides.
+    query, cuts = F.col("part") != F.col("main"), F.sequence(F.lit(0), F.col("cuts") - 1)
+    mine = rows.select("key", "band", "doc", "part", query.alias("query"), cut.alias("c"), F.explode(cuts).alias("x"))
+    asked = mine.where("query").select("key", "band", "doc", "part", "query", F.col("c").alias("q"), F.col("x").alias("t"), (F.col("c") == F.col("x")).alias("target"))
+    held = mine.where("NOT (query AND c = x)").select("key", "band", "doc", "part", "query", F.col("x").alias("q"), F.col("c").alias("t"), F.lit(True).alias("target"))
+    work = written(asked.withColumn("asks", F.lit(True)).unionByName(held.withColumn("asks", F.lit(False))), "blocks")
     return bag_of(work).groupBy("key", "band", "q", "t").applyInArrow(_compare(least), "u long, v long")
 
 
@@ -201,23 +225,42 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, bands: int = BANDS, r
     signed = written(docs.mapInArrow(_sign(bands, rows), "doc_id long, t1 long, t2 long, weight long, bands array<long>"), "signed")
     texts = written(signed.groupBy("t1", "t2").agg(F.min("doc_id").alias("doc")), "texts")
     mine = written(signed.join(texts.select("t1", "t2", F.col("doc").alias("doc_id")), ["t1", "t2", "doc_id"]).dropDuplicates(["t1", "t2"]).select(F.col("doc_id").alias("doc"), "t1", "t2", "weight", "bands"), "mine")
+    discard(signed)
     exploded = mine.select("doc", "weight", F.posexplode("bands").alias("band", "key"))
     low = written(exploded.groupBy("key", "band").agg(F.min(F.struct("doc", "weight")).alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "band", "pivot"), "pivots")
     ratio = F.least("weight", "pivot.weight") >= least * F.greatest("weight", "pivot.weight")
-    in_bucket = exploded.join(low, ["key", "band"])
+    # Used often from here on, so it is shuffled once and written; texts alone in their buckets are out of it.
+    in_bucket = written(exploded.join(low, ["key", "band"]), "crowded")
     pairs = written(in_bucket.where(F.col("doc") != F.col("pivot.doc")).where(ratio).select(F.col("doc").alias("u"), F.col("pivot.doc").alias("v")).distinct(), "pairs")
     # Bags of texts in any bucket of two or more.
     crowd = written(in_bucket.select("doc").distinct(), "crowd")
     wanted = docs.select(F.col("doc_id").alias("doc"), "text", "t1", "t2").join(mine.join(crowd, "doc", "left_semi").select("doc", "t1", "t2").hint("shuffle_hash"), ["doc", "t1", "t2"], "left_semi")
     bag = written(wanted.select("doc", "text").mapInArrow(_bag_rows(), "doc long, bag array<long>").dropDuplicates(["doc"]), "bags")
-    with_u = pairs.join(bag.select(F.col("doc").alias("u"), "bag"), "u")
-    links = written(with_u.join(bag.select(F.col("doc").alias("v"), F.col("bag").alias("bag2")), "v").select("u", "v", "bag", "bag2").mapInArrow(_verify(least), "u long, v long"), "links")
+    def verified(some: DataFrame) -> DataFrame:
+        with_u = some.join(bag.select(F.col("doc").alias("u"), "bag"), "u")
+        both = with_u.join(bag.select(F.col("doc").alias("v"), F.col("bag").alias("bag2")), "v").select("u", "v", "bag", "bag2")
+        return written(both.mapInArrow(_verify(least), "u long, v long"), "links")
+
+    links = verified(pairs)
     found = components(links)
+    crowded = in_bucket.select("key", "band", "doc", "weight")
+    used, tested = low.select("key", "band", F.col("pivot.doc").alias("doc")), pairs
+    for _ in range(HUB_ROUNDS):
+        some, hubs = _hub_pairs(crowded, found, links, used, least)
+        some = written(some.join(tested, ["u", "v"], "left_anti"), "hub-pairs")
+        more = verified(some)
+        if more.isEmpty():
+            break
+        links, used, tested = links.unionByName(more), used.unionByName(hubs), tested.unionByName(some)
+        found = components(found.unionByName(more))
+
+    both = written(bag.join(mine.select("doc", "bands"), "doc"), "bags-and-bands")
+    discard(bag)
 
     def with_bags(work: DataFrame) -> DataFrame:
-        return work.join(bag, "doc").join(mine.select("doc", "bands"), "doc")
+        return work.join(both, "doc")
 
-    more = written(_rest(in_bucket.select("key", "band", "doc", "weight"), found, with_bags, least, block_weight), "more-links")
+    more = written(_rest(crowded, found, with_bags, least, block_weight), "more-links")
     if not more.isEmpty():
         found = components(found.unionByName(more))
     class_of = texts.join(found.select(F.col("u").alias("doc"), "v"), "doc", "left").select("t1", "t2", F.coalesce("v", "doc").alias("class_id"))
