@@ -4,7 +4,8 @@ Ids are cut into blocks of BLOCK_IDS; every block starts from a fresh model and
 that any block can be decoded alone. For each id, order 2 predicts the id that last followed the two ids
 before, order 1 the one that last followed the id before, and order 0 gives a distribution over all ids by
 adaptive tables of their nibbles, each in the context of the nibbles above it. The mixture of the three, weighted by how often a prediction of
-such an order and confidence has come true in the block, drives a carry-less 64-bit range coder with 32-bit words.
+such an order and confidence has come true in the block, drives a carry-less 64-bit range coder with 16-bit words. An id that no prediction hits takes one more coding step for
+up to four nibbles, whose nested intervals are exact in 48 bits.
 
 Blocks are coded side by side, one numpy lane each, which changes nothing in a block's bytes.
 
@@ -22,10 +23,10 @@ import numpy as np
 
 MAGIC, VERSION, BLOCK_IDS, LANES = b"TIDB", 1, 2048, 3072
 _HEAD = struct.Struct("<4sHBxIQQQII")
-_BITS, _LEAST, _RATE = 14, 2, 5
-_ONE = 1 << _BITS
+_BITS, _NIBBLE_BITS, _LEAST, _RATE, _STEP = 15, 12, 1, 5, 4
+_ONE, _NIBBLE = 1 << _BITS, 1 << _NIBBLE_BITS
 _ROWS, _SLOTS1, _SLOTS2 = 1 + 16 + 256 + 256, 1024, 2048
-_BOT, _TOP, _WORD = np.uint64(1 << 24), np.uint64(1 << 32), np.uint64(32)
+_TOP, _INSIDE, _WORD, _SHIFT = np.uint64(1 << 48), np.uint64((1 << 48) - 1), np.uint64(16), np.uint64(48)
 
 
 class Damaged(ValueError):
@@ -35,7 +36,7 @@ class Damaged(ValueError):
 def _targets() -> np.ndarray:
     """For each symbol the table (shares below each symbol) it pulls towards; every symbol keeps _LEAST."""
     j = np.arange(16)
-    return np.where(j[None, :] > j[:, None], _ONE - (16 - j) * _LEAST, j * _LEAST).astype(np.int16)
+    return np.where(j[None, :] > j[:, None], _NIBBLE - (16 - j) * _LEAST, j * _LEAST).astype(np.int16)
 
 
 _TARGETS = _targets()
@@ -47,7 +48,7 @@ class _Lanes:
     def __init__(self, lanes: int, nibbles: int) -> None:
         self.lanes, self.nibbles = lanes, nibbles
         self.table = np.empty((lanes * _ROWS, 16), np.int16)
-        self.table[:] = np.arange(16) * (_ONE // 16)
+        self.table[:] = np.arange(16) * (_NIBBLE // 16)
         self.last1, self.last2 = np.full(lanes * _SLOTS1, -1, np.int32), np.full(lanes * _SLOTS2, -1, np.int32)
         # Shares of true predictions, by confidence (0 to 3) and, for order 2, whether order 1 agrees.
         self.true2, self.true1 = np.full(lanes * 8, _ONE // 4, np.int64), np.full(lanes * 4, _ONE // 8, np.int64)
@@ -89,34 +90,49 @@ class _Lanes:
         shares += step
         self.table[row] = shares
 
+    @staticmethod
+    def share(shares: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of each row's symbol."""
+        at = np.arange(0, 16 * len(s), 16) + s
+        flat = shares.reshape(-1)
+        lo = flat.take(at).astype(np.int64)
+        hi = flat.take(at + 1, mode="clip").astype(np.int64)
+        hi[s == 15] = _NIBBLE
+        hi -= lo
+        return lo, hi
+
+    def steps(self) -> list[range]:
+        return [range(a, min(a + _STEP, self.nibbles)) for a in range(0, self.nibbles, _STEP)]
+
 
 def _settled(low: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Lanes whose first word is settled; a range too small across a word's border is cut to end there."""
-    done = (low ^ (low + size)) < _TOP
-    small = size < _BOT
-    small &= ~done
-    if small.any():
-        size[small] = (~low[small] + np.uint64(1)) & (_BOT - np.uint64(1))
-        done |= small
-    return np.flatnonzero(done)
+    """Lanes whose range lies below one word's: their first word is settled, a range across its border is cut to end there."""
+    ready = np.flatnonzero(size < _TOP)
+    if len(ready):
+        x, y = low[ready], size[ready]
+        across = ((x ^ (x + y)) >= _TOP) & (y > 0)
+        size[ready] = np.where(across, (~x + np.uint64(1)) & _INSIDE, y)
+    return ready
 
 
 class _Encoder(_Lanes):
     def __init__(self, lanes: int, nibbles: int, longest: int) -> None:
         super().__init__(lanes, nibbles)
-        self.words, self.at = np.zeros((lanes, longest * (nibbles + 1) // 2 + 4), np.uint32), np.zeros(lanes, np.int64)
+        self.words, self.at = np.zeros((lanes, longest * (nibbles + 2) + 4), np.uint16), np.zeros(lanes, np.int64)
 
-    def code(self, lanes: np.ndarray, low: np.ndarray, size: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
+    def code(self, lanes: np.ndarray, low: np.ndarray, size: np.ndarray, lo: np.ndarray, width: np.ndarray, bits: int) -> None:
         """Narrow the ranges of some lanes (low and size are theirs) and put out settled words."""
-        unit = size >> np.uint64(_BITS)
-        low += lo.astype(np.uint64) * unit
-        np.multiply((hi - lo).astype(np.uint64), unit, out=size)
+        size >>= np.uint64(bits)
+        low += lo.view(np.uint64) * size
+        size *= width.view(np.uint64)
         ready = _settled(low, size)
         while len(ready):
             which, x = lanes[ready], low[ready]
-            self.words[which, self.at[which]] = x >> _WORD
-            self.at[which] += 1
-            x, y = x << _WORD, size[ready] << _WORD
+            at = self.at[which]
+            self.words[which, at] = x >> _SHIFT
+            self.at[which] = at + 1
+            x <<= _WORD
+            y = size[ready] << _WORD
             again = _settled(x, y)
             low[ready], size[ready] = x, y
             ready = ready[again]
@@ -126,22 +142,24 @@ class _Encoder(_Lanes):
         p2, p12 = self.p2, self.p12
         first, second = (x == self.id2) & (p2 > 0), (x == self.id1) & (p12 > p2)
         lo = np.where(first, 0, np.where(second, p2, p12))
-        hi = np.where(first, p2, np.where(second, p12, _ONE))
-        self.code(self.lane, self.low, self.size, lo, hi)
+        width = np.where(first, p2, np.where(second, p12, _ONE)) - lo
+        self.code(self.lane, self.low, self.size, lo, width, _BITS)
         lanes = np.flatnonzero(~(first | second))
         if len(lanes):
-            low, size, y, path = self.low[lanes], self.size[lanes], x[lanes], np.zeros(len(lanes), np.int64)
-            place = np.arange(len(lanes)) * 16
-            for k in range(self.nibbles):
-                s = y >> 4 * (self.nibbles - 1 - k) & 15
-                row = self.row(lanes, k, path)
-                shares = self.table.take(row, axis=0)
-                flat, at = shares.reshape(-1), place + s
-                lo = flat.take(at).astype(np.int64)
-                hi = np.where(s == 15, _ONE, flat.take(at + 1, mode="clip"))
-                self.code(lanes, low, size, lo, hi)
-                self.pull(row, shares, s)
-                path = path * 16 + s
+            low, size, y = self.low[lanes], self.size[lanes], x[lanes]
+            # The encoder knows all nibbles, so that the tables are read and pulled at once.
+            row = np.concatenate([self.row(lanes, k, y >> 4 * (self.nibbles - k)) for k in range(self.nibbles)])
+            s = np.concatenate([y >> 4 * (self.nibbles - 1 - k) & 15 for k in range(self.nibbles)])
+            shares = self.table.take(row, axis=0)
+            lo, width = (z.reshape(self.nibbles, -1) for z in self.share(shares, s))
+            for part in self.steps():
+                start, all_ = lo[part[0]].copy(), width[part[0]].copy()
+                for k in part[1:]:
+                    start <<= _NIBBLE_BITS
+                    start += all_ * lo[k]
+                    all_ *= width[k]
+                self.code(lanes, low, size, start, all_, _NIBBLE_BITS * len(part))
+            self.pull(row, shares, s)
             self.low[lanes], self.size[lanes] = low, size
         self.learn(x)
 
@@ -149,21 +167,24 @@ class _Encoder(_Lanes):
 class _Decoder(_Lanes):
     def __init__(self, data: np.ndarray, nibbles: int) -> None:
         super().__init__(len(data), nibbles)
-        self.data, self.at = data, np.full(len(data), 2, np.int64)
-        self.value = (data[:, 0] << _WORD) | data[:, 1]
-
-    def share(self, low: np.ndarray, size: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        unit = size >> np.uint64(_BITS)
-        return unit, np.minimum((value - low) // unit, np.uint64(_ONE - 1)).astype(np.int64)
-
-    def code(self, lanes: np.ndarray, low: np.ndarray, size: np.ndarray, value: np.ndarray, unit: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
-        low += lo.astype(np.uint64) * unit
-        np.multiply((hi - lo).astype(np.uint64), unit, out=size)
+        self.data, self.at = data, np.full(len(data), 4, np.int64)
+        first = data[:, :4].astype(np.uint64)
+        self.value = first[:, 0] << np.uint64(48) | first[:, 1] << np.uint64(32) | first[:, 2] << np.uint64(16) | first[:, 3]
+
+    def place(self, low: np.ndarray, size: np.ndarray, value: np.ndarray, bits: int) -> np.ndarray:
+        """Each lane's place among 2^bits shares; size becomes that of one share."""
+        size >>= np.uint64(bits)
+        return np.minimum((value - low) // size, np.uint64((1 << bits) - 1)).view(np.int64)
+
+    def code(self, lanes: np.ndarray, low: np.ndarray, size: np.ndarray, value: np.ndarray, lo: np.ndarray, width: np.ndarray) -> None:
+        low += lo.view(np.uint64) * size
+        size *= width.view(np.uint64)
         ready = _settled(low, size)
         while len(ready):
             which = lanes[ready]
-            value[ready] = (value[ready] << _WORD) | self.data[which, np.minimum(self.at[which], self.data.shape[1] - 1)]
-            self.at[which] += 1
+            at = self.at[which]
+            value[ready] = value[ready] << _WORD | self.data[which, np.minimum(at, self.data.shape[1] - 1)]
+            self.at[which] = at + 1
             x, y = low[ready] << _WORD, size[ready] << _WORD
             again = _settled(x, y)
             low[ready], size[ready] = x, y
@@ -172,27 +193,36 @@ class _Decoder(_Lanes):
     def get(self) -> np.ndarray:
         self.predict()
         p2, p12 = self.p2, self.p12
-        unit, v = self.share(self.low, self.size, self.value)
-        first, second = v < p2, (v >= p2) & (v < p12)
-        lo = np.where(first, 0, np.where(second, p2, p12))
-        hi = np.where(first, p2, np.where(second, p12, _ONE))
-        self.code(self.lane, self.low, self.size, self.value, unit, lo, hi)
+        v = self.place(self.low, self.size, self.value, _BITS)
+        first, other = v < p2, v >= p12
+        lo = np.where(first, 0, np.where(other, p12, p2))
+        width = np.where(first, p2, np.where(other, _ONE, p12)) - lo
+        self.code(self.lane, self.low, self.size, self.value, lo, width)
         x = np.where(first, self.id2, self.id1)
-        lanes = np.flatnonzero(v >= p12)
+        lanes = np.flatnonzero(other)
         if len(lanes):
             low, size, value, path = self.low[lanes], self.size[lanes], self.value[lanes], np.zeros(len(lanes), np.int64)
-            place = np.arange(len(lanes)) * 16
-            for k in range(self.nibbles):
-                row = self.row(lanes, k, path)
-                shares = self.table.take(row, axis=0)
-                unit, v = self.share(low, size, value)
-                s = (shares <= v.astype(np.int16)[:, None]).sum(1) - 1
-                flat, at = shares.reshape(-1), place + s
-                lo = flat.take(at).astype(np.int64)
-                hi = np.where(s == 15, _ONE, flat.take(at + 1, mode="clip"))
-                self.code(lanes, low, size, value, unit, lo, hi)
-                self.pull(row, shares, s)
-                path = path * 16 + s
+            rows, tables, symbols = [], [], []
+            for part in self.steps():
+                v = self.place(low, size, value, _NIBBLE_BITS * len(part))
+                start, all_ = np.zeros(len(lanes), np.int64), np.ones(len(lanes), np.int64)
+                for k in part:
+                    below = _NIBBLE_BITS * (part[-1] - k)
+                    row = self.row(lanes, k, path)
+                    shares = self.table.take(row, axis=0)
+                    u = ((v >> below) // all_).astype(np.int16)
+                    s = (shares <= u[:, None]).sum(1) - 1
+                    lo, width = self.share(shares, s)
+                    inside = all_ * lo
+                    start = (start << _NIBBLE_BITS) + inside
+                    v = v - (inside << below)
+                    all_ = all_ * width
+                    path = path * 16 + s
+                    rows.append(row)
+                    tables.append(shares)
+                    symbols.append(s)
+                self.code(lanes, low, size, value, start, all_)
+            self.pull(np.concatenate(rows), np.concatenate(tables), np.concatenate(symbols))
             self.low[lanes], self.size[lanes], self.value[lanes] = low, size, value
             x[lanes] = path
         self.learn(x)
@@ -200,7 +230,7 @@ class _Decoder(_Lanes):
 
 
 def encode_blocks(ids: np.ndarray, n: np.ndarray, nibbles: int) -> list[np.ndarray]:
-    """ids: one row a block, of n ids each (n falls). Each block's 32-bit words."""
+    """ids: one row a block, of n ids each (n falls). Each block's 16-bit words."""
     coder, done = _Encoder(len(n), nibbles, ids.shape[1]), {}
     columns = np.ascontiguousarray(ids.T).astype(np.int64)
     ends = {int(t): np.flatnonzero(n == t) for t in np.unique(n)}
@@ -208,12 +238,12 @@ def encode_blocks(ids: np.ndarray, n: np.ndarray, nibbles: int) -> list[np.ndarr
         coder.put(columns[t])
         for i in ends.get(t + 1, ()):
             low = int(coder.low[i])
-            done[i] = np.append(coder.words[i, : coder.at[i]], np.array([low >> 32, low & 0xFFFFFFFF], np.uint32))
+            done[i] = np.append(coder.words[i, : coder.at[i]], np.array([low >> k & 0xFFFF for k in (48, 32, 16, 0)], np.uint16))
     return [done[i] for i in range(len(n))]
 
 
 def decode_blocks(words: list[np.ndarray], n: np.ndarray, nibbles: int) -> np.ndarray:
-    data = np.zeros((len(n), max(map(len, words)) + 3), np.uint64)
+    data = np.zeros((len(n), max(map(len, words)) + 5), np.uint16)
     for i, w in enumerate(words):
         data[i, : len(w)] = w
     coder = _Decoder(data, nibbles)
@@ -234,7 +264,7 @@ def encode_file(doc_ids: np.ndarray, null: np.ndarray, counts: np.ndarray, ids:
         for i, x in enumerate(part):
             grid[i, : len(x)] = x
         for x, w in zip(part, encode_blocks(grid, n, nibbles), strict=True):
-            raw = w.astype("<u4").tobytes()
+            raw = w.astype("<u2").tobytes()
             table.append((len(w), zlib.crc32(raw, zlib.crc32(x.astype("<u4").tobytes()))))
             payload.append(raw)
     docs = zlib.compress(doc_ids.astype("<i8").tobytes() + null.astype(np.uint8).tobytes() + counts.astype("<u8").tobytes(), 6)
@@ -256,14 +286,14 @@ def decode_file(image: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     doc_ids, null, counts = np.frombuffer(docs, "<i8", n_docs), np.frombuffer(docs, np.uint8, n_docs, 8 * n_docs).astype(bool), np.frombuffer(docs, "<u8", n_docs, 9 * n_docs).astype(np.int64)
     table = np.frombuffer(image, "<u4", 2 * n_blocks, at).reshape(-1, 2).astype(np.int64)
     at += 8 * n_blocks
-    cut = at + 4 * np.concatenate([[0], np.cumsum(table[:, 0])])
+    cut = at + 2 * np.concatenate([[0], np.cumsum(table[:, 0])])
     if cut[-1] != len(image):
         raise Damaged("another length than the block table's")
     ids = np.empty(n_ids, np.uint32)
     for a in range(0, n_blocks, LANES):
         b = min(a + LANES, n_blocks)
         n = np.minimum(block_ids, n_ids - np.arange(a, b) * block_ids)
-        got = decode_blocks([np.frombuffer(image, "<u4", table[i, 0], cut[i]) for i in range(a, b)], n, nibbles)
+        got = decode_blocks([np.frombuffer(image, "<u2", table[i, 0], cut[i]) for i in range(a, b)], n, nibbles)
         for i in range(a, b):
             x = got[i - a, : n[i - a]].astype("<u4")
             if zlib.crc32(image[cut[i] : cut[i + 1]], zlib.crc32(x.tobytes())) != table[i, 1]:
