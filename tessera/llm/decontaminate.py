@@ -267,3 +267,21 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return docs.mapInArrow(_keep(ready[0]), docs.schema)
     marked = decontaminate(docs, benchmark).where("contaminated").select("doc_id").distinct()
     return docs.join(marked, "doc_id", "left_anti")
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SQL = f"""
+WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+p AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos, len(ws) AS n FROM w),
+b AS (SELECT item_id, {_WORDS} AS ws FROM benchmark WHERE item_id IS NOT NULL),
+i AS (SELECT DISTINCT item_id, least(13, len(ws)) AS l, array_to_string(list_slice(ws, k, k + least(13, len(ws)) - 1), ' ') AS s
+      FROM (SELECT item_id, ws, unnest(generate_series(1, len(ws) - least(13, len(ws)) + 1)) AS k FROM b WHERE len(ws) > 0)),
+d AS (SELECT doc_id, pos, n, l, string_agg(word, ' ') OVER (PARTITION BY doc_id, l ORDER BY pos ROWS BETWEEN CURRENT ROW AND l - 1 FOLLOWING) AS s
+      FROM p, (SELECT DISTINCT l FROM i)),
+h AS (SELECT doc_id, pos, d.l, item_id FROM d JOIN i ON d.l = i.l AND d.s = i.s WHERE pos + d.l - 1 <= n),
+c AS (SELECT doc_id, count(DISTINCT pos + o) AS n_hit FROM (SELECT doc_id, pos, unnest(range(l)) AS o FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM w LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+"""

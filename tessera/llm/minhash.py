@@ -278,3 +278,16 @@ def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = near_duplicates(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("_id")).distinct()
     kept = docs.join(found, F.col("doc_id") == F.col("_id"), "left_anti")
     return kept.select(*docs.columns)
+
+
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos, len(ws) AS n FROM w),
+g AS (SELECT doc_id, pos, n, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS s FROM p),
+b AS (SELECT doc_id, s, count(*) AS c FROM g WHERE pos + 4 <= n OR (n < 5 AND pos = 1) GROUP BY doc_id, s),
+z AS (SELECT doc_id, sum(c) AS t FROM b GROUP BY doc_id),
+o AS (SELECT x.doc_id AS u, y.doc_id AS v, sum(least(x.c, y.c)) AS m FROM b x JOIN b y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+l AS (SELECT u, v FROM o JOIN z a ON a.doc_id = u JOIN z e ON e.doc_id = v WHERE 5 * m >= 4 * (a.t + e.t - m)),
+r AS (SELECT doc_id AS u, doc_id AS c FROM documents UNION SELECT l.v, r.c FROM r JOIN l ON l.u = r.u)
+SELECT u AS doc_id, min(c) AS class_id, u = min(c) AS kept FROM r GROUP BY u
+"""

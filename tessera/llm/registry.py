@@ -28,4 +28,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_embedding_dedup": embeddings.SQL,
         "op5_substring_dedup": substring.SQL,
+        "op6_decontaminate": decontaminate.SQL,
+        "op7_minhash": minhash.SQL,
+        "op9_secret_scans": secrets.SQL,
     }

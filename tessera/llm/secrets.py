@@ -137,3 +137,22 @@ def keep_secret_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     text = F.when(F.col("findings").isNull(), F.col("text")).otherwise(F.concat(done["out"], rest))
     new = {"text": text, "n_chars": F.when(F.col("findings").isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {"text": text}
     return out.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
+
+
+def _rule_sql(order: int, kind: str, pattern: str, least: int, least_value: int) -> str:
+    pattern = pattern.replace("'", "''")
+    value = f"regexp_extract_all(text, '{pattern}', 2)" if least_value else "m"
+    return f"""SELECT doc_id, {order} AS ord, '{kind}' AS kind, (list_sum(g[1:i]) + coalesce(list_sum(z[1:i - 1]), 0))::BIGINT AS a, (list_sum(g[1:i]) + list_sum(z[1:i]))::BIGINT AS e
+FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, m, list_transform(string_split_regex(text, '{pattern}'), lambda x: length(x)) AS g, list_transform(m, lambda x: length(x)) AS z,
+      list_transform({value}, lambda x: length(x)) AS v FROM (SELECT doc_id, text, regexp_extract_all(text, '{pattern}') AS m FROM documents WHERE text IS NOT NULL)))
+WHERE z[i] >= {least} AND v[i] >= {least_value}"""
+
+
+SQL = f"""
+WITH s AS ({" UNION ALL ".join(_rule_sql(i, *r) for i, r in enumerate(RULES))}),
+t AS (SELECT doc_id, string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, ord) AS spans, string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, ord) FILTER (ord < 3) AS base,
+      count(*) FILTER (ord = 0) AS n_assign, count(*) FILTER (ord = 1) AS n_access, count(*) FILTER (ord = 2) AS n_hex FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN t USING (doc_id)
+"""
