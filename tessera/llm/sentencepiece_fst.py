@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ._session import ship, table
 from ._text import slices
 
-MARK, CACHE = "▁", 200_000
+MARK, CACHE, PAIRS = "▁", 500_000, 1_000_000
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 
@@ -53,12 +53,13 @@ class Transducer:
     dummy_prefix: bool
     cut: str
     lexicon: dict = field(default_factory=dict)  # P as a tree of characters; under "" stands the piece that ends there
-    pairs: dict[tuple[str, str], bool] = field(default_factory=dict)
+    pairs: dict[str, dict[str, bool]] = field(default_factory=dict)
+    n_pairs: int = 0
     young: dict[str, bytes] = field(default_factory=dict)
     old: dict[str, bytes] = field(default_factory=dict)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"pairs": {}, "young": {}, "old": {}, "lexicon": {}}
+        return self.__dict__ | {"pairs": {}, "n_pairs": 0, "young": {}, "old": {}, "lexicon": {}}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ |= state
@@ -75,13 +76,17 @@ class Transducer:
     def agree(self, x: str, y: str) -> bool:
         """Whether no merge crosses the border of x y: the pieces at the border are taken apart, latest merge first,
         and each pair that once met there must have merged later than the next merge of either."""
-        key = (x, y)
-        known = self.pairs.get(key)
+        known = self.pairs.get(y)
         if known is None:
-            if len(self.pairs) >= CACHE:
+            known = self.pairs[y] = {}
+        found = known.get(x)
+        if found is None:
+            self.n_pairs += 1
+            if self.n_pairs > PAIRS:
                 self.pairs.clear()
-            known = self.pairs[key] = self._agree(x, y)
-        return known
+                self.n_pairs = 0
+            found = known[x] = self._agree(x, y)
+        return found
 
     def _agree(self, x: str, y: str) -> bool:
         rank, until = self.rank.get, len(self.rank) + 1
@@ -98,10 +103,10 @@ class Transducer:
     # input o N o P o C
     def path(self, text: str) -> list[str]:
         """Pieces of the shortest path through one (normalised) component; single characters stand for fallback."""
-        n, agree = len(text), self.agree
+        n, pairs, lexicon = len(text), self.pairs, self.lexicon
         last = [""] * (n + 1)
         for start in range(n):
-            before, node, end = last[start], self.lexicon, start
+            before, node, end = last[start], lexicon, start
             while end < n:
                 node = node.get(text[end])
                 end += 1
@@ -111,8 +116,16 @@ class Transducer:
                     node, piece = {}, text[start]
                 else:
                     piece = node.get("")
-                if piece is not None and (start == 0 or agree(before, piece)):
-                    last[end] = piece
+                    if piece is None:
+                        continue
+                if start:
+                    known = pairs.get(piece)
+                    good = known.get(before) if known is not None else None
+                    if good is None:
+                        good = self.agree(before, piece)
+                    if not good:
+                        continue
+                last[end] = piece
         out, at = [], n
         while at:
             out.append(last[at])
