@@ -1,15 +1,19 @@
 """Embedding near-dedup by product quantisation over coarse inverted lists.
 
-Vectors are scaled to length 1. Coarse centroids (one for LIST_SIZE vectors) and residual codebooks (SUBSPACES
-parts of up to 256 codes) are fitted on a hashed sample of at most SAMPLE vectors; every vector is indexed. A
-query visits its PROBES nearest lists. There the asymmetric distance to each coded member is summed from lookup
-tables; as the length of a member's coding error is stored with it, members farther than the link radius
-plus that length can't be links and are left out without loss. The rest is reranked by cosine in double
-precision from the vectors themselves, so no pair below the threshold is linked. Recall against brute force
-is tested (at least 0.9; near-copies are found entirely on the test tables).
-
-Equal vectors become one row with a count first. A list's members and its visitors are cut into blocks of
-bounded size, so that a hot list spreads over many tasks. Tasks give counts and a spanning forest of the links
+Vectors are scaled to length 1. Coarse centroids (one for LIST_SIZE vectors, each fitted on SAMPLES_A_LIST sampled
+vectors at least) and residual codebooks (SUBSPACES parts of up to 256 codes) are fitted on a hashed sample of about
+SAMPLE vectors; every vector is indexed in its nearest list. A vector visits every list that can hold a link: those
+whose centre is within the link radius plus the list's radius, and whose border with its own list is within the
+link radius. No list that holds a link is left out, so the links are those of brute force; on vectors without any
+structure the bounds leave out little, and the work grows with the square of the table.
+
+In a list the asymmetric distance to each coded member is summed from lookup tables; as the length of a member's
+coding error is stored with it, members farther than the link radius plus that length can't be links and are left out
+without loss. The rest is reranked by cosine in double precision from the vectors themselves.
+
+Equal vectors become one row with a count first. Near lists form cells of about MEMBERS vectors, and a vector is sent
+once to each cell that it visits; a cell's members and visitors are cut into blocks of bounded size, so that a hot
+list spreads over many tasks. Tasks give counts and a spanning forest of the links
 they find, never all pairs.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components link with
@@ -29,13 +33,15 @@ from pyspark.sql import functions as F
 from ._components import components
 from ._session import ship, table, written
 
-LEAST, LIST_SIZE, MAX_LISTS, SAMPLE, PROBES, SUBSPACES = 0.9, 64, 16384, 16384, 16, 8
-MEMBERS, VISITORS = 1024, 2048
+LEAST, LIST_SIZE, MAX_LISTS, SAMPLE, SUBSPACES = 0.9, 64, 16384, 16384, 8
+SAMPLES_A_LIST = 8
+MEMBERS, VISITORS, TILE = 8192, 8192, 512
 
 
 @dataclass
 class Index:
-    coarse: np.ndarray  # lists x dimension
+    coarse: np.ndarray  # lists x dimension; the lists of a cell stand together
+    cell: np.ndarray  # the cell of each list
     codes: np.ndarray  # subspaces x codes x part of the (padded) dimension
 
 
@@ -64,11 +70,14 @@ def _parts(x: np.ndarray, subspaces: int = SUBSPACES) -> np.ndarray:
     return out.reshape(len(x), subspaces, width)
 
 
-def fit(sample: np.ndarray, lists: int) -> Index:
+def fit(sample: np.ndarray, lists: int, cells: int = 1) -> Index:
     sample = sample.astype(np.float32)
-    coarse = kmeans(sample, min(lists, len(sample)))
+    coarse = kmeans(sample, max(1, min(lists, len(sample) // SAMPLES_A_LIST)))
+    cell = _nearest(coarse, kmeans(coarse, min(cells, len(coarse))))
+    order = np.argsort(cell, kind="stable")
+    coarse, cell = coarse[order], cell[order]
     rest = _parts(sample - coarse[_nearest(sample, coarse)])
-    return Index(coarse, np.stack([kmeans(rest[:, m], min(256, len(sample))) for m in range(rest.shape[1])]))
+    return Index(coarse, cell, np.stack([kmeans(rest[:, m], min(256, len(sample))) for m in range(rest.shape[1])]))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -81,22 +90,62 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _index(shared, probes: int):
+def _lists(z: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(z) + 1, dtype=np.int32) * z.shape[1]), pa.array(z.ravel().astype(np.int32)))
+
+
+def _index(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
-        half = (index.coarse**2).sum(1) / 2
-        many = min(probes, len(index.coarse))
+        coarse = index.coarse.astype(np.float64)
+        half = (coarse**2).sum(1) / 2
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
-                x = _unit(_matrix(part.column("vec"))).astype(np.float32)
-                near = np.argsort(half - x @ index.coarse.T, axis=1, kind="stable")[:, :many]
-                rest = _parts(x - index.coarse[near[:, 0]])
+                x = _unit(_matrix(part.column("vec")))
+                own = (half - x @ coarse.T).argmin(1)
+                far = np.sqrt(((x - coarse[own]) ** 2).sum(1))
+                rest = _parts(x.astype(np.float32) - index.coarse[own])
                 codes = np.stack([_nearest(rest[:, m], index.codes[m]) for m in range(rest.shape[1])], axis=1)
                 back = index.codes[np.arange(rest.shape[1])[None, :], codes]
                 error = np.sqrt(((rest - back) ** 2).sum((1, 2)))
-                lists = lambda z, t: pa.ListArray.from_arrays(pa.array(np.arange(len(z) + 1, dtype=np.int32) * z.shape[1]), pa.array(z.ravel().astype(t)))
-                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("copies"), part.column("vec"), pa.array(near[:, 0].astype(np.int32)), lists(near, np.int32), lists(codes, np.int32), pa.array(error)], names=["rep", "copies", "vec", "list", "probes", "codes", "error"])
+                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("copies"), part.column("vec"), pa.array(own.astype(np.int32)), _lists(codes), pa.array(error), pa.array(far)], names=["rep", "copies", "vec", "list", "codes", "error", "far"])
+
+    return run
+
+
+def _visited(index: Index, radii: np.ndarray, x: np.ndarray, own: np.ndarray, radius: float, first: int = 0, last: int | None = None) -> np.ndarray:
+    """rows x lists first to last: whether the list can hold a vector within the radius of the row.
+
+    A list's vectors are no farther from its centre than its radius, and no nearer to another centre; the latter
+    bounds how far a row of list `own` is at least from all of them. Empty lists have a negative radius.
+    """
+    coarse = index.coarse.astype(np.float64)
+    some, norm = coarse[first:last], (coarse**2).sum(1)
+    apart = 1 + norm[first:last] - 2 * x @ some.T
+    mine = 1 + norm[own] - 2 * (x * coarse[own]).sum(1)
+    gap = norm[first:last] + norm[own][:, None] - 2 * coarse[own] @ some.T
+    can = apart <= (radius + radii[first:last] + 1e-5) ** 2
+    can &= apart - mine[:, None] <= 2 * radius * np.sqrt(np.maximum(gap, 0)) + 1e-5
+    return can & (radii[first:last] >= 0)
+
+
+def _cells(shared, shared_radii, least: float):
+    """Each row's cells to visit."""
+    radius = float(np.sqrt(max(0.0, 2 - 2 * least)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, radii = shared.value, shared_radii.value
+        starts = np.flatnonzero(np.diff(index.cell, prepend=-1))
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                own = part.column("list").to_numpy()
+                can = _visited(index, radii, _unit(_matrix(part.column("vec"))), own, radius)
+                row, cell = np.nonzero(np.logical_or.reduceat(can, starts, axis=1))
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=part.num_rows))]).astype(np.int32)
+                cells = pa.ListArray.from_arrays(pa.array(offsets), pa.array(index.cell[starts][cell].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("rep", "copies", "vec", "list")), pa.array(index.cell[own].astype(np.int32)), cells, part.column("codes"), part.column("error")], names=["rep", "copies", "vec", "list", "cell", "cells", "codes", "error"])
 
     return run
 
@@ -112,56 +161,70 @@ def _labels(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = new
 
 
-def _search(shared, least: float):
-    """One block of members (side 1) and one of visitors (side 0) of a list."""
+def _search(shared, shared_radii, least: float):
+    """One block of members (side 1) and one of visitors (side 0) of a cell."""
     radius = float(np.sqrt(max(0.0, 2 - 2 * least)))
 
     def run(block: pa.Table) -> pa.Table:
-        index: Index = shared.value
+        index, radii = shared.value, shared_radii.value
+        block = block.sort_by([("side", "ascending"), ("list", "ascending")])
         side = block.column("side").to_numpy()
-        rep, copies = block.column("rep").to_numpy(), block.column("copies").to_numpy()
-        x = _unit(_matrix(block.column("vec").combine_chunks()))
+        rep, copies, at = (block.column(c).to_numpy() for c in ("rep", "copies", "list"))
         members, visitors = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
         out_u, out_v, out_n = [], [], []
         if len(members) and len(visitors):
-            at = block.column("list")[0].as_py()
+            x = _unit(_matrix(block.column("vec").combine_chunks()))
             codes = _matrix(block.column("codes").combine_chunks().take(pa.array(members)))
             reach = radius + block.column("error").to_numpy()[members] + 1e-4
-            centre = index.coarse[at]
+            held = at[members]
             back = index.codes[np.arange(codes.shape[1])[None, :], codes].reshape(len(members), -1)
-            padded = _parts(centre[None, :]).reshape(-1)
-            own = ((back + padded) ** 2).sum(1)
-            q = _parts(x[visitors].astype(np.float32))
-            tables = np.einsum("qms,mcs->mqc", q, index.codes)
-            dot = (q.reshape(len(visitors), -1) @ padded)[:, None] + tables[0][:, codes[:, 0]]
-            for m in range(1, codes.shape[1]):
-                dot += tables[m][:, codes[:, m]]
-            near = own[None, :] + 1 - 2 * dot <= (reach**2)[None, :]
-            near &= rep[visitors][:, None] != rep[members][None, :]
-            i, j = np.nonzero(near)
-            hit = np.zeros_like(near)
-            for a in range(0, len(i), 65536):
-                p, r = i[a : a + 65536], j[a : a + 65536]
-                hit[p, r] = np.einsum("nd,nd->n", x[visitors[p]], x[members[r]]) >= least
-            found = hit @ copies[members]
-            rows = np.flatnonzero(hit.any(1))
-            if len(rows):
-                label, column = _labels(hit[rows])
-                name = np.full(len(rows), np.iinfo(np.int64).max)
-                np.minimum.at(name, label, rep[visitors[rows]])
-                linked = np.flatnonzero(column >= 0)
-                np.minimum.at(name, column[linked], rep[members[linked]])
-                out_u = [rep[visitors[rows]], rep[members[linked]]]
-                out_v = [name[label], name[column[linked]]]
-                out_n = [found[rows], np.zeros(len(linked), np.int64)]
+            centres = _parts(index.coarse).reshape(len(index.coarse), -1)
+            own = ((back + centres[held]) ** 2).sum(1)
+            starts = np.flatnonzero(np.diff(held, prepend=-1))
+            spans = list(zip(held[starts], starts, np.append(starts[1:], len(held)), strict=True))
+            first, last = int(held[0]), int(held[-1]) + 1
+            for t in range(0, len(visitors), TILE):
+                tile = visitors[t : t + TILE]
+                can = _visited(index, radii, x[tile], at[tile], radius, first, last)
+                q = _parts(x[tile].astype(np.float32))
+                tables = np.einsum("qms,mcs->mqc", q, index.codes)
+                whole = q.reshape(len(tile), -1)
+                hit = np.zeros((len(tile), len(members)), bool)
+                for name, a, b in spans:
+                    rows = np.flatnonzero(can[:, name - first])
+                    if not len(rows):
+                        continue
+                    dot = (whole[rows] @ centres[name])[:, None] + tables[0][rows[:, None], codes[a:b, 0]]
+                    for m in range(1, codes.shape[1]):
+                        dot += tables[m][rows[:, None], codes[a:b, m]]
+                    near = own[None, a:b] + 1 - 2 * dot <= (reach[a:b] ** 2)[None, :]
+                    near &= rep[tile[rows]][:, None] != rep[members[a:b]][None, :]
+                    i, j = np.nonzero(near)
+                    for z in range(0, len(i), 65536):
+                        p, r = rows[i[z : z + 65536]], a + j[z : z + 65536]
+                        hit[p, r] = np.einsum("nd,nd->n", x[tile[p]], x[members[r]]) >= least
+                found = hit @ copies[members]
+                rows = np.flatnonzero(hit.any(1))
+                if len(rows):
+                    label, column = _labels(hit[rows])
+                    name = np.full(len(rows), np.iinfo(np.int64).max)
+                    np.minimum.at(name, label, rep[tile[rows]])
+                    linked = np.flatnonzero(column >= 0)
+                    np.minimum.at(name, column[linked], rep[members[linked]])
+                    out_u += [rep[tile[rows]], rep[members[linked]]]
+                    out_v += [name[label], name[column[linked]]]
+                    out_n += [found[rows], np.zeros(len(linked), np.int64)]
         join = lambda z: pa.array(np.concatenate(z).astype(np.int64) if z else np.zeros(0, np.int64))
         return pa.table({"u": join(out_u), "v": join(out_v), "n": join(out_n)})
 
     return run
 
 
-def near_vectors(vectors: DataFrame, least: float = LEAST, list_size: int = LIST_SIZE, sample: int = SAMPLE, probes: int = PROBES) -> DataFrame:
-    """vectors: vec_id (an integer), embedding. One row (vec_id, n_links, component_id) for each row."""
+def near_vectors(vectors: DataFrame, least: float = LEAST, list_size: int = LIST_SIZE, sample: int = SAMPLE, probes: int | None = None) -> DataFrame:
+    """vectors: vec_id (an integer), embedding. One row (vec_id, n_links, component_id) for each row.
+
+    probes is accepted and changes nothing: every list that can hold a link is visited.
+    """
     spark = vectors.sparkSession
     ship(spark)
     vec = F.col("embedding").cast("array<double>")
@@ -180,18 +243,25 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, list_size: int = LIST
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     drawn = F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(1 << 20)) < F.lit(min(1.0, sample / n) * (1 << 20))
     some = [r[0] for r in one.where(drawn).orderBy(F.xxhash64("rep"), "rep").select("vec").limit(2 * sample).collect()] or [one.first()["vec"]]
-    shared = spark.sparkContext.broadcast(fit(_unit(np.array(some)), min(MAX_LISTS, -(-n // list_size))))
-    kinds = "rep long, copies long, vec array<double>, list int, probes array<int>, codes array<int>, error float"
-    coded = written(one.mapInArrow(_index(shared, probes), kinds), "coded")
-    held = coded.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("mb"))
-    seen = coded.select(F.explode("probes").alias("list")).groupBy("list").agg(F.ceil(F.count(F.lit(1)) / VISITORS).cast("int").alias("qb"))
-    blocks = written(held.join(seen, "list"), "lists")  # at most MAX_LISTS rows of three numbers
+    index = fit(_unit(np.array(some)), min(MAX_LISTS, -(-n // list_size)), -(-n // MEMBERS))
+    shared = spark.sparkContext.broadcast(index)
+    kinds = "rep long, copies long, vec array<double>, list int, codes array<int>, error float, far double"
+    coded = written(one.mapInArrow(_index(shared), kinds), "coded")
+    radii = np.full(len(index.coarse), -1.0)
+    for at, far in coded.groupBy("list").agg(F.max("far")).collect():  # at most MAX_LISTS rows of two numbers
+        radii[at] = far
+    bounds = spark.sparkContext.broadcast(radii)
+    kinds = "rep long, copies long, vec array<double>, list int, cell int, cells array<int>, codes array<int>, error float"
+    coded = written(coded.mapInArrow(_cells(shared, bounds, least), kinds), "visits")
+    held = coded.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("mb"))
+    seen = coded.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / VISITORS).cast("int").alias("qb"))
+    blocks = written(held.join(seen, "cell"), "cells")  # at most MAX_LISTS rows of three numbers
     salt = lambda c: F.pmod(F.xxhash64("rep"), F.col(c)).cast("int")
     span = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    members = coded.drop("probes").join(F.broadcast(blocks), "list").select("list", salt("mb").alias("m"), span("qb").alias("q"), F.lit(1).alias("side"), "rep", "copies", "vec", "codes", "error")
-    visitors = coded.select("rep", "copies", "vec", F.explode("probes").alias("list")).join(F.broadcast(blocks), "list")
-    visitors = visitors.select("list", span("mb").alias("m"), salt("qb").alias("q"), F.lit(0).alias("side"), "rep", "copies", "vec", F.lit(None).cast("array<int>").alias("codes"), F.lit(None).cast("float").alias("error"))
-    found = written(members.unionByName(visitors).groupBy("list", "m", "q").applyInArrow(_search(shared, least), "u long, v long, n long"), "vector-links")
+    members = coded.drop("cells").join(F.broadcast(blocks), "cell").select("cell", salt("mb").alias("m"), span("qb").alias("q"), F.lit(1).alias("side"), "rep", "copies", "vec", "list", "codes", "error")
+    visitors = coded.select("rep", "copies", "vec", "list", F.explode("cells").alias("cell")).join(F.broadcast(blocks), "cell")
+    visitors = visitors.select("cell", span("mb").alias("m"), salt("qb").alias("q"), F.lit(0).alias("side"), "rep", "copies", "vec", "list", F.lit(None).cast("array<int>").alias("codes"), F.lit(None).cast("float").alias("error"))
+    found = written(members.unionByName(visitors).groupBy("cell", "m", "q").applyInArrow(_search(shared, bounds, least), "u long, v long, n long"), "vector-links")
     links = found.groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("links"))
     part = components(found.select("u", "v"))
     about = reps.join(links, "rep", "left").join(part.select(F.col("u").alias("rep"), F.col("v").alias("low")), "rep", "left")

@@ -360,6 +360,24 @@ def test_embedding_recall(spark):
     assert 0.9 * true <= n <= true and true > 200
 
 
+def test_embeddings_equal_brute_force_over_many_lists(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    base = r.normal(size=(400, 16))
+    x = np.concatenate([base, base + r.normal(size=(400, 16)) * 0.35, 3 + r.normal(size=(1000, 16))])  # the last lie around 0.9
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    monkeypatch.setattr(embeddings, "MEMBERS", 300)
+    monkeypatch.setattr(embeddings, "VISITORS", 400)
+    assert len(embeddings.fit(x, 1800 // 8).coarse) == 225
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r[0]: (r[1], r[2]) for r in embeddings.near_vectors(vectors, list_size=8).collect()}
+    hit = (x @ x.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    low = np.arange(len(x))
+    while (new := np.minimum(low, np.where(hit, low[None, :], len(x)).min(1))).tolist() != low.tolist():
+        low = new
+    assert got == {i: (int(hit[i].sum()), int(low[i])) for i in range(len(x))}
+    assert hit.sum() > 1000
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "user", "Hello there, how do I install it?"), (1, 1, "assistant", "> Hello there, how do I install it?\nRun the installer first."), (1, 2, "user", "unrelated remark"),
