@@ -4,10 +4,11 @@ Vectors are scaled to length 1. Coarse centroids (one for LIST_SIZE vectors, eac
 vectors at least) and residual codebooks (SUBSPACES parts of up to 256 codes) are fitted on a hashed sample of about
 SAMPLE vectors; every vector is indexed in its nearest list. A vector visits every list that can hold a link: those
 whose centre is within the link radius plus the list's radius, and whose border with its own list is within the
-link radius. No list that holds a link is left out, so the links are those of brute force; on vectors without any
+link radius. Of two lists the later one's vectors visit the earlier one, and a link between them counts at both ends;
+within a list each vector counts its own links. No list that holds a link is left out, so the links are those of brute force; on vectors without any
 structure the bounds leave out little, and the work grows with the square of the table.
 
-In a list the asymmetric distance to each coded member is summed from lookup tables; as the length of a member's
+In a list the asymmetric distance to each coded member is taken from its decoded vector; as the length of a member's
 coding error is stored with it, members farther than the link radius plus that length can't be links and are left out
 without loss. The rest is reranked by cosine in double precision from the vectors themselves.
 
@@ -142,6 +143,7 @@ def _cells(shared, shared_radii, least: float):
                 part = batch.slice(a, 1024)
                 own = part.column("list").to_numpy()
                 can = _visited(index, radii, _unit(_matrix(part.column("vec"))), own, radius)
+                can &= np.arange(len(radii))[None, :] <= own[:, None]
                 row, cell = np.nonzero(np.logical_or.reduceat(can, starts, axis=1))
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=part.num_rows))]).astype(np.int32)
                 cells = pa.ListArray.from_arrays(pa.array(offsets), pa.array(index.cell[starts][cell].astype(np.int32)))
@@ -177,43 +179,36 @@ def _search(shared, shared_radii, least: float):
             codes = _matrix(block.column("codes").combine_chunks().take(pa.array(members)))
             reach = radius + block.column("error").to_numpy()[members] + 1e-4
             held = at[members]
-            back = index.codes[np.arange(codes.shape[1])[None, :], codes].reshape(len(members), -1)
-            centres = _parts(index.coarse).reshape(len(index.coarse), -1)
-            own = ((back + centres[held]) ** 2).sum(1)
-            starts = np.flatnonzero(np.diff(held, prepend=-1))
-            spans = list(zip(held[starts], starts, np.append(starts[1:], len(held)), strict=True))
+            decoded = index.codes[np.arange(codes.shape[1])[None, :], codes].reshape(len(members), -1)[:, : x.shape[1]] + index.coarse[held]
+            own = (decoded**2).sum(1)
             first, last = int(held[0]), int(held[-1]) + 1
             for t in range(0, len(visitors), TILE):
                 tile = visitors[t : t + TILE]
                 can = _visited(index, radii, x[tile], at[tile], radius, first, last)
-                q = _parts(x[tile].astype(np.float32))
-                tables = np.einsum("qms,mcs->mqc", q, index.codes)
-                whole = q.reshape(len(tile), -1)
+                can &= np.arange(first, last)[None, :] <= at[tile][:, None]
+                cols = np.flatnonzero(can.any(0)[held - first])
                 hit = np.zeros((len(tile), len(members)), bool)
-                for name, a, b in spans:
-                    rows = np.flatnonzero(can[:, name - first])
-                    if not len(rows):
-                        continue
-                    dot = (whole[rows] @ centres[name])[:, None] + tables[0][rows[:, None], codes[a:b, 0]]
-                    for m in range(1, codes.shape[1]):
-                        dot += tables[m][rows[:, None], codes[a:b, m]]
-                    near = own[None, a:b] + 1 - 2 * dot <= (reach[a:b] ** 2)[None, :]
-                    near &= rep[tile[rows]][:, None] != rep[members[a:b]][None, :]
-                    i, j = np.nonzero(near)
-                    for z in range(0, len(i), 65536):
-                        p, r = rows[i[z : z + 65536]], a + j[z : z + 65536]
-                        hit[p, r] = np.einsum("nd,nd->n", x[tile[p]], x[members[r]]) >= least
-                found = hit @ copies[members]
+                near = own[None, cols] - 2 * x[tile].astype(np.float32) @ decoded[cols].T <= (reach[cols] ** 2 - 1)[None, :]
+                i, j = np.nonzero(near)
+                j = cols[j]
+                fresh = can[i, held[j] - first] & (rep[tile[i]] != rep[members[j]])
+                i, j = i[fresh], j[fresh]
+                for z in range(0, len(i), 65536):
+                    p, r = i[z : z + 65536], j[z : z + 65536]
+                    hit[p, r] = np.einsum("nd,nd->n", x[tile[p]], x[members[r]]) >= least
                 rows = np.flatnonzero(hit.any(1))
                 if len(rows):
-                    label, column = _labels(hit[rows])
+                    hit, seen = hit[rows], tile[rows]
+                    # Members of the visitor's own list visit it themselves; others don't.
+                    back = copies[seen] @ (hit & (held[None, :] < at[seen][:, None]))
+                    label, column = _labels(hit)
                     name = np.full(len(rows), np.iinfo(np.int64).max)
                     np.minimum.at(name, label, rep[tile[rows]])
                     linked = np.flatnonzero(column >= 0)
                     np.minimum.at(name, column[linked], rep[members[linked]])
                     out_u += [rep[tile[rows]], rep[members[linked]]]
                     out_v += [name[label], name[column[linked]]]
-                    out_n += [found[rows], np.zeros(len(linked), np.int64)]
+                    out_n += [hit @ copies[members], back[linked]]
         join = lambda z: pa.array(np.concatenate(z).astype(np.int64) if z else np.zeros(0, np.int64))
         return pa.table({"u": join(out_u), "v": join(out_v), "n": join(out_n)})
 

@@ -378,6 +378,17 @@ def test_embeddings_equal_brute_force_over_many_lists(spark, monkeypatch):
     assert hit.sum() > 1000
 
 
+def test_embedding_links_count_at_both_ends(spark):
+    r = np.random.default_rng(6)
+    base = r.normal(size=(900, 16))
+    x = np.concatenate([base, base + r.normal(size=(900, 16)) * 0.4])
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r[0]: (r[1], r[2]) for r in embeddings.near_vectors(vectors, list_size=8).collect()}
+    sizes = collections.Counter(c for _, c in got.values())
+    pairs = [i for i, (_, c) in got.items() if sizes[c] == 2]
+    assert len(pairs) > 200 and all(got[i][0] == 1 for i in pairs)
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "user", "Hello there, how do I install it?"), (1, 1, "assistant", "> Hello there, how do I install it?\nRun the installer first."), (1, 2, "user", "unrelated remark"),
