@@ -2,12 +2,13 @@
 
 A filter is applied before the top k, so filtered rows never appear and never cost a place. Ties go to the
 smaller id. Batched search keeps the k best per query with a bounded rank window, after a broadcast of the
-queries, whose number the caller states.
+queries in blocks of about MAX_QUERIES.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,10 +30,17 @@ def search(vectors: DataFrame, query: Sequence[float], k: int = 10, metric: Metr
 
 def search_many(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: Metric = Metric.COSINE, key: str = "_id", vec: str = "vec", query_key: str = "query_id", query_vec: str = "query_vec") -> DataFrame:
     """(query_key, key, distance, rank) of the k nearest of each query."""
-    n = queries.count()
-    if n > MAX_QUERIES:
-        raise ValueError(f"{n} queries; search at most {MAX_QUERIES} at a time")
-    pairs = vectors.select(key, vec).join(F.broadcast(queries.select(query_key, query_vec)))
+    queries = queries.select(query_key, query_vec)
+    blocks = max(1, -(-queries.count() // MAX_QUERIES))
+    if blocks > 1:
+        at = F.pmod(F.xxhash64(query_key), F.lit(blocks))  # all rows of a query id stand in one block
+        near = [_nearest(vectors, queries.where(at == b), k, metric, key, vec, query_key, query_vec) for b in range(blocks)]
+        return reduce(DataFrame.unionByName, near)
+    return _nearest(vectors, queries, k, metric, key, vec, query_key, query_vec)
+
+
+def _nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: Metric, key: str, vec: str, query_key: str, query_vec: str) -> DataFrame:
+    pairs = vectors.select(key, vec).join(F.broadcast(queries))
     pairs = pairs.select(query_key, key, distance(metric, F.col(vec), F.col(query_vec)).alias("distance"))
     w = Window.partitionBy(query_key).orderBy("distance", key)
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
