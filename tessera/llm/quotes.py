@@ -1,8 +1,7 @@
 """Chat formatting by quotation linking, in DataFrame operations only.
 
 1. Lines that begin with `>` marks are quoted at a level of as many marks; runs of one level are passages.
-2. Passages, and their single lines, are normalised (lower case, white space collapsed) and hashed; those of
-   fewer than LEAST_CHARS characters are too common to link.
+2. Passages, and their single lines, are normalised (lower case, white space collapsed) and hashed, unless empty.
 3. Own (unquoted) texts and lines are hashed likewise. The original of a quote is the earliest message (by turn)
    of the same conversation that says it, else the earliest (by conversation and turn) of all, if it precedes the
    quoting message in that order. A message's parent is the original of its outermost quotes: whole passages
@@ -26,7 +25,6 @@ from pyspark.sql import functions as F
 
 from ._session import table, written
 
-LEAST_CHARS = 12
 _MARKS = r"^((?:[ \t]*>)+)"
 
 
@@ -35,8 +33,8 @@ def _norm(text: Column) -> Column:
 
 
 def _hashed(df: DataFrame, text: Column) -> DataFrame:
-    """df with h1, h2 of the normalised text, where that is long enough."""
-    df = df.withColumn("_n", _norm(text)).where(F.length("_n") >= LEAST_CHARS)
+    """df with h1, h2 of the normalised text, where that is not empty."""
+    df = df.withColumn("_n", _norm(text)).where(F.length("_n") > 0)
     return df.withColumn("h1", F.xxhash64("_n")).withColumn("h2", F.xxhash64(F.lit(1), "_n")).drop("_n")
 
 

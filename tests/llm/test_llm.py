@@ -409,6 +409,15 @@ def test_quotes(spark):
     assert quotes.reply_ordered(df.limit(0)).count() == 0
 
 
+def test_short_quotes_link(spark):
+    rows = [(1, 0, "u", "ok, thanks"), (1, 1, "u", "> ok, thanks\nfine"), (1, 2, "u", "> \n\nnothing quoted"), (2, 0, "u", "はい。"), (2, 1, "u", ">はい。\nso"), (3, 0, "u", "first\nYes please\nlast"), (3, 1, "u", "> Yes please\ngood")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    got = {(r["conv_id"], r["turn"]): (r["n_linked"], r["parent_conv"], r["parent_turn"], r["thread_id"]) for r in quotes.reply_ordered(df).collect()}
+    for conv in (1, 2, 3):
+        assert got[conv, 1] == (1, conv, 0, conv)
+    assert got[1, 2] == (0, None, None, 1)
+
+
 def test_empty_tables(spark, docs, tmp_path):
     none = docs.limit(0)
     assert substring.substring_dedup(none).count() == 0
