@@ -84,12 +84,13 @@ def scan(docs: DataFrame, ledger: str, rule_version: int = RULE_VERSION) -> Data
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    docs = docs.select("doc_id", text.alias("text"), content_address(F.col("text")).alias("blob"))
+    # row is never null, also where doc_id is; equal ones cost a second scan of the same blob at most.
+    docs = docs.select("doc_id", text.alias("text"), content_address(F.col("text")).alias("blob"), F.xxhash64("doc_id").alias("row"))
     known = _ledger(spark, ledger)
-    first = docs.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
+    first = docs.groupBy("blob").agg(F.min("row").alias("row"))
     if known is not None:
         first = first.join(known.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
-    fresh = docs.join(first.hint("shuffle_hash"), ["blob", "doc_id"], "left_semi")
+    fresh = docs.join(first.hint("shuffle_hash"), ["blob", "row"], "left_semi")
     findings = find_spans(fresh.select("blob", "text")).dropDuplicates(["blob"])
     # Blobs without findings are entered too, so that they are not scanned again; narrow rows, no text.
     entered = first.select("blob").join(findings, "blob", "left").select("blob", F.lit(rule_version).alias("rule_version"), "findings")

@@ -242,6 +242,15 @@ def test_secrets_and_the_ledger(spark, tmp_path):
     assert secrets.scan(docs.limit(0), f"file://{tmp_path}/none").count() == 0
 
 
+def test_secrets_under_null_ids(spark, tmp_path):
+    rows = [(None, SECRETS[0]), (None, SECRETS[0]), (1, "fine"), (None, SECRETS[4]), (2, SECRETS[4])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ledger = f"file://{tmp_path}/ledger"
+    got = [(r[0], sorted(tuple(x[k] for k in ("start", "ord", "end", "kind")) for x in r[1] or [])) for r in secrets.scan(docs, ledger).select("doc_id", "findings").collect()]
+    assert collections.Counter(map(str, got)) == collections.Counter(str((i, plain_spans(t))) for i, t in rows)
+    assert spark.read.parquet(ledger).count() == 3
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "😀 token = 'abcdefghijklmnop0123' z", 3), (2, "fine", 4), (3, None, 0)], "doc_id long, text string, n_chars long")
     out = {r[0]: r for r in secrets.keep_secret_free(spark, docs, "").collect()}
