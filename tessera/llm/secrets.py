@@ -118,10 +118,24 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in BASE), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(spans).alias("spans"))
 
 
+#: A line break that no base64 line, PEM attribute or empty line follows.
+_BODY_ENDS = r"(?:\r?\n|\\[rn])(?![ \t>]*(?:[A-Za-z0-9+/=]*+|(?:Proc-Type|DEK-Info):[^\r\n\\]*+)[ \t]*(?:[\r\n\\]|$))"
+
+
+def _key_size(rest: Column) -> Column:
+    """Length of a private key's body at the start of `rest`: to its END line, else to the end of its base64 lines."""
+    rest = F.substring_index(rest, "-----BEGIN ", 1)
+    closed = F.regexp_extract(rest, r"(?s)^.*?-----END [A-Z ]{0,30}PRIVATE KEY-----", 0)
+    lines = F.rtrim(F.split(rest, _BODY_ENDS, 2)[0])
+    same_line = F.regexp_extract(rest, r"^[ \t]*[A-Za-z0-9+/=]{32,}", 0)
+    return F.length(F.when(closed != "", closed).when(rest.rlike(r"^[ \t]*(?:[\r\n]|\\[rn])"), lines).otherwise(same_line)).cast("bigint")
+
+
 def keep_secret_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document stays; each found span is replaced in its text by [kind].
 
-    Overlapping spans (a hex run inside an assignment) merge into one replacement under the first one's kind.
+    A private key's header is found by the scan; its body goes with it. Overlapping spans (a hex run inside an
+    assignment) merge into one replacement under the first one's kind.
     """
     found = scan(docs, new_ledger(spark)).where("findings IS NOT NULL").select("blob", "findings").dropDuplicates(["blob"])
     blob = content_address(F.col("text"))
@@ -131,7 +145,9 @@ def keep_secret_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     def step(acc: Column, x: Column) -> Column:
         fresh = x["start"] >= acc["at"]
         piece = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.greatest(x["start"] - acc["at"], F.lit(0)).cast("int"))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], piece, F.lit("["), x["kind"], F.lit("]"))).otherwise(acc["out"]).alias("out"))
+        rest = F.substring(F.col("text"), (x["end"] + 1).cast("int"), F.length("text"))
+        end = x["end"] + F.when(x["kind"] == "pem", _key_size(rest)).otherwise(F.lit(0).cast("bigint"))
+        return F.struct(F.greatest(acc["at"], end).alias("at"), F.when(fresh, F.concat(acc["out"], piece, F.lit("["), x["kind"], F.lit("]"))).otherwise(acc["out"]).alias("out"))
 
     done = F.aggregate(F.col("findings"), start, step)
     rest = F.substring(F.col("text"), (done["at"] + 1).cast("int"), F.length("text"))

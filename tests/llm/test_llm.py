@@ -258,6 +258,19 @@ def test_redaction(spark):
     assert out[2]["text"] == "fine" and out[3]["text"] is None
 
 
+def test_redaction_of_whole_private_keys(spark):
+    head, tail = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    body = "\n".join(["MIIEpAIBAAKCAQEA+/xyz" + "Q" * 43] * 20 + ["shortTail=="])
+    texts = [
+        (f"a {head}\n{body}\n{tail} z", "a [pem] z"), (f"a {head}\n{body}\nand so on, then", "a [pem]\nand so on, then"), (f"a\n{head}\n{body}", "a\n[pem]"),
+        (f"{head}\n{body}\nno end here\n{head}\n{body}\n{tail}\nz", "[pem]\nno end here\n[pem]\nz"), (f"the line {head} begins keys", "the line [pem] begins keys"),
+        (f"k = \"{head}\\n{'M' * 64}\\n{'N' * 20}\\n{tail}\\n\"", 'k = "[pem]\\n"'), (f"x {head} {'M' * 64} y", "x [pem] y"),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = {r[0]: r[1] for r in secrets.keep_secret_free(spark, docs, "").collect()}
+    assert got == {i: want for i, (_, want) in enumerate(texts)}
+
+
 def test_sentencepiece(spark, docs):
     import sentencepiece
 
