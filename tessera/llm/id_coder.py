@@ -1,17 +1,25 @@
 """Adaptive context-mixing range coder for token ids.
 
-Ids are cut into blocks of BLOCK_IDS; every block starts from a fresh model and carries a CRC-32 of its ids and words, so
-that any block can be decoded alone. For each id, order 2 predicts the id that last followed the two ids
-before, order 1 the one that last followed the id before, and order 0 gives a distribution over all ids by
-adaptive tables of their nibbles, each in the context of the nibbles above it. The mixture of the three, weighted by how often a prediction of
-such an order and confidence has come true in the block, drives a carry-less 64-bit range coder with 16-bit words. An id that no prediction hits takes one more coding step for
-up to four nibbles, whose nested intervals are exact in 48 bits.
-
-Blocks are coded side by side, one numpy lane each, which changes nothing in a block's bytes.
-
-A file image: the header (magic, version, nibbles, block size, documents, ids, ids before it in its part), then
-zlib-packed document ids (with a null flag each) and id counts, then for each block its words and CRC-32, then the
-blocks' words. Numbers are little-endian.
+A file's ids are cut into blocks of about BLOCK_IDS. Every block starts from a fresh model, decodes from its own words
+and the file's header alone, and carries a CRC-32 of its ids and words.
+
+Model of a block. What was coded so far (the history) is kept sorted by id, next id and the id after that, so that
+one sorted array holds the adaptive counts of all orders: the entries that begin with the last two ids are
+order 2's distribution of the next one, those that begin with the last id order 1's, and all entries order 0's. A
+fourth part is the file's own distribution (powers of two near the counts, in the header), which gives every id of the
+file a share. The four are mixed: their weights are adaptive shares, in the block, of how often each order was the
+highest to know the next id, by how many entries orders 2 and 1 have there. The sorted history and the weights are
+renewed when the block has trebled (marks()), in between they stand still; an id takes the highest order
+that knows it. Its interval in 2^26 drives a 48-bit range coder with 16-bit words; carries are added when a
+block ends.
+
+Blocks are coded side by side, one numpy lane each, which changes nothing in a block's bytes. The encoder sorts each
+block once: the entries of a history are those of the whole block's order that came early enough, so all its intervals
+come from running counts, and only the range itself is narrowed id by id. The decoder sorts at each renewal.
+
+A file image: the header (magic, version, blocks, documents, ids, ids before it in its part), then zlib-packed
+document ids (with a null flag each), id counts, the distinct ids and their shares, then for each block its words and
+CRC-32, then the blocks' words. Numbers are little-endian. Ids are unsigned 32-bit ones, up to 2^21 distinct ones a file.
 """
 
 from __future__ import annotations
@@ -21,255 +29,352 @@ import zlib
 
 import numpy as np
 
-MAGIC, VERSION, BLOCK_IDS, LANES = b"TIDB", 1, 2048, 3072
-_HEAD = struct.Struct("<4sHBxIQQQII")
-_BITS, _NIBBLE_BITS, _LEAST, _RATE, _STEP = 15, 12, 1, 5, 4
-_ONE, _NIBBLE = 1 << _BITS, 1 << _NIBBLE_BITS
-_ROWS, _SLOTS1, _SLOTS2 = 1 + 16 + 256 + 256, 1024, 2048
-_TOP, _INSIDE, _WORD, _SHIFT = np.uint64(1 << 48), np.uint64((1 << 48) - 1), np.uint64(16), np.uint64(48)
+MAGIC, VERSION, BLOCK_IDS, LANES = b"TIDB", 2, 2048, 3072
+FILE_IDS = 2048 * BLOCK_IDS  # a file ends with the document that reaches this
+_HEAD = struct.Struct("<4sHIQQQIII")
+_MIX, _SPAN = 12, 14
+#: All arithmetic on ranges is on whole numbers in doubles, which are exact below 2^53.
+_ONE, _TOP, _WORD, _LEAST, _FULL = 2.0**_SPAN, 2.0 ** (_MIX + _SPAN), 2.0**16, 2.0**32, 2.0**48
+_ROWS = 32  # lanes whose tables are made at once, so that they stay in the processor's cache
+#: Classes of how many entries order 2 and order 1 have: the least number of each class.
+_STEPS2, _STEPS1 = np.array([0, 1, 2, 3, 6]), np.array([0, 1, 2, 4, 9, 25])
+_CLASSES = len(_STEPS2) * len(_STEPS1)
+#: Counts that the weights start from: orders 2, 1, 0 and the file's distribution.
+_START = np.array([[[3 * c2 + 2 if c2 else 0, c1 + 1 if c1 else 0, 6, 4] for c1 in range(len(_STEPS1))] for c2 in range(len(_STEPS2))]).reshape(_CLASSES, 4)
 
 
 class Damaged(ValueError):
     """A file image or block that isn't what was written."""
 
 
-def _targets() -> np.ndarray:
-    """For each symbol the table (shares below each symbol) it pulls towards; every symbol keeps _LEAST."""
-    j = np.arange(16)
-    return np.where(j[None, :] > j[:, None], _NIBBLE - (16 - j) * _LEAST, j * _LEAST).astype(np.int16)
-
-
-_TARGETS = _targets()
-
-
-class _Lanes:
-    """Model and coder state of some blocks; encoding and decoding differ in `code` alone."""
-
-    def __init__(self, lanes: int, nibbles: int) -> None:
-        self.lanes, self.nibbles = lanes, nibbles
-        self.table = np.empty((lanes * _ROWS, 16), np.int16)
-        self.table[:] = np.arange(16) * (_NIBBLE // 16)
-        self.last1, self.last2 = np.full(lanes * _SLOTS1, -1, np.int32), np.full(lanes * _SLOTS2, -1, np.int32)
-        # Shares of true predictions, by confidence (0 to 3) and, for order 2, whether order 1 agrees.
-        self.true2, self.true1 = np.full(lanes * 8, _ONE // 4, np.int64), np.full(lanes * 4, _ONE // 8, np.int64)
-        self.lane = np.arange(lanes, dtype=np.int64)
-        self.one, self.two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.low, self.size = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-
-    def predict(self) -> None:
-        a, b, lane = self.one, self.two, self.lane
-        self.at1 = lane * _SLOTS1 + (a * 0x9E3779B1 >> 12 & _SLOTS1 - 1)
-        self.at2 = lane * _SLOTS2 + ((a * 0x85EBCA77 ^ b * 0x27D4EB2F) >> 10 & _SLOTS2 - 1)
-        v1, v2 = self.last1[self.at1].astype(np.int64), self.last2[self.at2].astype(np.int64)  # id * 4 + confidence, or -1
-        self.id1, self.id2 = v1 >> 2, v2 >> 2
-        same = self.id1 == self.id2
-        self.conf1, self.conf2 = v1 & 3, v2 & 3
-        self.in1, self.in2 = lane * 4 + self.conf1, lane * 8 + self.conf2 * 2 + same
-        self.p2 = np.where(self.id2 < 0, 0, self.true2[self.in2])
-        p1 = np.where(same | (self.id1 < 0), 0, self.true1[self.in1])
-        self.p12 = self.p2 + ((_ONE - self.p2) * p1 >> _BITS)
-
-    def learn(self, x: np.ndarray) -> None:
-        hit2, hit1 = x == self.id2, x == self.id1
-        t = self.true2[self.in2]
-        self.true2[self.in2] = t + ((np.where(hit2, _ONE - 64, 64) - t) >> 5)
-        t = self.true1[self.in1]
-        self.true1[self.in1] = t + ((np.where(hit1, _ONE - 64, 64) - t) >> 5)
-        self.last2[self.at2] = x * 4 + np.where(hit2, np.minimum(self.conf2 + 1, 3), 0)
-        self.last1[self.at1] = x * 4 + np.where(hit1, np.minimum(self.conf1 + 1, 3), 0)
-        self.two, self.one = self.one, x
-
-    def row(self, lanes: np.ndarray, k: int, path: np.ndarray) -> np.ndarray:
-        node = path + (0, 1, 17)[k] if k < 3 else 273 + ((path * 0x2545F491 + k * 0x632BE5AB) >> 13 & 255)
-        return lanes * _ROWS + node
-
-    def pull(self, row: np.ndarray, shares: np.ndarray, s: np.ndarray) -> None:
-        step = _TARGETS.take(s, axis=0)
-        step -= shares
-        step >>= _RATE
-        shares += step
-        self.table[row] = shares
+def marks(n: int) -> list[int]:
+    """Sizes at which a block of n ids renews its model, and n."""
+    out = [0]
+    while (at := max(64, 3 * out[-1])) < n:
+        out.append(at)
+    return [*out, n]
+
+
+def _classes(steps: np.ndarray, n: int) -> np.ndarray:
+    return np.searchsorted(steps, np.arange(n + 1), "right") - 1
+
+
+def _weights(counts: np.ndarray) -> np.ndarray:
+    """counts: lanes x classes x 4. Where orders 1 and 0 and the file's distribution begin, in steps of _ONE up to _TOP."""
+    top = 1 << _MIX
+    share = np.where(_START > 0, counts * (top - 4) // counts.sum(2, keepdims=True) + 1, 0)
+    first, second = share[:, :, 0], share[:, :, 0] + share[:, :, 1]
+    return np.stack([first, second, top - share[:, :, 3], share[:, :, 3]], 2).reshape(-1, 4).astype(np.float32) * np.float32(_ONE)
+
+
+def _sorted(h: np.ndarray, entries: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """h: lanes x ids (below 2^bits). The order of each lane's first `entries` places by the three ids from each, and the keys."""
+    n = h.shape[1]
+    key = np.zeros((len(h), entries), np.uint64)
+    for k in range(3):
+        key <<= np.uint64(bits)
+        there = min(entries, n - k)
+        key[:, :there] |= h[:, k : k + there].astype(np.uint64)
+    place = max(1, (entries - 1).bit_length())
+    if 3 * bits + place <= 64:
+        key <<= np.uint64(place)
+        key |= np.arange(entries, dtype=np.uint64)
+        key.sort(axis=1)
+        return (key & np.uint64((1 << place) - 1)).astype(np.int32), key >> np.uint64(place)
+    order = key.argsort(axis=1, kind="stable")
+    return order.astype(np.int32), np.take_along_axis(key, order, 1)
+
+
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a sorted key, all lanes one after another: where a new run of equal keys begins, and these places."""
+    new = np.ones(key.shape, bool)
+    np.not_equal(key[:, 1:], key[:, :-1], out=new[:, 1:])
+    new = new.ravel()
+    return new, np.flatnonzero(new).astype(np.int32)
+
+
+def _prepared(h: np.ndarray, bits: int, ends: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and width of each id's interval among 2^(_MIX + _SPAN), and whether the file's distribution follows."""
+    lanes, n = h.shape
+    start, width, fresh = np.zeros((lanes, n)), np.zeros((lanes, n)), np.ones((lanes, n), bool)
+    order, key = _sorted(h, n, bits)
+    flat = (np.arange(lanes)[:, None] * n + order).ravel()
+    runs = []  # of one, two and three equal ids: where they begin (and the last one ends), and each place's run
+    for level in (1, 2, 3):
+        new, begin = _runs(key >> np.uint64(bits * (3 - level)))
+        run = np.empty(lanes * n, np.int32)
+        run[flat] = np.cumsum(new, dtype=np.int32) - 1
+        runs.append((np.append(begin, np.int32(lanes * n)), run.reshape(lanes, n)))
+    counts = np.tile(_START, (lanes, 1, 1))
+    early = order.astype(np.int16) if n < 1 << 15 else order
+    class2, class1 = _classes(_STEPS2, n) * len(_STEPS1), _classes(_STEPS1, n)
+    lane = np.arange(lanes)[:, None] * _CLASSES
+    for a, b in zip(ends[1:-1], ends[2:], strict=True):
+        below = np.zeros(lanes * n + 1, np.int32)  # entries before each place, over all lanes
+        np.cumsum(early.ravel() <= a - 3, out=below[1:])
+        edges = []
+        for (begin, run), last in zip(runs, (b, b, b - 2), strict=True):
+            entries, mine = below.take(begin), run[:, a - 2 : last]
+            edges += [entries.take(mine), entries.take(mine + 1)]
+        s1, e1, s2, e2, s3, e3 = edges
+        c1, c2 = s1[:, 1:-1], s2[:, :-2]
+        n1, n2 = e1[:, 1:-1] - c1, e2[:, :-2] - c2
+        in2, in1, in0 = e3 > s3, e2[:, 1:-1] > s2[:, 1:-1], e1[:, 2:] > s1[:, 2:]
+        at = np.where(in2, 0, np.where(in1, 1, np.where(in0, 2, 3)))
+        kind = lane + class2[n2] + class1[n1]
+        w1, w0, wf, _ = (x[kind].astype(float) for x in np.ascontiguousarray(_weights(counts).T))
+        base = np.where(in2, 0, np.where(in1, w1, np.where(in0, w0, wf)))
+        w = (np.where(in2, w1, np.where(in1, w0, np.where(in0, wf, _TOP))) - base) * (1 / _ONE)
+        every = np.arange(lanes)[:, None] * (a - 2)  # where each lane's entries begin
+        size = np.where(in2, n2, np.where(in1, n1, a - 2))
+        low = np.where(in2, s3 - c2, np.where(in1, s2[:, 1:-1] - c1, s1[:, 2:] - every))
+        high = np.where(in2, e3 - c2, np.where(in1, e2[:, 1:-1] - c1, e1[:, 2:] - every))
+        low, high = np.floor(low * _ONE / size), np.floor(high * _ONE / size)
+        new = at == 3
+        low[new], high[new] = 0, _ONE
+        start[:, a:b] = base + w * low
+        width[:, a:b] = w * (high - low)
+        fresh[:, a:b] = new
+        counts += np.bincount((kind * 4 + at).ravel(), minlength=counts.size).reshape(counts.shape)
+    return start, width, fresh
+
+
+def encode_blocks(ids: np.ndarray, n: np.ndarray, cum: np.ndarray) -> list[np.ndarray]:
+    """ids: one row a block, of n ids each (n falls, by 1 at most), below len(cum) - 1; cum: running shares of the ids.
+
+    Each block's 16-bit words.
+    """
+    lanes, longest = ids.shape
+    bits, ends = max(1, (len(cum) - 2).bit_length()), marks(longest)
+    start, width, fresh = np.empty((longest, lanes)), np.empty((longest, lanes)), np.empty((longest, lanes), bool)
+    for a in range(0, lanes, _ROWS):
+        for out, part in zip((start, width, fresh), _prepared(ids[a : a + _ROWS], bits, ends), strict=True):
+            out[:, a : a + _ROWS] = part.T
+    total, room = float(cum[-1]), 4 * longest + 8
+    words, at = np.zeros(lanes * room, np.uint32), np.arange(lanes, dtype=np.int64) * room
+    low, size = np.zeros(lanes), np.full(lanes, _FULL)
+    columns, share, cum = np.ascontiguousarray(ids.T), np.diff(cum).astype(float), cum.astype(float)
+    model = ends[1] if len(ends) > 2 else longest
+
+    def settle(low: np.ndarray, size: np.ndarray, at: np.ndarray, ready: np.ndarray) -> None:
+        while len(ready):
+            x, y, where = low.take(ready), size.take(ready) * _WORD, at.take(ready)
+            word = np.floor(x * (1 / _LEAST))
+            words[where] = word
+            low[ready], size[ready], at[ready] = (x - word * _LEAST) * _WORD, y, where + 1
+            ready = ready[y < _LEAST]
+
+    for t in range(longest):
+        if t == longest - 1:  # blocks that are shorter by one have ended
+            live = int((n == longest).sum())
+            held = low[live:].copy(), at[live:].copy()
+            lo, sz, to = low[:live], size[:live], at[:live]
+        else:
+            live, lo, sz, to = lanes, low, size, at
+        if t >= model:
+            r = np.floor(sz * (1 / _TOP))
+            lo += start[t, :live] * r
+            np.multiply(width[t, :live], r, out=sz)
+            settle(lo, sz, to, np.flatnonzero(sz < _LEAST))
+        new = np.flatnonzero(fresh[t, :live])
+        if len(new):
+            x, r = columns[t].take(new), np.floor(sz.take(new) / total)
+            lo[new] += cum.take(x) * r
+            r *= share.take(x)
+            sz[new] = r
+            settle(lo, sz, to, new[r < _LEAST])
+    if longest:
+        low[live:], at[live:] = held
+    low = low.astype(np.int64)
+    for shift in (32, 16, 0):  # the low end closes a block
+        words[at] = (low >> shift) if shift == 32 else (low >> shift) & 0xFFFF
+        at += 1
+    used = at - np.arange(lanes) * room
+    words = words.reshape(lanes, room)[:, : used.max()]
+    while (over := words > 0xFFFF).any():
+        words[over] -= 0x10000
+        words[:, :-1] += over[:, 1:]
+    return [words[i, : used[i]].astype(np.uint16) for i in range(lanes)]
+
+
+class _History:
+    """The decoder's tables of one renewal, lanes one after another.
+
+    order: the sorted entries. at: for each place y of the history its id, and the runs that it stands in as the first,
+    second and third id (of the entries y, y - 1 and y - 2), each as where it begins and ends.
+    """
+
+    def __init__(self, h: np.ndarray, bits: int) -> None:
+        lanes, n = h.shape
+        self.entries = n - 2
+        self.order, at = np.empty((lanes, n - 2), np.int32), np.zeros((lanes, n, 4), np.uint32)
+        for a in range(0, lanes, _ROWS):
+            self._fill(h[a : a + _ROWS], bits, self.order[a : a + _ROWS], at[a : a + _ROWS])
+        self.order, self.at = self.order.ravel(), at.view(np.uint16).reshape(-1, 8)  # each number as its low and high half
+
+    def found(self, places: np.ndarray) -> np.ndarray:
+        """Rows of numbers: the ids at places, and begin and end of the three runs."""
+        out = self.at.take(places, axis=0).T.astype(np.float64, order="C")
+        out[1] *= 65536
+        out[1] += out[0]
+        return out[1:]
 
     @staticmethod
-    def share(shares: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and width of each row's symbol."""
-        at = np.arange(0, 16 * len(s), 16) + s
-        flat = shares.reshape(-1)
-        lo = flat.take(at).astype(np.int64)
-        hi = flat.take(at + 1, mode="clip").astype(np.int64)
-        hi[s == 15] = _NIBBLE
-        hi -= lo
-        return lo, hi
-
-    def steps(self) -> list[range]:
-        return [range(a, min(a + _STEP, self.nibbles)) for a in range(0, self.nibbles, _STEP)]
-
-
-def _settled(low: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Lanes whose range lies below one word's: their first word is settled, a range across its border is cut to end there."""
-    ready = np.flatnonzero(size < _TOP)
-    if len(ready):
-        x, y = low[ready], size[ready]
-        across = ((x ^ (x + y)) >= _TOP) & (y > 0)
-        size[ready] = np.where(across, (~x + np.uint64(1)) & _INSIDE, y)
-    return ready
-
-
-class _Encoder(_Lanes):
-    def __init__(self, lanes: int, nibbles: int, longest: int) -> None:
-        super().__init__(lanes, nibbles)
-        self.words, self.at = np.zeros((lanes, longest * (nibbles + 2) + 4), np.uint16), np.zeros(lanes, np.int64)
-
-    def code(self, lanes: np.ndarray, low: np.ndarray, size: np.ndarray, lo: np.ndarray, width: np.ndarray, bits: int) -> None:
-        """Narrow the ranges of some lanes (low and size are theirs) and put out settled words."""
-        size >>= np.uint64(bits)
-        low += lo.view(np.uint64) * size
-        size *= width.view(np.uint64)
-        ready = _settled(low, size)
-        while len(ready):
-            which, x = lanes[ready], low[ready]
-            at = self.at[which]
-            self.words[which, at] = x >> _SHIFT
-            self.at[which] = at + 1
-            x <<= _WORD
-            y = size[ready] << _WORD
-            again = _settled(x, y)
-            low[ready], size[ready] = x, y
-            ready = ready[again]
-
-    def put(self, x: np.ndarray) -> None:
-        self.predict()
-        p2, p12 = self.p2, self.p12
-        first, second = (x == self.id2) & (p2 > 0), (x == self.id1) & (p12 > p2)
-        lo = np.where(first, 0, np.where(second, p2, p12))
-        width = np.where(first, p2, np.where(second, p12, _ONE)) - lo
-        self.code(self.lane, self.low, self.size, lo, width, _BITS)
-        lanes = np.flatnonzero(~(first | second))
-        if len(lanes):
-            low, size, y = self.low[lanes], self.size[lanes], x[lanes]
-            # The encoder knows all nibbles, so that the tables are read and pulled at once.
-            row = np.concatenate([self.row(lanes, k, y >> 4 * (self.nibbles - k)) for k in range(self.nibbles)])
-            s = np.concatenate([y >> 4 * (self.nibbles - 1 - k) & 15 for k in range(self.nibbles)])
-            shares = self.table.take(row, axis=0)
-            lo, width = (z.reshape(self.nibbles, -1) for z in self.share(shares, s))
-            for part in self.steps():
-                start, all_ = lo[part[0]].copy(), width[part[0]].copy()
-                for k in part[1:]:
-                    start <<= _NIBBLE_BITS
-                    start += all_ * lo[k]
-                    all_ *= width[k]
-                self.code(lanes, low, size, start, all_, _NIBBLE_BITS * len(part))
-            self.pull(row, shares, s)
-            self.low[lanes], self.size[lanes] = low, size
-        self.learn(x)
-
-
-class _Decoder(_Lanes):
-    def __init__(self, data: np.ndarray, nibbles: int) -> None:
-        super().__init__(len(data), nibbles)
-        self.data, self.at = data, np.full(len(data), 4, np.int64)
-        first = data[:, :4].astype(np.uint64)
-        self.value = first[:, 0] << np.uint64(48) | first[:, 1] << np.uint64(32) | first[:, 2] << np.uint64(16) | first[:, 3]
-
-    def place(self, low: np.ndarray, size: np.ndarray, value: np.ndarray, bits: int) -> np.ndarray:
-        """Each lane's place among 2^bits shares; size becomes that of one share."""
-        size >>= np.uint64(bits)
-        return np.minimum((value - low) // size, np.uint64((1 << bits) - 1)).view(np.int64)
-
-    def code(self, lanes: np.ndarray, low: np.ndarray, size: np.ndarray, value: np.ndarray, lo: np.ndarray, width: np.ndarray) -> None:
-        low += lo.view(np.uint64) * size
-        size *= width.view(np.uint64)
-        ready = _settled(low, size)
+    def _fill(h: np.ndarray, bits: int, order: np.ndarray, at: np.ndarray) -> None:
+        lanes, n = h.shape
+        order[:], key = _sorted(h, n - 2, bits)
+        flat = (np.arange(lanes, dtype=np.int32)[:, None] * n + order).ravel()
+        at[:, :, 0] = h
+        for level in (1, 2, 3):
+            some = key >> np.uint64(bits * (3 - level))
+            _, begin = _runs(some)
+            size = np.diff(begin, append=np.int32(some.size))
+            begin %= n - 2
+            run = np.zeros(lanes * n, np.uint32)
+            run[flat] = np.repeat((begin | (begin + size) << 16).astype(np.uint32), size)
+            run = run.reshape(lanes, n)
+            # The last two places aren't entries, but their runs are contexts.
+            for place in {1: (n - 2, n - 1), 2: (n - 2,), 3: ()}[level]:
+                want = np.zeros(lanes, np.uint64)
+                for k in range(level):
+                    want = (want << np.uint64(bits)) | h[:, place + k].astype(np.uint64)
+                run[:, place] = np.count_nonzero(some < want[:, None], axis=1) | np.count_nonzero(some <= want[:, None], axis=1) << 16
+            at[:, level - 1 :, level] = run[:, : n - level + 1]
+
+
+def decode_blocks(words: list[np.ndarray], n: np.ndarray, cum: np.ndarray) -> np.ndarray:
+    """The inverse: one row a block; the last id of a row that is shorter by one is 0."""
+    lanes, longest = len(words), int(n.max())
+    room = max(map(len, words)) + 8
+    data = np.zeros((lanes, room), np.int64)
+    for i, w in enumerate(words):
+        data[i, : len(w)] = w
+    data = data.ravel()
+    bits, ends, total = max(1, (len(cum) - 2).bit_length()), marks(longest), float(cum[-1])
+    lane = np.arange(lanes, dtype=np.int64)
+    at = lane * room
+    last = at + room - 1
+    code = ((data[at] << 32) | (data[at + 1] << 16) | data[at + 2]).astype(float)
+    at += 3
+    size = np.full(lanes, _FULL)
+    ids, share, cum = np.zeros((longest, lanes), np.int64), np.diff(cum).astype(float), cum.astype(float)
+    counts = np.tile(_START, (lanes, 1, 1))
+    class2, class1 = _classes(_STEPS2, longest) * len(_STEPS1), _classes(_STEPS1, longest)
+
+    def settle(ready: np.ndarray) -> None:
         while len(ready):
-            which = lanes[ready]
-            at = self.at[which]
-            value[ready] = value[ready] << _WORD | self.data[which, np.minimum(at, self.data.shape[1] - 1)]
-            self.at[which] = at + 1
-            x, y = low[ready] << _WORD, size[ready] << _WORD
-            again = _settled(x, y)
-            low[ready], size[ready] = x, y
-            ready = ready[again]
-
-    def get(self) -> np.ndarray:
-        self.predict()
-        p2, p12 = self.p2, self.p12
-        v = self.place(self.low, self.size, self.value, _BITS)
-        first, other = v < p2, v >= p12
-        lo = np.where(first, 0, np.where(other, p12, p2))
-        width = np.where(first, p2, np.where(other, _ONE, p12)) - lo
-        self.code(self.lane, self.low, self.size, self.value, lo, width)
-        x = np.where(first, self.id2, self.id1)
-        lanes = np.flatnonzero(other)
-        if len(lanes):
-            low, size, value, path = self.low[lanes], self.size[lanes], self.value[lanes], np.zeros(len(lanes), np.int64)
-            rows, tables, symbols = [], [], []
-            for part in self.steps():
-                v = self.place(low, size, value, _NIBBLE_BITS * len(part))
-                start, all_ = np.zeros(len(lanes), np.int64), np.ones(len(lanes), np.int64)
-                for k in part:
-                    below = _NIBBLE_BITS * (part[-1] - k)
-                    row = self.row(lanes, k, path)
-                    shares = self.table.take(row, axis=0)
-                    u = ((v >> below) // all_).astype(np.int16)
-                    s = (shares <= u[:, None]).sum(1) - 1
-                    lo, width = self.share(shares, s)
-                    inside = all_ * lo
-                    start = (start << _NIBBLE_BITS) + inside
-                    v = v - (inside << below)
-                    all_ = all_ * width
-                    path = path * 16 + s
-                    rows.append(row)
-                    tables.append(shares)
-                    symbols.append(s)
-                self.code(lanes, low, size, value, start, all_)
-            self.pull(np.concatenate(rows), np.concatenate(tables), np.concatenate(symbols))
-            self.low[lanes], self.size[lanes], self.value[lanes] = low, size, value
-            x[lanes] = path
-        self.learn(x)
+            where, y = at.take(ready), size.take(ready) * _WORD
+            # (The remainder and the bound are for damaged words alone.)
+            code[ready] = np.fmod(code.take(ready) * _WORD, _FULL) + data.take(np.minimum(where, last.take(ready)))
+            size[ready], at[ready] = y, where + 1
+            ready = ready[y < _LEAST]
+
+    def from_file(some: np.ndarray) -> np.ndarray:
+        r = np.floor(size.take(some) / total)
+        x = np.searchsorted(cum, np.minimum(np.floor(code.take(some) / r), total - 1), "right") - 1
+        code[some] -= cum.take(x) * r
+        r *= share.take(x)
+        size[some] = r
+        settle(some[r < _LEAST])
         return x
 
-
-def encode_blocks(ids: np.ndarray, n: np.ndarray, nibbles: int) -> list[np.ndarray]:
-    """ids: one row a block, of n ids each (n falls). Each block's 16-bit words."""
-    coder, done = _Encoder(len(n), nibbles, ids.shape[1]), {}
-    columns = np.ascontiguousarray(ids.T).astype(np.int64)
-    ends = {int(t): np.flatnonzero(n == t) for t in np.unique(n)}
-    for t in range(ids.shape[1]):
-        coder.put(columns[t])
-        for i in ends.get(t + 1, ()):
-            low = int(coder.low[i])
-            done[i] = np.append(coder.words[i, : coder.at[i]], np.array([low >> k & 0xFFFF for k in (48, 32, 16, 0)], np.uint16))
-    return [done[i] for i in range(len(n))]
-
-
-def decode_blocks(words: list[np.ndarray], n: np.ndarray, nibbles: int) -> np.ndarray:
-    data = np.zeros((len(n), max(map(len, words)) + 5), np.uint16)
-    for i, w in enumerate(words):
-        data[i, : len(w)] = w
-    coder = _Decoder(data, nibbles)
-    return np.stack([coder.get() for _ in range(int(n.max()))], axis=1)
+    def trimmed() -> None:
+        """Only blocks of full length have a last id."""
+        nonlocal lane, code, size, at, last
+        live = int((n == longest).sum())
+        lane, code, size, at, last = lane[:live], code[:live], size[:live], at[:live], last[:live]
+
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        if a == 0:
+            for t in range(b):
+                if t == longest - 1:
+                    trimmed()
+                ids[t, : len(lane)] = from_file(lane)
+            continue
+        table = _History(np.ascontiguousarray(ids[:a].T), bits)
+        weights = _weights(counts)
+        row, first = lane * a, lane * table.entries
+        _, s1, e1, s2, e2, _, _ = table.found(row + a - 1)
+        seen = []
+        for t in range(a, b):
+            if t == longest - 1:
+                trimmed()
+                row, first, s1, e1, s2, e2 = (z[: len(lane)] for z in (row, first, s1, e1, s2, e2))
+            n1, n2 = e1 - s1, e2 - s2
+            kind = lane * _CLASSES + (class2.take(n2.astype(np.int64)) + class1.take(n1.astype(np.int64)))
+            b1, b0, bf, _ = weights.take(kind, axis=0).T.astype(float, order="C")
+            r = np.floor(size * (1 / _TOP))
+            v = np.minimum(np.floor(code / r), _TOP - 1)
+            in2, in1, in0 = v < b1, v < b0, v < bf
+            base = np.where(in2, 0, np.where(in1, b1, np.where(in0, b0, bf)))
+            w = (np.where(in2, b1, np.where(in1, b0, np.where(in0, bf, _TOP))) - base) * (1 / _ONE)
+            begin, some = np.where(in2, s2, np.where(in1, s1, 0)), np.where(in2, n2, np.where(in1, n1, table.entries))
+            place = ((np.floor((v - base) / w) + 1) * some - 1) * (1 / _ONE)  # its whole part
+            y = row + table.order.take(first + (begin + np.floor(place)).astype(np.int64)) + in1 + in2
+            x, s1, e1, s2, e2, s3, e3 = table.found(y)
+            s2 *= in1
+            e2 *= in1
+            low, high = np.where(in2, s3, np.where(in1, s2, s1)) - begin, np.where(in2, e3, np.where(in1, e2, e1)) - begin
+            low, high = np.floor(low * _ONE / some), np.floor(high * _ONE / some)
+            new = np.flatnonzero(~in0)
+            low[new], high[new] = 0, _ONE
+            code -= (base + w * low) * r
+            np.multiply(w * (high - low), r, out=size)
+            settle(np.flatnonzero(size < _LEAST))
+            if len(new):
+                x[new] = from_file(new)
+                s1[new] = e1[new] = 0
+            ids[t, : len(lane)] = x
+            seen.append(kind * 4 + 3 - in0 - in1 - in2)
+        counts += np.bincount(np.concatenate(seen), minlength=counts.size).reshape(counts.shape)
+    return ids.T
+
+
+def _alphabet(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ids, each id's place among them, and the exponents of their shares."""
+    if ids.max(initial=0) < 1 << 24:
+        n = np.bincount(ids)
+        distinct = np.flatnonzero(n)
+        place = np.zeros(len(n), np.int64)
+        place[distinct] = np.arange(len(distinct))
+        rank, n = place[ids], n[distinct]
+    else:
+        distinct, rank, n = np.unique(ids, return_inverse=True, return_counts=True)
+    if len(distinct) > 1 << 21:
+        raise ValueError("a file holds 2^21 distinct ids at most")
+    return distinct.astype(np.uint32), rank, (np.frexp(n)[1] - 1).astype(np.uint8)
+
+
+def _running(exponents: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(np.int64(1) << exponents.astype(np.int64))])
+
+
+def _sizes(n_ids: int, n_blocks: int) -> np.ndarray:
+    """Blocks are equally long, the first ones by one more where that doesn't go even."""
+    return n_ids // n_blocks + (np.arange(n_blocks) < n_ids % n_blocks) if n_blocks else np.zeros(0, np.int64)
 
 
 def encode_file(doc_ids: np.ndarray, null: np.ndarray, counts: np.ndarray, ids: np.ndarray, before: int, block_ids: int = BLOCK_IDS) -> bytes:
     """A file image of whole documents: their ids, how many each has, and all ids one after another."""
-    nibbles = max(1, (int(ids.max(initial=0)).bit_length() + 3) // 4)
-    if nibbles > 7:
-        raise ValueError("ids must be below 2^28")
-    starts = range(0, len(ids), block_ids)
+    if block_ids > 1 << _SPAN:
+        raise ValueError("a block has 2^14 ids at most")
+    distinct, rank, exponents = _alphabet(ids)
+    cum = _running(exponents)
+    sizes = _sizes(len(ids), -(-len(ids) // block_ids))
+    cut = np.concatenate([[0], np.cumsum(sizes)])
     table, payload = [], []
-    for a in range(0, len(starts), LANES):
-        part = [ids[s : s + block_ids] for s in starts[a : a + LANES]]
-        n = np.array([len(x) for x in part], np.int64)
-        grid = np.zeros((len(part), int(n.max())), np.uint32)
-        for i, x in enumerate(part):
-            grid[i, : len(x)] = x
-        for x, w in zip(part, encode_blocks(grid, n, nibbles), strict=True):
+    for a in range(0, len(sizes), LANES):
+        n = sizes[a : a + LANES]
+        grid = np.zeros((len(n), int(n.max())), np.int64)
+        grid[np.arange(grid.shape[1])[None, :] < n[:, None]] = rank[cut[a] : cut[a + len(n)]]
+        for i, w in enumerate(encode_blocks(grid, n, cum), a):
             raw = w.astype("<u2").tobytes()
-            table.append((len(w), zlib.crc32(raw, zlib.crc32(x.astype("<u4").tobytes()))))
+            table.append((len(w), zlib.crc32(raw, zlib.crc32(ids[cut[i] : cut[i + 1]].astype("<u4").tobytes()))))
             payload.append(raw)
-    docs = zlib.compress(doc_ids.astype("<i8").tobytes() + null.astype(np.uint8).tobytes() + counts.astype("<u8").tobytes(), 6)
+    docs = doc_ids.astype("<i8").tobytes() + null.astype(np.uint8).tobytes() + counts.astype("<u8").tobytes()
+    docs = zlib.compress(docs + np.diff(distinct, prepend=np.uint32(0)).astype("<u4").tobytes() + exponents.tobytes(), 6)
     blocks = np.array(table, "<u4").reshape(-1, 2).tobytes()
-    head = _HEAD.pack(MAGIC, VERSION, nibbles, block_ids, len(doc_ids), len(ids), before, len(docs), zlib.crc32(docs + blocks))
+    head = _HEAD.pack(MAGIC, VERSION, len(sizes), len(doc_ids), len(ids), before, len(distinct), len(docs), zlib.crc32(docs + blocks))
     return b"".join([head, docs, blocks, *payload])
 
 
@@ -277,26 +382,27 @@ def decode_file(image: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     """What encode_file was given; Damaged if anything differs from its checksums."""
     if len(image) < _HEAD.size:
         raise Damaged("short header")
-    magic, version, nibbles, block_ids, n_docs, n_ids, before, size, crc = _HEAD.unpack_from(image)
-    n_blocks = -(-n_ids // block_ids) if block_ids else 0
+    magic, version, n_blocks, n_docs, n_ids, before, n_distinct, size, crc = _HEAD.unpack_from(image)
     at = _HEAD.size + size
     if magic != MAGIC or version != VERSION or zlib.crc32(image[_HEAD.size : at + 8 * n_blocks]) != crc:
         raise Damaged("header or tables differ from their checksum")
     docs = zlib.decompress(image[_HEAD.size : at])
     doc_ids, null, counts = np.frombuffer(docs, "<i8", n_docs), np.frombuffer(docs, np.uint8, n_docs, 8 * n_docs).astype(bool), np.frombuffer(docs, "<u8", n_docs, 9 * n_docs).astype(np.int64)
+    distinct = np.cumsum(np.frombuffer(docs, "<u4", n_distinct, 17 * n_docs), dtype=np.uint32)
+    cum = _running(np.frombuffer(docs, np.uint8, n_distinct, 17 * n_docs + 4 * n_distinct))
     table = np.frombuffer(image, "<u4", 2 * n_blocks, at).reshape(-1, 2).astype(np.int64)
     at += 8 * n_blocks
     cut = at + 2 * np.concatenate([[0], np.cumsum(table[:, 0])])
     if cut[-1] != len(image):
         raise Damaged("another length than the block table's")
+    sizes = _sizes(n_ids, n_blocks)
+    place = np.concatenate([[0], np.cumsum(sizes)])
     ids = np.empty(n_ids, np.uint32)
     for a in range(0, n_blocks, LANES):
-        b = min(a + LANES, n_blocks)
-        n = np.minimum(block_ids, n_ids - np.arange(a, b) * block_ids)
-        got = decode_blocks([np.frombuffer(image, "<u2", table[i, 0], cut[i]) for i in range(a, b)], n, nibbles)
-        for i in range(a, b):
-            x = got[i - a, : n[i - a]].astype("<u4")
-            if zlib.crc32(image[cut[i] : cut[i + 1]], zlib.crc32(x.tobytes())) != table[i, 1]:
-                raise Damaged(f"block {i} differs from its checksum")
-            ids[i * block_ids : i * block_ids + len(x)] = x
+        n = sizes[a : a + LANES]
+        got = decode_blocks([np.frombuffer(image, "<u2", table[i, 0], cut[i]) for i in range(a, a + len(n))], n, cum)
+        ids[place[a] : place[a + len(n)]] = distinct[got[np.arange(got.shape[1])[None, :] < n[:, None]]]
+    for i in range(n_blocks):
+        if zlib.crc32(image[cut[i] : cut[i + 1]], zlib.crc32(ids[place[i] : place[i + 1]].astype("<u4").tobytes())) != table[i, 1]:
+            raise Damaged(f"block {i} differs from its checksum")
     return doc_ids, null, counts, ids, before

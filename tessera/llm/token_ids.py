@@ -1,8 +1,10 @@
 """Token-ID output: documents in ascending doc_id order to coded files and back.
 
-Whole texts are encoded with the tokenizers library. Its white-space rule never joins two ASCII-space-separated
-chunks, so chunks are encoded once and remembered (a cache of bounded size); a test holds this against
-encoding whole texts. Each document ends with END_ID.
+Texts are encoded with the tokenizers library. Where the tokenizer's rules (read from its file) cut at white space,
+before punctuation and around digits, and keep no case, a text's ids are those of its words one after another; then the
+words of a slice are told apart by Arrow, each distinct one is encoded once and remembered (a cache of bounded size,
+kept by the Python worker over its tasks). A test holds this against encoding whole texts. Other
+tokenizers get whole texts. Each document ends with END_ID.
 
 Rows are range-partitioned by doc_id (ties by a hash of the text, so that one repeated id can spread) and
 sorted; each task writes file images (see id_coder) of about FILE_IDS ids with its own running start. Parts'
@@ -15,57 +17,135 @@ ids come first; other columns are ignored. A damaged file raises Damaged.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import id_coder
 from ._session import shared_dir, ship, table
-from ._text import slices
-
-END_ID, CACHE, FILE_IDS = 1, 250_000, id_coder.LANES * id_coder.BLOCK_IDS
-_CHUNK = re.compile(r"[^ \t\n\r\x0b\x0c]+")
-
-
-class ChunkEncoder:
-    """Ids of texts as little-endian unsigned 32-bit integers, by remembered chunks."""
-
-    def __init__(self, path: str) -> None:
+from ._text import bytes_of, slices
+
+END_ID, CACHE, SLICE_BYTES, FILE_IDS = 1, 2_000_000, 8 << 20, id_coder.FILE_IDS
+#: The rules under which words may be encoded one by one (fixed values of the format): white space becomes one space,
+#: case is dropped, and this pattern finds the parts that the model sees.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of each word of lower-case texts: cut at white space, at digits, and before punctuation behind a letter."""
+    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    digit, letter = (data >= 48) & (data <= 57), (data >= 97) & (data <= 122)
+    other = inside & (data < 128) & ~digit & ~letter
+    ascii_ = digit | letter | other
+    cut = (digit[:-1] & ascii_[1:]) | (ascii_[:-1] & digit[1:]) | (letter[:-1] & other[1:])
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1] | cut
+    last[:-1] &= ~inside[1:] | cut
+    edge = off[:-1][off[:-1] < len(data)]
+    first[edge] = inside[edge]
+    before = edge[edge > 0] - 1
+    last[before] = inside[before]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+class Encoder:
+    """Ids of a column of texts."""
+
+    def __init__(self, model: str) -> None:
+        """model: the tokenizer's JSON."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        parts = [_CHUNK.findall(x) if x else [] for x in texts]
-        young, old = self.young, self.old
-        missing = {c for p in parts for c in p if c not in young}
-        if len(young) + len(missing) > CACHE:
-            self.old, self.young = young, {}
-            young, old = self.young, self.old
-            missing = {c for p in parts for c in p}
-        fresh = []
-        for c in missing:
-            known = old.get(c)
-            if known is None:
-                fresh.append(c)
-            else:
-                young[c] = known
-        for a in range(0, len(fresh), 4096):
-            some = fresh[a : a + 4096]
-            for c, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                young[c] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(young.__getitem__, p)) for p in parts]
+        self.tokenizer = Tokenizer.from_str(model)
+        rules = json.loads(model)
+        norm, pre, bpe = rules["normalizer"] or {}, rules["pre_tokenizer"] or {}, rules["model"]
+        split = (pre.get("pretokenizers") or [{}])[0]
+        special = [x["content"] for x in rules["added_tokens"]]
+        self.by_word = norm.get("normalizers") == _NORMALIZERS and (split.get("pattern"), split.get("behavior"), split.get("invert")) == ({"Regex": _PARTS}, "Removed", True) and bool(bpe.get("end_of_word_suffix"))
+        # Where a special token's text occurs, the whole text goes to the library.
+        self.special = [x.lower().encode() for x in special if x]
+        closing = [i for x, i in self.tokenizer.get_vocab().items() if x.endswith(bpe.get("end_of_word_suffix") or "\0")]
+        self.closes = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.closes[closing] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.large_binary())  # remembered words; the ids of word k are ids[at[k] : at[k] + size[k]]
+        self.ids, self.at, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter((i for x in found for i in x), np.uint32), np.array([len(x) for x in found], np.int64)
+
+    def _letters(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of letters alone are one part each, which the last id of each closes; so a line of them can be told apart."""
+        ids, _ = self._library([b" ".join(words[a : a + 256]).decode() for a in range(0, len(words), 256)])
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != len(words):
+            return self._library([x.decode() for x in words])
+        return ids, np.diff(ends, prepend=0)
+
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """Remember words, and where each is now."""
+        every, slot = words.to_pylist(), np.empty(len(words), np.int32)
+        letters = np.fromiter((x.isalpha() for x in every), bool, len(every))
+        for which, how in ((np.flatnonzero(letters), self._letters), (np.flatnonzero(~letters), lambda z: self._library([x.decode() for x in z]))):
+            if len(which):
+                ids, size = how([every[i] for i in which])
+                slot[which] = len(self.known) + np.arange(len(which))
+                self.known = pa.concat_arrays([self.known, words.take(pa.array(which))])
+                self.at = np.concatenate([self.at, (len(self.ids) + np.cumsum(size) - size).astype(np.int32)])
+                self.size = np.concatenate([self.size, size.astype(np.int32)])
+                self.ids = np.concatenate([self.ids, ids])
+        return slot
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, and how many each text has. Null counts as empty."""
+        raw, off = bytes_of(column)
+        data = raw + (((raw >= 65) & (raw <= 90)).view(np.uint8) << 5)
+        whole = data.tobytes()
+        if not self.by_word or any(x in whole for x in self.special):
+            return self._library(["" if x is None else x for x in column.to_pylist()])
+        start, end = _word_bounds(data, off)
+        at = np.concatenate([[0], np.cumsum(end - start)])
+        text = data[~((data == 32) | ((data >= 9) & (data <= 13)))]
+        words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(at), pa.py_buffer(text)]).dictionary_encode()
+        distinct = words.dictionary
+        slot = pc.index_in(distinct, value_set=self.known).fill_null(-1).to_numpy().copy()
+        if len(self.known) + (slot < 0).sum() > CACHE:
+            self._forget()
+            slot[:] = -1
+        missing = np.flatnonzero(slot < 0)
+        slot[missing] = self._learn(distinct.take(pa.array(missing)))
+        each = words.indices.to_numpy()
+        size = self.size[slot][each]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        from_ = np.repeat(self.at[slot][each] - ends[:-1].astype(np.int32), size)
+        from_ += np.arange(ends[-1], dtype=np.int32)
+        return self.ids.take(from_), np.diff(ends[np.searchsorted(start, off)])
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(model: str) -> Encoder:
+    """The worker's encoder of this model, with what earlier tasks left in its cache."""
+    key = hashlib.sha256(model.encode()).hexdigest()
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(model)
+    return _encoders[key]
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -74,33 +154,41 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _write(path: str, end_id: int, file_ids: int):
-    end = np.array([end_id], "<u4").tobytes()
-
+def _write(model, end_id: int, file_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, before = ChunkEncoder(path), TaskContext.get().partitionId(), 0
-        docs: list[int | None] = []
-        raw: list[bytes] = []
+        encoder, part, before = encoder_of(model.value), TaskContext.get().partitionId(), 0
+        docs: list[pa.Array] = []
+        counts: list[np.ndarray] = []
+        ids: list[np.ndarray] = []
         size = 0
 
         def image() -> pa.RecordBatch:
             nonlocal before, size
-            counts = np.array([len(r) // 4 for r in raw], np.int64)
-            ids = np.frombuffer(b"".join(raw), "<u4")
-            null = np.array([d is None for d in docs])
-            data = id_coder.encode_file(np.array([d or 0 for d in docs], np.int64), null, counts, ids, before)
-            out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([data], pa.binary())], names=["part", "before", "n_ids", "image"])
-            before += len(ids)
-            docs.clear()
-            raw.clear()
+            names = pa.concat_arrays(docs)
+            data = id_coder.encode_file(names.fill_null(0).to_numpy(), names.is_null().to_numpy(zero_copy_only=False), np.concatenate(counts), np.concatenate(ids), before)
+            out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([size], pa.int64()), pa.array([data], pa.binary())], names=["part", "before", "n_ids", "image"])
+            before += size
+            for x in (docs, counts, ids):
+                x.clear()
             size = 0
             return out
 
-        for piece in slices(batches):
-            for d, r in zip(piece.column("doc_id").to_pylist(), encoder.encode(piece.column("text").to_pylist()), strict=True):
-                docs.append(d)
-                raw.append(r + end)
-                size += len(raw[-1]) // 4
+        for piece in slices(batches, limit=SLICE_BYTES):
+            got, n = encoder.encode(piece.column("text"))
+            n += 1
+            cut = np.concatenate([[0], np.cumsum(n)])
+            closed = np.full(cut[-1], end_id, np.uint32)
+            own = np.ones(cut[-1], bool)
+            own[cut[1:] - 1] = False
+            closed[own] = got
+            at = 0
+            while at < len(n):  # a file ends with the document that reaches file_ids
+                to = min(len(n), int(np.searchsorted(cut, cut[at] + file_ids - size)))
+                docs.append(piece.column("doc_id").slice(at, to - at))
+                counts.append(n[at:to])
+                ids.append(closed[cut[at] : cut[to]])
+                size += int(cut[to] - cut[at])
+                at = to
                 if size >= file_ids:
                     yield image()
         if docs:
@@ -110,13 +198,15 @@ def _write(path: str, end_id: int, file_ids: int):
 
 
 def write_ids(docs: DataFrame, path: str, out: str, end_id: int = END_ID, file_ids: int = FILE_IDS) -> None:
-    """Write docs' ids as coded files to the folder `out`."""
+    """Write docs' ids as coded files to the folder `out`; path: the tokenizer's JSON, which only the driver reads."""
     spark = docs.sparkSession
     ship(spark)
+    with open(path, encoding="utf-8") as f:
+        model = spark.sparkContext.broadcast(f.read())  # as large as the vocabulary
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     rows = rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    rows.mapInArrow(_write(path, end_id, file_ids), "part int, before long, n_ids long, image binary").write.option("compression", "none").parquet(out)
+    rows.mapInArrow(_write(model, end_id, file_ids), "part int, before long, n_ids long, image binary").write.option("compression", "none").parquet(out)
 
 
 def read_ids(spark: SparkSession, out: str) -> DataFrame:

@@ -10,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,8 +201,6 @@ def test_toxicity(spark):
     rows += [(700, None), (701, "")]
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, label int")
     model = toxicity.train(docs, labels.where(language.remainder(F.col("doc_id"), 5) != 0), 300)
-    import pyarrow as pa
-
     s = toxicity.scores(model, pa.array([t for _, t in rows], pa.string()))
     assert ((s >= 0) & (s <= 1)).all()
     truth = {i: y for i, y in labels.collect() if y is not None}
@@ -300,12 +299,16 @@ def test_token_ids(spark, docs, tmp_path, monkeypatch):
         want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     assert got == sorted(want)
-    encoder, r = token_ids.ChunkEncoder(path), random.Random(2)
+    with open(path, encoding="utf-8") as f:
+        encoder, r = token_ids.Encoder(f.read()), random.Random(2)
+    assert encoder.by_word
     monkeypatch.setattr(token_ids, "CACHE", 50)
-    parts = ["'s", "'LL", "a", "B", "é", "é", " ", "\n", "\t", "\xa0", " ", "\x1c", "\x85", "　", "1", "2", ".", "!", "<|endoftext|>", "<|", "日", "😀", "Σ", "ς", "İ", "_", "́", "\x0b"]
-    for _ in range(500):
+    parts = ["'s", "'LL", "a", "B", "é", "é", " ", "\n", "\t", "\xa0", " ", "\x1c", "\x85", "　", "1", "2", ".", "!", "<|endoftext|>", "<|", "日", "😀", "Σ", "ς", "İ", "_", "́", "\x0b", "can't", "'Re", "=", "̸", "Hello", "x1y", "Å", "\x00", "\x7f", "#!"]
+    for _ in range(2000):
         t = "".join(r.choice(parts) for _ in range(r.randint(0, 25)))
-        assert np.frombuffer(encoder.encode([t])[0], "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
+        ids, n = encoder.encode(pa.array([t, None, t + "x"]))
+        want = [plain.encode(x, add_special_tokens=False).ids for x in (t, t + "x")]
+        assert ids.tolist() == want[0] + want[1] and n.tolist() == [len(want[0]), 0, len(want[1])]
 
 
 @pytest.mark.parametrize("n", [0, 1, 5, 2048, 2049, 5000])
@@ -327,10 +330,11 @@ def test_id_coder(n):
 
 def test_id_coder_blocks_stand_alone():
     ids = np.tile(np.arange(100, dtype=np.uint32), 60)
-    words = [id_coder.encode_blocks(ids[None, a : a + 2048], np.array([len(ids[a : a + 2048])]), 2)[0] for a in range(0, len(ids), 2048)]
+    cum = np.arange(101)
+    words = [id_coder.encode_blocks(ids[None, a : a + 2048].astype(np.int64), np.array([len(ids[a : a + 2048])]), cum)[0] for a in range(0, len(ids), 2048)]
     for k, w in enumerate(words):
         part = ids[2048 * k : 2048 * (k + 1)]
-        assert np.array_equal(id_coder.decode_blocks([w], np.array([len(part)]), 2)[0], part)
+        assert np.array_equal(id_coder.decode_blocks([w], np.array([len(part)]), cum)[0], part)
         assert 32 * len(w) < 5 * len(part)  # repeats are predicted
 
 
