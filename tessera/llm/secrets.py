@@ -9,8 +9,9 @@ rule, matches are leftmost and non-overlapping, and only then are those that are
 are code points, end exclusive: the text between matches comes from split(), the matches from
 regexp_extract_all(), and running lengths give the places.
 
-A null text is an empty blob without findings. Repeated rows and ids each get their row. Equal (start, kind)
-can't occur twice. Other columns are ignored.
+A null text is an empty blob without findings. Repeated rows and ids, null ids too, each get their row; blobs are
+scanned whoever holds them. Equal (start, kind) can't occur twice. Other columns are ignored, whatever their names. All
+patterns run in linear time, and places come from running sums by chunks, so texts may be long and full of findings.
 """
 
 from __future__ import annotations
@@ -29,9 +30,11 @@ RULES = (
     ("access", r"AKIA[A-Z0-9]+", 18, 0),
     ("hex", r"[0-9a-f]{16,}", 16, 0),  # maximal runs, so the length may stand in the pattern
     ("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", 0, 0),
-    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
+    # (Begins where no such character stands before, so that a long run is tried once; the possessive counts give nothing
+    # back, which no match could use.)
+    ("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", 0, 0),
 )
-RULE_VERSION = 1
+RULE_VERSION, CHUNK = 2, 256
 BASE = ("assign", "access", "hex")
 _SPAN = "array<struct<start:bigint,ord:int,end:bigint,kind:string>>"
 
@@ -43,7 +46,6 @@ def _spans(text: Column, kind: str, pattern: str, least: int, least_value: int)
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if least_value else found
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     zipped = F.arrays_zip(gaps.alias("gap"), F.transform(found, F.length).alias("size"), F.transform(value, F.length).alias("value"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
@@ -52,7 +54,17 @@ def _spans(text: Column, kind: str, pattern: str, least: int, least_value: int)
         good = (x["size"] >= least) & (x["value"] >= least_value)
         return F.struct(end.alias("at"), F.when(good, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    return F.when(F.size(found) == 0, F.array().cast(_SPAN)).otherwise(F.aggregate(zipped, start, step)["out"])
+    def placed(chunks: Column) -> Column:
+        """Spans of all chunks: a chunk's own places begin where the matches and gaps before it end."""
+        zero = F.lit(0).cast("bigint")
+        size = F.transform(chunks, lambda c: F.aggregate(c, zero, lambda n, x: n + x["gap"] + F.coalesce(x["size"], F.lit(0))))
+        begins = F.aggregate(size, F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("out")), lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+        return F.flatten(F.zip_with(chunks, begins, lambda c, at: F.aggregate(c, F.struct(at.alias("at"), F.array().cast(_SPAN).alias("out")), step)["out"]))
+
+    # A lambda's argument is computed once, where a repeated expression would be computed for each chunk.
+    cut = lambda z: F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / CHUNK).cast("int")), lambda c: F.slice(z, c * CHUNK + 1, F.lit(CHUNK)))
+    once = lambda x, f: F.transform(F.array(x), f)[0]
+    return F.when(F.size(found) == 0, F.array().cast(_SPAN)).otherwise(once(zipped, lambda z: once(cut(z), placed)))
 
 
 def _joined(spans: Column) -> Column:
@@ -137,9 +149,10 @@ def keep_secret_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     A private key's header is found by the scan; its body goes with it. Overlapping spans (a hex run inside an
     assignment) merge into one replacement under the first one's kind.
     """
-    found = scan(docs, new_ledger(spark)).where("findings IS NOT NULL").select("blob", "findings").dropDuplicates(["blob"])
-    blob = content_address(F.col("text"))
-    out = docs.withColumn("_blob", blob).join(found.withColumnRenamed("blob", "_blob"), "_blob", "left")
+    names = docs.columns
+    docs = docs.toDF(*(c if c == "text" else f"c{i}" for i, c in enumerate(names)))  # own names never clash
+    found = scan(docs.select(F.lit(None).cast("long").alias("doc_id"), "text"), new_ledger(spark)).where("findings IS NOT NULL").select("blob", "findings").dropDuplicates(["blob"])
+    out = docs.withColumn("blob", content_address(F.col("text"))).join(found, "blob", "left")
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -151,15 +164,25 @@ def keep_secret_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     done = F.aggregate(F.col("findings"), start, step)
     rest = F.substring(F.col("text"), (done["at"] + 1).cast("int"), F.length("text"))
-    text = F.when(F.col("findings").isNull(), F.col("text")).otherwise(F.concat(done["out"], rest))
-    new = {"text": text, "n_chars": F.when(F.col("findings").isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {"text": text}
-    return out.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
+    out = out.withColumn("text", F.when(F.col("findings").isNull(), F.col("text")).otherwise(F.concat(done["out"], rest)))
+    if "n_chars" in names:
+        c = f"c{names.index('n_chars')}"
+        out = out.withColumn(c, F.when(F.col("findings").isNull(), F.col(c)).otherwise(F.length("text").cast(docs.schema[c].dataType)))
+    return out.select(*docs.columns).toDF(*names)
+
+
+#: SQL's patterns know neither look-behind nor possessive counts: there the character before the match is its group 1.
+_BEFORE = "(?<![A-Za-z0-9_-])"
 
 
 def _rule_sql(order: int, kind: str, pattern: str, least: int, least_value: int) -> str:
     pattern = pattern.replace("'", "''")
     value = f"regexp_extract_all(text, '{pattern}', 2)" if least_value else "m"
-    return f"""SELECT doc_id, {order} AS ord, '{kind}' AS kind, (list_sum(g[1:i]) + coalesce(list_sum(z[1:i - 1]), 0))::BIGINT AS a, (list_sum(g[1:i]) + list_sum(z[1:i]))::BIGINT AS e
+    behind = pattern.startswith(_BEFORE)
+    if behind:
+        pattern = pattern.replace(_BEFORE, "(^|[^A-Za-z0-9_-])").replace(",}+", ",}")
+    prefix = f"length(regexp_extract_all(text, '{pattern}', 1)[i])" if behind else "0"
+    return f"""SELECT doc_id, {order} AS ord, '{kind}' AS kind, (list_sum(g[1:i]) + coalesce(list_sum(z[1:i - 1]), 0) + {prefix})::BIGINT AS a, (list_sum(g[1:i]) + list_sum(z[1:i]))::BIGINT AS e
 FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, m, list_transform(string_split_regex(text, '{pattern}'), lambda x: length(x)) AS g, list_transform(m, lambda x: length(x)) AS z,
       list_transform({value}, lambda x: length(x)) AS v FROM (SELECT doc_id, text, regexp_extract_all(text, '{pattern}') AS m FROM documents WHERE text IS NOT NULL)))
 WHERE z[i] >= {least} AND v[i] >= {least_value}"""
