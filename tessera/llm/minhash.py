@@ -15,7 +15,8 @@ inside tasks, pair by pair, where only found links leave the task; so within buc
 whatever their size, and no list of all pairs is made. Connected components give the classes.
 
 Texts that are null or have no words are classes of their own. Repeated rows and ids each get their row; the
-kept document of a class is that with the least doc_id. Other columns are ignored.
+kept document of a class is that with the least doc_id. A row with a null doc_id is compared with nothing: it has no
+class and is kept. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -219,10 +220,10 @@ def _rest(exploded: DataFrame, found: DataFrame, bag_of, least: float, block_wei
 
 
 def near_duplicates(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int = ROWS, block_weight: int = BLOCK_WEIGHT) -> DataFrame:
-    """docs: doc_id (an integer), text. One row (doc_id, class_id) for each row of docs."""
+    """docs: doc_id (an integer), text. One row (doc_id, class_id; t1, t2: hashes of the text; classed: has words) for each row."""
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
-    signed = written(docs.mapInArrow(_sign(bands, rows), "doc_id long, t1 long, t2 long, weight long, bands array<long>"), "signed")
+    signed = written(docs.where("doc_id IS NOT NULL").mapInArrow(_sign(bands, rows), "doc_id long, t1 long, t2 long, weight long, bands array<long>"), "signed")
     texts = written(signed.groupBy("t1", "t2").agg(F.min("doc_id").alias("doc")), "texts")
     mine = written(signed.join(texts.select("t1", "t2", F.col("doc").alias("doc_id")), ["t1", "t2", "doc_id"]).dropDuplicates(["t1", "t2"]).select(F.col("doc_id").alias("doc"), "t1", "t2", "weight", "bands"), "mine")
     discard(signed)
@@ -265,19 +266,33 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, bands: int = BANDS, r
         found = components(found.unionByName(more))
     class_of = texts.join(found.select(F.col("u").alias("doc"), "v"), "doc", "left").select("t1", "t2", F.coalesce("v", "doc").alias("class_id"))
     # Texts without words aren't in `texts`.
-    return docs.select("doc_id", "t1", "t2").join(written(class_of, "classes"), ["t1", "t2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    told = docs.select("doc_id", "t1", "t2").join(written(class_of, "classes"), ["t1", "t2"], "left")
+    return told.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), "t1", "t2", F.col("class_id").isNotNull().alias("classed"))
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
-    return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    return found.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class of near-duplicates the document with the least doc_id stays."""
-    found = near_duplicates(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(found, F.col("doc_id") == F.col("_id"), "left_anti")
-    return kept.select(*docs.columns)
+    """Pipeline stage: of each class of near-duplicates one row stays, with the least doc_id (ties: the least hash of the text).
+
+    Rows without words or without an id stay.
+    """
+    names = docs.columns
+    rows = docs.toDF(*(c if c in ("text", "doc_id") else f"c{i}" for i, c in enumerate(names)))  # own names never clash
+    classes = written(near_duplicates(rows).where("classed AND doc_id IS NOT NULL"), "row-classes")
+    key = ["doc_id", "t1", "t2"]
+    first = classes.groupBy("class_id").agg(F.min(F.struct(*key)).alias("x")).select("x.*", F.lit(True).alias("first"))
+    told = classes.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).join(first, key, "left")
+    told = written(told.select(*key, F.coalesce("first", F.lit(False)).alias("first"), (F.col("n") > 1).alias("again")), "row-decisions")
+    rows = rows.withColumn("t1", F.xxhash64("text")).withColumn("t2", F.xxhash64(F.lit(1), "text"))
+    # Rows to go and repeated rows are the few; whole rows are shuffled only where one of several equal ones must be picked.
+    gone = told.where("NOT first OR again").select(*key)
+    again = told.where("first AND again").select(*key)
+    kept = rows.join(gone, key, "left_anti").unionByName(rows.join(again, key, "left_semi").dropDuplicates(key))
+    return kept.select(*(c for c in rows.columns if c not in ("t1", "t2"))).toDF(*names)
 
 
 SQL = r"""
