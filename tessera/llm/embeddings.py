@@ -17,14 +17,16 @@ once to each cell that it visits; a cell's members and visitors are cut into blo
 list spreads over many tasks. Tasks give counts and a spanning forest of the links
 they find, never all pairs.
 
-Vectors that are null, zero, of another length than most, or hold null or non-finite components link with
-nothing. Repeated ids keep their rows and share their links; other columns are ignored.
+Vectors of different lengths have no cosine; each length has its own index. Vectors that are null, empty, zero, or hold
+null or non-finite components link with nothing. Repeated ids keep their rows and share their links; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -226,16 +228,25 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, list_size: int = LIST
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), vec.alias("vec"))
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     rows = rows.select("vec_id", "vec", F.coalesce(finite, F.lit(False)).alias("good"), F.xxhash64("vec").alias("k1"), F.xxhash64(F.lit(1), "vec").alias("k2"))
-    lengths = rows.where("good").groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    length = lengths[0] if lengths else 1
-    rows = rows.withColumn("good", F.col("good") & (F.size("vec") == length))
     good = rows.where("good")
     reps = good.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     reps = written(reps, "vector-classes")
-    one = written(good.select("k1", "k2", F.col("vec_id").alias("rep"), "vec").join(reps, ["k1", "k2", "rep"]).dropDuplicates(["k1", "k2"]).select("rep", "copies", "vec"), "vectors")
-    n = one.count()
-    if not n:
+    every = written(good.select("k1", "k2", F.col("vec_id").alias("rep"), "vec").join(reps, ["k1", "k2", "rep"]).dropDuplicates(["k1", "k2"]).select("rep", "copies", "vec"), "vectors")
+    lengths = {r[0]: r[1] for r in every.groupBy(F.size("vec")).count().collect()}  # as many rows as there are lengths
+    if not lengths:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    found = reduce(DataFrame.unionByName, [_links(every if len(lengths) == 1 else every.where(F.size("vec") == d), n, least, list_size, sample) for d, n in sorted(lengths.items())])
+    links = found.groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("links"))
+    part = components(found.select("u", "v"))
+    about = reps.join(links, "rep", "left").join(part.select(F.col("u").alias("rep"), F.col("v").alias("low")), "rep", "left")
+    about = written(about.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("low", "rep").alias("component_id")), "vector-results")
+    told = rows.join(about, ["k1", "k2"], "left")
+    return told.select("vec_id", F.when(F.col("good"), F.col("n_links")).otherwise(0).cast("long").alias("n_links"), F.when(F.col("good"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"))
+
+
+def _links(one: DataFrame, n: int, least: float, list_size: int, sample: int) -> DataFrame:
+    """one: n distinct vectors (rep, copies, vec) of one length. Rows (u, v, n): a spanning forest of links and counts of them."""
+    spark = one.sparkSession
     drawn = F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(1 << 20)) < F.lit(min(1.0, sample / n) * (1 << 20))
     some = [r[0] for r in one.where(drawn).orderBy(F.xxhash64("rep"), "rep").select("vec").limit(2 * sample).collect()] or [one.first()["vec"]]
     index = fit(_unit(np.array(some)), min(MAX_LISTS, -(-n // list_size)), -(-n // MEMBERS))
@@ -256,13 +267,7 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, list_size: int = LIST
     members = coded.drop("cells").join(F.broadcast(blocks), "cell").select("cell", salt("mb").alias("m"), span("qb").alias("q"), F.lit(1).alias("side"), "rep", "copies", "vec", "list", "codes", "error")
     visitors = coded.select("rep", "copies", "vec", "list", F.explode("cells").alias("cell")).join(F.broadcast(blocks), "cell")
     visitors = visitors.select("cell", span("mb").alias("m"), salt("qb").alias("q"), F.lit(0).alias("side"), "rep", "copies", "vec", "list", F.lit(None).cast("array<int>").alias("codes"), F.lit(None).cast("float").alias("error"))
-    found = written(members.unionByName(visitors).groupBy("cell", "m", "q").applyInArrow(_search(shared, bounds, least), "u long, v long, n long"), "vector-links")
-    links = found.groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("links"))
-    part = components(found.select("u", "v"))
-    about = reps.join(links, "rep", "left").join(part.select(F.col("u").alias("rep"), F.col("v").alias("low")), "rep", "left")
-    about = written(about.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("low", "rep").alias("component_id")), "vector-results")
-    told = rows.join(about, ["k1", "k2"], "left")
-    return told.select("vec_id", F.when(F.col("good"), F.col("n_links")).otherwise(0).cast("long").alias("n_links"), F.when(F.col("good"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"))
+    return written(members.unionByName(visitors).groupBy("cell", "m", "q").applyInArrow(_search(shared, bounds, least), "u long, v long, n long"), "vector-links")
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
