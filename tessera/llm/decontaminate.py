@@ -4,18 +4,22 @@ An item's windows are its runs of 13 consecutive words (an item of fewer words i
 occurs only where all its shingles do, so at containment 1 one shingle is a sufficient prefix: the rarest
 over the whole corpus. Documents are joined on these prefix shingles alone; the shingle's place in the
 window fixes the only possible start (positional bound), the document's remaining words bound the length,
-and every word of the item-sized window is then compared.
+and every word of the item-sized window is then compared, by hash first and then byte by byte.
 
-Items go to the executors in blocks of BLOCK_ITEM_WORDS words, which bounds each broadcast; a larger
-benchmark takes more blocks, and their sparse hits are merged by document.
+Items go to the executors in blocks of about BLOCK_ITEM_WORDS words, which bounds each broadcast; one block is live at a
+time. Each block's hits are written, sparse, by text (its SHA-256), and merged: what a text holds depends on the text
+alone, so rows that share an id are told apart. One block or many, results and rows are the same.
 
 Null or word-free texts have no words and no hits; null or word-free items, and items without an id, have
-no windows; repeated documents each get their row; repeated items count once by id; other columns are ignored.
+no windows; repeated documents and null ids each get their row; repeated items count once by id; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,17 +29,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._session import ship, table
+from ._session import discard, ship, table, written
 
-WINDOW, SHINGLE, BLOCK_ITEM_WORDS = 13, 4, 2_000_000
+WINDOW, SHINGLE, BLOCK_ITEM_WORDS = 13, 4, 200_000
 
 
 @dataclass
 class Windows:
-    """Distinct windows of one block: word hashes (padded), lengths, owners by CSR, and their prefix shingles."""
+    """Distinct windows of one block: word hashes (padded), lengths, texts, owners by CSR, and their prefix shingles."""
 
     words: np.ndarray
     length: np.ndarray
+    texts: list[bytes]  # words joined by one space
     owner_at: np.ndarray
     owner: np.ndarray
     ids: list[str]
@@ -43,33 +48,39 @@ class Windows:
     prefix: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
+def joined(w: X.Words, at: int, n: int) -> bytes:
+    return b" ".join(w.data[a:b].tobytes() for a, b in zip(w.start[at : at + n].tolist(), w.end[at : at + n].tolist(), strict=True))
+
+
 def windows_of(ids: list, texts: list, window: int = WINDOW, shingle: int = SHINGLE) -> Windows:
     w = X.words(pa.array(texts, pa.string()), X.ALNUM, lower=True)
-    found: dict[bytes, tuple[np.ndarray, set[int]]] = {}
     names = sorted({str(i) for i in ids if i is not None})
     number = {x: k for k, x in enumerate(names)}
-    for i, (a, b) in enumerate(zip(w.bounds[:-1], w.bounds[1:], strict=True)):
-        if ids[i] is None or a == b:
-            continue
-        size = min(window, b - a)
-        for s in range(a, b - size + 1):
-            h = w.hash[s : s + size]
-            found.setdefault(h.tobytes(), (h, set()))[1].add(number[str(ids[i])])
-    n = len(found)
-    words, length = np.zeros((n, window), np.uint64), np.zeros(n, np.int64)
-    owner_at, owner, by_width = np.zeros(n + 1, np.int64), [], {}
-    for k, (h, who) in enumerate(found.values()):
-        words[k, : len(h)], length[k] = h, len(h)
-        owner += sorted(who)
-        owner_at[k + 1] = len(owner)
-        width = min(shingle, len(h))
-        for o, x in enumerate(X.kgram_hash(h, width)):
-            by_width.setdefault(width, []).append((x, k, o))
+    of = np.array([-1 if i is None else number[str(i)] for i in ids], np.int64)
+    n = np.diff(w.bounds)
+    item, size = w.doc(), np.minimum(np.repeat(n, n), window)
+    at = np.flatnonzero((w.room() >= size) & (of[item] >= 0)) if len(item) else np.zeros(0, np.int64)
+    item, size = of[item[at]], size[at]
+    # Words get numbers by their bytes, so that windows are told apart exactly.
+    every = [w.data[a:b].tobytes() for a, b in zip(w.start.tolist(), w.end.tolist(), strict=True)]
+    code = {x: k for k, x in enumerate(dict.fromkeys(every), 1)}
+    code = np.append(np.array([code[x] for x in every], np.int32), np.zeros(window, np.int32))
+    inside = np.arange(window)[None, :] < size[:, None]
+    place = np.where(inside, at[:, None] + np.arange(window)[None, :], len(every))
+    rows = np.ascontiguousarray(code[place])
+    _, first, which = np.unique(rows.view(f"V{4 * window}").ravel(), return_index=True, return_inverse=True)
+    length, place = size[first], place[first]
+    words = np.append(w.hash, np.uint64(0))[place]
+    pair = np.unique(np.stack([which, item], axis=1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
+    owner_at = np.searchsorted(pair[:, 0], np.arange(len(first) + 1))
     shingles = {}
-    for width, rows in by_width.items():
-        h, k, o = (np.array([r[j] for r in rows], t) for j, t in ((0, np.uint64), (1, np.int64), (2, np.int64)))
-        shingles[width] = (h, k, o)
-    return Windows(words, length, owner_at, np.array(owner, np.int64), names, shingles, {})
+    for width in np.unique(np.minimum(length, shingle)).tolist():
+        mine = np.flatnonzero(np.minimum(length, shingle) == width)
+        k = np.repeat(mine, length[mine] - width + 1)
+        o = np.arange(len(k)) - np.repeat(np.cumsum(length[mine] - width + 1) - (length[mine] - width + 1), length[mine] - width + 1)
+        start = at[first][k] + o
+        shingles[width] = (X.spans_hash(w.hash, start, start + width), k, o)
+    return Windows(words, length, [joined(w, a, m) for a, m in zip(at[first].tolist(), length.tolist(), strict=True)], owner_at, pair[:, 1], names, shingles, {})
 
 
 def _lookup(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,10 +111,14 @@ def _count(win: Windows):
     return run
 
 
-def with_prefixes(win: Windows, counts: dict[tuple[int, int], int]) -> Windows:
-    """Keep of each window its rarest shingle (ties: the smaller hash, then the earlier place)."""
+def with_prefixes(win: Windows, counts: dict[int, tuple[np.ndarray, np.ndarray]]) -> Windows:
+    """Keep of each window its rarest shingle (ties: the smaller hash, then the earlier place). counts: sorted shingles and numbers."""
     for width, (h, k, o) in win.shingles.items():
-        n = np.array([counts.get((width, int(x)), 0) for x in h.view(np.int64)], np.int64)
+        n = np.zeros(len(h), np.int64)
+        if width in counts:
+            seen, number = counts[width]
+            at = np.minimum(np.searchsorted(seen, h), len(seen) - 1)
+            n = np.where(seen[at] == h, number[at], 0)
         order = np.lexsort((o, h, n, k))
         first = order[np.unique(k[order], return_index=True)[1]]
         first = first[np.argsort(h[first], kind="stable")]
@@ -131,8 +146,9 @@ def _hits(win: Windows, w: X.Words) -> tuple[np.ndarray, np.ndarray]:
             same = ~inside
             same[inside] = w.hash[s[inside] + c] == win.words[win_id[inside], c]
             s, win_id = s[same], win_id[same]
-        starts.append(s)
-        which.append(win_id)
+        same = np.array([joined(w, x, win.length[k]) == win.texts[k] for x, k in zip(s.tolist(), win_id.tolist(), strict=True)], bool)
+        starts.append(s[same])
+        which.append(win_id[same])
     none = [np.zeros(0, np.int64)]
     return np.concatenate(starts or none), np.concatenate(which or none)
 
@@ -175,14 +191,14 @@ def _map(win_b):
 
 
 def _map_block(win_b):
-    """Hit words as bits, for the merge of several blocks."""
+    """Texts with hits: their key, the places of hit words, and items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         win = win_b.value
         for part in X.slices(batches):
-            keep = [(i, n, np.flatnonzero(hit).tolist(), items) for i, (n, hit, items) in enumerate(_slice_results(win, part)) if items]
+            keep = [(i, np.flatnonzero(hit).tolist(), items) for i, (n, hit, items) in enumerate(_slice_results(win, part)) if items]
             at = pa.array([x[0] for x in keep], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), part.column("row").take(at), pa.array([x[2] for x in keep], pa.list_(pa.int64())), pa.array([x[3] for x in keep], pa.list_(pa.string()))], names=["doc_id", "row", "places", "items"])
+            yield pa.RecordBatch.from_arrays([part.column("key").take(at), pa.array([x[1] for x in keep], pa.list_(pa.int64())), pa.array([x[2] for x in keep], pa.list_(pa.string()))], names=["key", "places", "items"])
 
     return run
 
@@ -200,13 +216,34 @@ def blocks_of(benchmark: DataFrame, limit: int) -> Iterator[Windows]:
     yield windows_of(ids, texts)
 
 
-def prepared(docs: DataFrame, benchmark: DataFrame, block_item_words: int = BLOCK_ITEM_WORDS) -> list:
-    """Broadcast windows with prefixes by corpus rarity, one for each block."""
-    out = []
-    for win in blocks_of(benchmark, block_item_words):
-        counted = docs.select("text").mapInArrow(_count(win), "width int, shingle long, n long").groupBy("width", "shingle").agg(F.sum("n").alias("n"))
-        counts = {(r[0], r[1]): r[2] for r in counted.collect()}  # at most one row for each shingle of the block
-        out.append(docs.sparkSession.sparkContext.broadcast(with_prefixes(win, counts)))
+def counted(docs: DataFrame, win: Windows) -> Windows:
+    """win with prefixes by corpus rarity; the counts are at most one number for each shingle of the block."""
+    n = docs.select("text").mapInArrow(_count(win), "width int, shingle long, n long").groupBy("width", "shingle").agg(F.sum("n").alias("n"))
+    got = n.toArrow()
+    width, shingle, number = (got.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("width", "shingle", "n"))
+    counts = {}
+    for x in np.unique(width).tolist():
+        mine = np.flatnonzero(width == x)
+        seen = shingle[mine].view(np.uint64)
+        order = np.argsort(seen)
+        counts[x] = seen[order], number[mine][order]
+    return with_prefixes(win, counts)
+
+
+def text_key(text):
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+
+
+def merged_hits(docs: DataFrame, first: Windows, rest: Iterator[Windows]) -> DataFrame:
+    """key, places and items of texts with hits, over several blocks of items; one block at a time is broadcast."""
+    parts = []
+    for win in itertools.chain([first], rest):
+        block = docs.sparkSession.sparkContext.broadcast(counted(docs, win))
+        parts.append(written(docs.select("text", text_key(F.col("text")).alias("key")).mapInArrow(_map_block(block), "key binary, places array<long>, items array<string>").dropDuplicates(["key"]), "block-hits"))
+        block.destroy()
+    every = functools.reduce(DataFrame.unionByName, parts)
+    out = written(every.groupBy("key").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")), "hits")
+    discard(*parts)
     return out
 
 
@@ -216,30 +253,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block_item_words: int =
     ship(spark)
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ready = prepared(docs, benchmark, block_item_words)
-    if len(ready) == 1:
-        return docs.mapInArrow(_map(ready[0]), OUT.format(id=kind))
-    # Rows are told apart by content, so that repeated ids with other texts stay apart.
-    docs = docs.withColumn("row", F.xxhash64("text"))
-    parts = [docs.mapInArrow(_map_block(b), f"doc_id {kind}, row long, places array<long>, items array<string>") for b in ready]
-    merged = parts[0]
-    for p in parts[1:]:
-        merged = merged.unionByName(p)
-    merged = merged.groupBy("doc_id", "row").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    empty = spark.sparkContext.broadcast(windows_of([], []))
-    plain = docs.select("doc_id", "row", "text").mapInArrow(_map_counts(empty), f"doc_id {kind}, row long, n_words long")
-    n_hit = F.coalesce(F.size("places").cast("long"), F.lit(0).cast("long"))
-    items = F.coalesce("items", F.array().cast("array<string>"))
-    return plain.alias("p").join(merged.alias("m"), F.expr("p.doc_id <=> m.doc_id AND p.row = m.row"), "left").select(
-        "p.doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated")
+    blocks = blocks_of(benchmark, block_item_words)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return docs.mapInArrow(_map(spark.sparkContext.broadcast(counted(docs, first))), OUT.format(id=kind))
+    merged = merged_hits(docs, first, itertools.chain([second], blocks))
+    plain = docs.select("doc_id", "text", text_key(F.col("text")).alias("key")).mapInArrow(_map_counts(), f"doc_id {kind}, key binary, n_words long")
+    n_hit, items = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
+    return plain.join(merged, "key", "left").select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated")
     )
 
 
-def _map_counts(_):
+def _map_counts():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in X.slices(batches):
             w = X.words(part.column("text"), X.ALNUM, lower=True)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(np.diff(w.bounds))], names=["doc_id", "row", "n_words"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(np.diff(w.bounds))], names=["doc_id", "key", "n_words"])
 
     return run
 
@@ -258,15 +288,19 @@ def _keep(win_b):
     return run
 
 
-def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that the contamination rule does not mark."""
+def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str, block_item_words: int = BLOCK_ITEM_WORDS) -> DataFrame:
+    """Pipeline stage: the rows whose text the contamination rule does not mark."""
     ship(spark)
-    benchmark = table(spark, sf_dir, "benchmark")
-    ready = prepared(docs, benchmark)
-    if len(ready) == 1:
-        return docs.mapInArrow(_keep(ready[0]), docs.schema)
-    marked = decontaminate(docs, benchmark).where("contaminated").select("doc_id").distinct()
-    return docs.join(marked, "doc_id", "left_anti")
+    names = docs.columns
+    rows = docs.toDF(*(c if c == "text" else f"c{i}" for i, c in enumerate(names)))  # own names never clash
+    blocks = blocks_of(table(spark, sf_dir, "benchmark"), block_item_words)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return rows.mapInArrow(_keep(spark.sparkContext.broadcast(counted(rows, first))), rows.schema).toDF(*names)
+    merged = merged_hits(rows, first, itertools.chain([second], blocks))
+    n_words = rows.select(F.lit(None).cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("key")).mapInArrow(_map_counts(), "doc_id long, key binary, n_words long")
+    marked = n_words.join(merged, "key").where("20 * n_hit >= n_words").select("key").distinct()
+    return rows.withColumn("key", text_key(F.col("text"))).join(marked, "key", "left_anti").drop("key").toDF(*names)
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
