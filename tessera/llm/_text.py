@@ -13,9 +13,9 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 2 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
+#: Odd bases of two polynomial hashes; what decides by both compares 128 bits.
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_powers: dict[tuple[int, bool], np.ndarray] = {}
 
 #: Byte classes. White space is \x20 and \x09-\x0D; alphanumeric also takes every byte of a non-ASCII letter.
 NOT_SPACE = np.ones(256, bool)
@@ -26,13 +26,13 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def _power(n: int, inverse: bool = False) -> np.ndarray:
-    key = "i" if inverse else "p"
-    if len(_powers.get(key, ())) < n:
-        out = np.full(max(n, 1 << 16), _INVERSE if inverse else _BASE, np.uint64)
+def _power(n: int, inverse: bool = False, base: int = 0) -> np.ndarray:
+    known = _powers.get((base, inverse))
+    if known is None or len(known) < n:
+        out = np.full(max(n, 1 << 16), pow(_BASES[base], -1, 1 << 64) if inverse else _BASES[base], np.uint64)
         out[0] = 1
-        _powers[key] = np.multiply.accumulate(out)
-    return _powers[key][:n]
+        known = _powers[base, inverse] = np.multiply.accumulate(out)
+    return known[:n]
 
 
 def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -46,20 +46,20 @@ def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
     return h
 
 
-def spans_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+def spans_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0, base: int = 0) -> np.ndarray:
     """A 64-bit hash of values[start:end] for each pair, from one prefix sum of a polynomial."""
     p = np.empty(len(values) + 1, np.uint64)
     p[0] = 0
-    np.cumsum(values.astype(np.uint64) * _power(len(values)), out=p[1:])
-    h = (p[end] - p[start]) * _power(len(values) + 1, True)[start]
+    np.cumsum(values.astype(np.uint64) * _power(len(values), base=base), out=p[1:])
+    h = (p[end] - p[start]) * _power(len(values) + 1, True, base)[start]
     return mix(h ^ (end - start).astype(np.uint64), seed)
 
 
-def kgram_hash(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
+def kgram_hash(h: np.ndarray, k: int, seed: int = 0, base: int = 0) -> np.ndarray:
     """Hash of each k consecutive entries of h (len(h) - k + 1 of them)."""
     n = max(0, len(h) - k + 1)
     at = np.arange(n)
-    return spans_hash(h, at, at + k, seed)
+    return spans_hash(h, at, at + k, seed, base)
 
 
 @dataclass
@@ -75,6 +75,10 @@ class Words:
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
 
+    def other(self) -> np.ndarray:
+        """The words' hashes to the other base."""
+        return _hashed(self.data, self.start, self.end, 1)
+
     def room(self) -> np.ndarray:
         """For each word, how many words its document still has from there."""
         return np.repeat(self.bounds[1:], np.diff(self.bounds)) - np.arange(len(self.start))
@@ -120,11 +124,15 @@ def words(column: pa.Array, member: np.ndarray = NOT_SPACE, lower: bool = False)
     before = cut[cut > 0] - 1
     last[before] = inside[before]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return Words(data, start, end, np.searchsorted(start, off), _hashed(data, start, end, 0))
+
+
+def _hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
     h = np.empty(len(start), np.uint64)
     at = 0
     while at < len(start):  # by pieces, for a document of any length
         to = max(at + 1, int(np.searchsorted(start, start[at] + 2 * SLICE_BYTES)))
         lo, hi = start[at], end[to - 1]
-        h[at:to] = spans_hash(data[lo:hi].astype(np.uint64) + np.uint64(1), start[at:to] - lo, end[at:to] - lo)
+        h[at:to] = spans_hash(data[lo:hi].astype(np.uint64) + np.uint64(1), start[at:to] - lo, end[at:to] - lo, base=base)
         at = to
-    return Words(data, start, end, np.searchsorted(start, off), h)
+    return h

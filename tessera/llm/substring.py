@@ -5,7 +5,8 @@ smaller doc_id; windows are judged on the input.
 
 Reference text grows with the corpus, so a shard isn't sent to all executors: passages are routed to it. The
 key is the window's minimiser, its least hash among its K-word grams: equal windows have equal minimisers.
-Consecutive windows with one minimiser place make a run; its text is the run's context. Per minimiser:
+Consecutive windows with one minimiser place make a run; its text is the run's context. A document's equal runs (of a
+repeated line, say) are one row with all their places, from the start. Per minimiser:
 
 1. Minimisers seen in one document alone are dropped (an aggregate with map-side combining).
 2. Equal contexts meet by (minimiser, context hash); every document but that with the least doc_id loses the
@@ -17,7 +18,9 @@ Consecutive windows with one minimiser place make a run; its text is the run's c
 4. A minimiser with over SHARD_CONTEXTS contexts is cut into single windows, which meet by (minimiser, window
    hash) as in step 2, so that no shard grows without bound and none is dropped.
 
-Hashes are two independent 64-bit ones wherever they decide. Null texts have no words; repeated rows with one
+Where hashes decide (equal contexts, equal windows), two must agree, 64 bits each, that share neither word hashes nor
+polynomial: the minimiser's and the context's or window's. Automata read words as 64-bit hashes, 50 of which must
+agree. Null texts have no words; repeated rows with one
 doc_id don't remove each other; a null doc_id removes and loses nothing; other columns are ignored.
 """
 
@@ -65,44 +68,55 @@ def runs_of(w: X.Words, window: int, k: int) -> tuple[np.ndarray, ...]:
     stop[:-1] = new | ~valid
     stops = np.flatnonzero(stop)
     end = stops[np.searchsorted(stops, start, "right")]
-    context = X.spans_hash(w.hash, start, end + window - 1, 2)
+    context = X.spans_hash(w.other(), start, end + window - 1, 2, 1)
     doc = np.searchsorted(w.bounds, start, "right") - 1
     return gram[place[start]].view(np.int64), context.view(np.int64), doc, start - w.bounds[doc], end - start
 
 
+def _lists(cut: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(values))
+
+
 def _runs(window: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in X.slices(batches):
             h, context, doc, start, n = runs_of(X.words(part.column("text")), window, k)
-            doc = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(context), part.column("doc_id").take(doc), part.column("row").take(doc), pa.array(start), pa.array(n)], names=["h", "context", "doc_id", "row", "start", "n"])
+            order = np.lexsort((start, context, h, doc))
+            h, context, doc, start, n = (x[order] for x in (h, context, doc, start, n))
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (context[1:] != context[:-1]) | (doc[1:] != doc[:-1])
+            first = np.flatnonzero(new)
+            at = pa.array(doc[first])
+            yield pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(context[first]), part.column("doc_id").take(at), part.column("row").take(at), _lists(np.append(first, len(h)), start), pa.array(n[first])], names=["h", "context", "doc_id", "row", "starts", "n"])
 
     return run
 
 
 def _contexts(window: int):
-    """Rows (text, need: list of (h, start, n, whole)) to contexts, or to single windows where whole is false."""
+    """Rows (text, need: list of (h, starts, n, whole)) to contexts, or to single windows where whole is false."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in X.slices(batches):
             w = X.words(part.column("text"))
-            out: dict[str, list] = {x: [] for x in ("h", "at", "start", "n", "window", "ids")}
+            other = w.other()
+            out: dict[str, list] = {x: [] for x in ("h", "at", "starts", "n", "window", "ids")}
             for i, need in enumerate(part.column("need").to_pylist()):
                 for x in need:
-                    a, n = int(w.bounds[i]) + x["start"], x["n"]
-                    each = [(a, n)] if x["whole"] else [(a + j, 1) for j in range(n)]
-                    hashes = np.zeros(1, np.uint64) if x["whole"] else X.kgram_hash(w.hash[a : a + n + window - 1], window, 3)
-                    for (s, size), wh in zip(each, hashes.view(np.int64), strict=True):
+                    starts, n = np.array(x["starts"], np.int64), x["n"]
+                    a = int(w.bounds[i]) + x["starts"][0]
+                    hashes = [None] if x["whole"] else X.kgram_hash(other[a : a + n + window - 1], window, 3, 1).view(np.int64).tolist()
+                    for j, wh in enumerate(hashes):
                         out["h"].append(x["h"])
                         out["at"].append(i)
-                        out["start"].append(s - int(w.bounds[i]))
-                        out["n"].append(size)
-                        out["window"].append(None if x["whole"] else int(wh))
-                        out["ids"].append(w.hash[s : s + size + window - 1].view(np.int64) if x["whole"] else None)
+                        out["starts"].append(starts + j)
+                        out["n"].append(n if x["whole"] else 1)
+                        out["window"].append(wh)
+                        out["ids"].append(w.hash[a : a + n + window - 1].view(np.int64) if x["whole"] else None)
             at = pa.array(out["at"], pa.int64())
+            lists = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out["h"], pa.int64()), part.column("doc_id").take(at), part.column("row").take(at), pa.array(out["start"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["window"], pa.int64()), pa.array(out["ids"], pa.list_(pa.int64()))],
-                names=["h", "doc_id", "row", "start", "n", "window", "ids"],
+                [pa.array(out["h"], pa.int64()), part.column("doc_id").take(at), part.column("row").take(at), pa.array(out["starts"], lists), pa.array(out["n"], pa.int64()), pa.array(out["window"], pa.int64()), pa.array(out["ids"], lists)],
+                names=["h", "doc_id", "row", "starts", "n", "window", "ids"],
             )
 
     return run
@@ -161,14 +175,14 @@ class Automaton:
 
 
 def _match(window: int):
-    """Contexts sorted by (h, doc_id) to spans (doc_id, row, start, n) of windows seen in smaller documents."""
+    """Contexts sorted by (h, doc_id) to spans (doc_id, row, starts, n) of windows seen in smaller documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, doc, waiting, automaton = None, None, [], Automaton()
         for batch in batches:
             at, starts, sizes = [], [], []
-            ids = batch.column("ids")
-            for i, (h, d, start) in enumerate(zip(batch.column("h").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("start").to_pylist(), strict=True)):
+            ids, places = batch.column("ids"), batch.column("starts")
+            for i, (h, d) in enumerate(zip(batch.column("h").to_pylist(), batch.column("doc_id").to_pylist(), strict=True)):
                 if h != shard:
                     shard, doc, waiting, automaton = h, d, [], Automaton()
                 elif d != doc:
@@ -181,36 +195,39 @@ def _match(window: int):
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], good.astype(np.int8), [0]])))
                     for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
                         at.append(i)
-                        starts.append(start + a)
+                        starts.append(places[i].values.to_numpy() + a)
                         sizes.append(b - a)
                 waiting.append(x)
             where = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(where), batch.column("row").take(where), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "row", "start", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(where), batch.column("row").take(where), pa.array(starts, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], names=["doc_id", "row", "starts", "n"])
 
     return run
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K, shard_contexts: int = SHARD_CONTEXTS) -> DataFrame:
-    """docs: doc_id, row, text. Rows (doc_id, row, start, n): n windows from word `start` on go."""
+    """docs: doc_id, row, text. Rows (doc_id, row, starts, n, path): n windows from each of the words `starts` on go.
+
+    path says what found them: 0 equal contexts, 1 automata, 2 single windows of minimisers with many contexts.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    runs = written(docs.mapInArrow(_runs(window, k), f"h long, context long, doc_id {kind}, row long, start long, n long").where("doc_id IS NOT NULL"), "runs")
+    runs = written(docs.mapInArrow(_runs(window, k), f"h long, context long, doc_id {kind}, row long, starts array<long>, n long").where("doc_id IS NOT NULL"), "runs")
     shared = written(runs.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), (F.min("context") != F.max("context")).alias("several")).where("low < high").select("h", "several"), "minimisers")
     runs = written(runs.join(shared, "h"), "shared-runs")
     first = written(runs.groupBy("h", "context").agg(F.min("doc_id").alias("first"), F.first("several").alias("several")), "contexts")
     told = runs.drop("several").join(first, ["h", "context"])
-    span = ["doc_id", "row", "start", "n"]
-    copies = told.where("first < doc_id").select(*span)
+    span = ["doc_id", "row", "starts", "n"]
+    copies = told.where("first < doc_id").select(*span, F.lit(0).alias("path"))
     sizes = first.where("several").groupBy("h").agg((F.count(F.lit(1)) <= shard_contexts).alias("whole"))
     need = told.where("several AND first = doc_id").select("h", *span).join(written(sizes, "shards"), "h")
-    by_row = need.groupBy("doc_id", "row").agg(F.collect_list(F.struct("h", "start", "n", "whole")).alias("need"))
+    by_row = need.groupBy("doc_id", "row").agg(F.collect_list(F.struct("h", "starts", "n", "whole")).alias("need"))
     # Texts are the streamed side; what a document needs is far smaller than it.
-    pieces = docs.join(by_row.hint("shuffle_hash"), ["doc_id", "row"]).select("doc_id", "row", "text", "need").mapInArrow(_contexts(window), f"h long, doc_id {kind}, row long, start long, n long, window long, ids array<long>")
+    pieces = docs.join(by_row.hint("shuffle_hash"), ["doc_id", "row"]).select("doc_id", "row", "text", "need").mapInArrow(_contexts(window), f"h long, doc_id {kind}, row long, starts array<long>, n long, window long, ids array<long>")
     pieces = written(pieces, "pieces")
     whole = pieces.where("window IS NULL").select("h", *span, "ids").repartition("h").sortWithinPartitions("h", "doc_id")
-    matched = whole.mapInArrow(_match(window), f"doc_id {kind}, row long, start long, n long")
+    matched = whole.mapInArrow(_match(window), f"doc_id {kind}, row long, starts array<long>, n long").withColumn("path", F.lit(1))
     single = pieces.where("window IS NOT NULL").select("h", "window", *span)
-    low = written(single.groupBy("h", "window").agg(F.min("doc_id").alias("first")), "windows")
-    cut = single.join(low, ["h", "window"]).where("first < doc_id").select(*span)
+    low = written(single.groupBy("h", "window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "windows")
+    cut = single.join(low, ["h", "window"]).where("first < doc_id").select(*span, F.lit(2).alias("path"))
     return copies.unionByName(matched).unionByName(cut)
 
 
@@ -223,9 +240,11 @@ def _finish(window: int):
             size = spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             flat = spans.flatten()
             if len(flat):
-                begin = np.repeat(w.bounds[:-1], size) + flat.field("start").to_numpy(zero_copy_only=False)
+                starts = flat.field("starts")
+                each = starts.value_lengths().to_numpy(zero_copy_only=False)
+                begin = np.repeat(np.repeat(w.bounds[:-1], size), each) + starts.flatten().to_numpy(zero_copy_only=False)
                 np.add.at(gone, begin, 1)
-                np.add.at(gone, begin + flat.field("n").to_numpy(zero_copy_only=False) + window - 1, -1)
+                np.add.at(gone, begin + np.repeat(flat.field("n").to_numpy(zero_copy_only=False), each) + window - 1, -1)
             keep = np.cumsum(gone[:-1]) <= 0
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *kept_columns(w, keep)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
@@ -264,7 +283,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, k: int = K, shard_con
     ship(docs.sparkSession)
     docs = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    spans = repeated_spans(docs, window, k, shard_contexts).groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    spans = repeated_spans(docs, window, k, shard_contexts).groupBy("doc_id", "row").agg(F.collect_list(F.struct("starts", "n")).alias("spans"))
     full = docs.join(spans.hint("shuffle_hash"), ["doc_id", "row"], "left").select("doc_id", "text", "spans")
     return full.mapInArrow(_finish(window), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
 
