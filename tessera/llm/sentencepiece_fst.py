@@ -1,23 +1,28 @@
-"""SentencePiece encoding and decoding of BPE models by a weighted finite-state transducer.
+"""SentencePiece encoding and decoding by a weighted finite-state transducer.
 
 The transducer is a composition, expanded lazily for each input:
 
-* N, the normaliser: one state that maps a space to the model's space mark, after an initial arc that writes
-  the dummy prefix;
-* P, the pieces: a lexicon transducer from characters to piece ids, and for a character that is no piece its
-  UTF-8 bytes' ids (byte fallback);
-* C, an acceptor of piece pairs with one state for each piece: an arc x -> y exists where the model's merges
-  leave x y as it is. A sequence whose neighbours all agree is the sequence that the merges give, because the
-  first merge across a border of it would also happen with these two pieces alone.
-
-Every arc of P weighs 1. The tropical shortest path of input o N o P o C is found position by position; by the
-property of C each position keeps one finite state, so the search needs neither a beam nor backtracking. Plain
-P with the pieces' scores as weights is not enough for a BPE model, whose scores are merge ranks.
+* N, the normaliser: after an initial arc that writes the dummy prefix, one state whose arcs map a space to the
+  model's space mark and every other character to itself, at weight 0;
+* P, the pieces: a lexicon transducer whose states are the prefixes of pieces. Its arcs read characters at weight 0;
+  where a piece ends, an arc writes its id and returns to the start at the piece's weight. A character that is no piece
+  writes its UTF-8 bytes' ids (byte fallback) at weight FALLBACK beyond the dearest piece;
+* C, for BPE models, an acceptor of piece pairs with one state for each piece: the arc x -> y weighs 0 where the model's
+  merges leave x y as it is, and infinity elsewhere. Its test is the pair test of the published linear-time BPE
+  encoders (the `bpe` crate of GitHub's rust-gems): a sequence whose neighbours all pass is the one that the merges
+  give, because the first merge across a border of it would also happen with these two pieces alone.
+
+The encoding is the tropical shortest path of input o N o P o C: weights add along a path, and of paths to a state the
+lesser is kept (the earlier one of equals). A unigram model's pieces weigh their negative scores and it needs no C, so
+its paths compete by weight. A BPE model's scores are merge ranks, whose sums don't give its encoding; there pieces
+weigh 1 and C leaves each position one finite state, that of the prefix's own encoding.
 
 Where no piece holds a space mark behind another character, every run of marks starts a new component of the
 composition; characters in no longer piece stand alone as well. Components are remembered by text in a cache
 of bounded size.
 
+Models with a normalisation table, white-space removal, or user-defined or unused pieces raise an error.
+
 Null and empty texts have no ids and decode to the empty text. Repeated rows each get theirs; other columns
 are ignored. A text that holds the space mark itself decodes to a space there (round_trip is false).
 """
@@ -37,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ._session import ship, table
 from ._text import slices
 
-MARK, CACHE, PAIRS = "▁", 500_000, 1_000_000
+MARK, CACHE, PAIRS, FALLBACK, NEVER = "▁", 500_000, 1_000_000, 10.0, float("inf")
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 
@@ -52,8 +57,10 @@ class Transducer:
     written: list[bytes]
     dummy_prefix: bool
     cut: str
+    weight: dict[str, float] | None  # of the pieces; None: each weighs 1, and C decides
+    dearest: float  # weight of a character that is no piece
     lexicon: dict = field(default_factory=dict)  # P as a tree of characters; under "" stands the piece that ends there
-    pairs: dict[str, dict[str, bool]] = field(default_factory=dict)
+    pairs: dict[str, dict[str, float]] = field(default_factory=dict)  # C's arcs that were met
     n_pairs: int = 0
     young: dict[str, bytes] = field(default_factory=dict)
     old: dict[str, bytes] = field(default_factory=dict)
@@ -66,16 +73,16 @@ class Transducer:
         self.__post_init__()
 
     def __post_init__(self) -> None:
-        for piece in [*self.rank, *(p for p in self.ids if len(p) == 1)]:
+        for piece in self.weight if self.weight is not None else [*self.rank, *(p for p in self.ids if len(p) == 1)]:
             node = self.lexicon
             for c in piece:
                 node = node.setdefault(c, {})
             node[""] = piece
 
     # C: the acceptor of pairs, expanded when a pair is first met.
-    def agree(self, x: str, y: str) -> bool:
-        """Whether no merge crosses the border of x y: the pieces at the border are taken apart, latest merge first,
-        and each pair that once met there must have merged later than the next merge of either."""
+    def pair(self, x: str, y: str) -> float:
+        """The weight of the arc x -> y: 0 if no merge crosses the border of x y, which are taken apart latest merge first;
+        each pair that once met there must have merged later than the next merge of either."""
         known = self.pairs.get(y)
         if known is None:
             known = self.pairs[y] = {}
@@ -85,7 +92,7 @@ class Transducer:
             if self.n_pairs > PAIRS:
                 self.pairs.clear()
                 self.n_pairs = 0
-            found = known[x] = self._agree(x, y)
+            found = known[x] = 0.0 if self._agree(x, y) else NEVER
         return found
 
     def _agree(self, x: str, y: str) -> bool:
@@ -100,13 +107,16 @@ class Transducer:
                 until, y = ry + 1, self.halves[y][0]
         return False
 
-    # input o N o P o C
+    def normalised(self, text: str) -> str:
+        """input o N."""
+        return (MARK if self.dummy_prefix else "") + text.replace(" ", MARK)
+
     def path(self, text: str) -> list[str]:
-        """Pieces of the shortest path through one (normalised) component; single characters stand for fallback."""
-        n, pairs, lexicon = len(text), self.pairs, self.lexicon
-        last = [""] * (n + 1)
+        """Pieces of the shortest path through one component of input o N o P o C; single characters stand for fallback."""
+        n, pairs, lexicon, weight, bpe = len(text), self.pairs, self.lexicon, self.weight, self.weight is None
+        least, last = [0.0] + [NEVER] * n, [""] * (n + 1)
         for start in range(n):
-            before, node, end = last[start], lexicon, start
+            here, before, node, end = least[start], last[start], lexicon, start
             while end < n:
                 node = node.get(text[end])
                 end += 1
@@ -114,18 +124,22 @@ class Transducer:
                     if end > start + 1:
                         break
                     node, piece = {}, text[start]
+                    cost = here + self.dearest
                 else:
                     piece = node.get("")
                     if piece is None:
-                        continue
-                if start:
+                        if end == start + 1 and not bpe and text[start] not in weight:
+                            piece, cost = text[start], here + self.dearest
+                        else:
+                            continue
+                    else:
+                        cost = here + (1.0 if bpe else weight[piece])
+                if bpe and start:
                     known = pairs.get(piece)
-                    good = known.get(before) if known is not None else None
-                    if good is None:
-                        good = self.agree(before, piece)
-                    if not good:
-                        continue
-                last[end] = piece
+                    more = known.get(before) if known is not None else None
+                    cost += self.pair(before, piece) if more is None else more
+                if cost < least[end]:
+                    least[end], last[end] = cost, piece
         out, at = [], n
         while at:
             out.append(last[at])
@@ -152,10 +166,7 @@ class Transducer:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        text = text.replace(" ", MARK)
-        if self.dummy_prefix:
-            text = MARK + text
-        get, parts = self.young.get, re.findall(self.cut, text)
+        get, parts = self.young.get, re.findall(self.cut, self.normalised(text))
         out = list(map(get, parts))
         for i, x in enumerate(out):
             if x is None:
@@ -193,8 +204,8 @@ def compile_model(path: str) -> Transducer:
     with open(path, "rb") as f:
         model.ParseFromString(f.read())
     norm, kind = model.normalizer_spec, model.trainer_spec
-    if kind.model_type != kind.BPE or norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.escape_whitespaces or kind.treat_whitespace_as_suffix:
-        raise ValueError("a BPE model with the identity normaliser and kept white space is needed")
+    if kind.model_type not in (kind.BPE, kind.UNIGRAM) or norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.escape_whitespaces or kind.treat_whitespace_as_suffix:
+        raise ValueError("a BPE or unigram model with the identity normaliser and kept white space is needed")
     if {p.type for p in model.pieces} - {NORMAL, UNKNOWN, CONTROL, BYTE}:
         raise ValueError("user-defined and unused pieces aren't supported")
     ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == NORMAL}
@@ -210,7 +221,10 @@ def compile_model(path: str) -> Transducer:
     else:
         alone = "".join(re.escape(c) for c in "\n\t\r" if c not in inner)
         cut = f"{MARK}*[^{MARK}{alone}]+|{MARK}+|[{alone}]" if alone else f"{MARK}*[^{MARK}]+|{MARK}+"
-    return Transducer(ids, *merge_order({p.piece: p.score for p in model.pieces if p.type == NORMAL}), byte_ids, out, norm.add_dummy_prefix, cut)
+    score = {p.piece: p.score for p in model.pieces if p.type == NORMAL}
+    if kind.model_type == kind.BPE:
+        return Transducer(ids, *merge_order(score), byte_ids, out, norm.add_dummy_prefix, cut, None, 1.0)
+    return Transducer(ids, {}, {}, byte_ids, out, norm.add_dummy_prefix, cut, {p: -x for p, x in score.items()}, FALLBACK - min(score.values()))
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
