@@ -7,6 +7,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -236,8 +237,9 @@ def test_secrets_and_the_ledger(spark, tmp_path):
     more = docs.unionByName(spark.createDataFrame([(200, "token=abcdefghijklmno")], "doc_id long, text string").withColumn("blob", F.lit(1)).withColumn("findings", F.lit("x")))
     assert secrets.scan(more, ledger).where("findings IS NOT NULL AND size(findings) > 0 AND doc_id = 200").count() == 1
     assert spark.read.parquet(ledger).count() == n + 1  # the others were not entered again
-    secrets.scan(docs, ledger, rule_version=2).count()
-    assert spark.read.parquet(ledger).where("rule_version = 2").count() == n
+    other = secrets.RULE_VERSION + 1
+    secrets.scan(docs, ledger, rule_version=other).count()
+    assert spark.read.parquet(ledger).where(f"rule_version = {other}").count() == n
     assert secrets.scan(docs.limit(0), f"file://{tmp_path}/none").count() == 0
 
 
@@ -250,6 +252,49 @@ def test_secrets_under_null_ids(spark, tmp_path):
     assert spark.read.parquet(ledger).count() == 3
 
 
+def test_secrets_in_long_texts(spark, tmp_path):
+    """Linear time: runs that begin a token again and again, and thousands of findings in one text."""
+    jwt = "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeK"
+    texts = ["eyJ" * 100_000, " ".join(f"token=abcdefghijkl{i}" for i in range(20_000)), f"{jwt} x{jwt} -{jwt}\n{jwt}"]
+    began = time.perf_counter()
+    got = {r[0]: r[1] for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), f"file://{tmp_path}/ledger").select("doc_id", "findings").collect()}
+    assert time.perf_counter() - began < 60
+    assert not got[0] and [(x["start"], x["end"]) for x in got[1]] == [m.span() for m in re.finditer(r"\S+", texts[1])]
+    assert [(x["start"], x["end"]) for x in got[2]] == [(0, len(jwt)), (len(texts[2]) - len(jwt), len(texts[2]))]
+
+
+def test_stages_keep_rows_and_names(spark, tmp_path):
+    """Rows that share an id are told apart, and columns of any name pass through."""
+    w = " ".join(f"w{i}" for i in range(40))
+    dirty = " ".join(f"b{i}" for i in range(14))
+    names = "doc_id long, text string, findings string, blob int, key int, _id int, t1 int, row int, class_id int, n_hit int, score int, lang_pred string"
+    frame = lambda rows: spark.createDataFrame([(*r, "f", 1, 2, 3, 4, 5, 6, 7, 8, "p") for r in rows], names)
+    pick = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    docs = frame([(1, w), (5, w), (5, "other words here"), (7, "quite another text"), (7, "quite another text"), (None, w), (8, None), (8, None)])
+    kept = minhash.keep_first(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert pick(kept) == sorted([(1, w), (5, "other words here"), (7, "quite another text"), (None, w), (8, None), (8, None)], key=str)
+    items = spark.createDataFrame([("a", dirty), ("b", "never " * 30), ("c", None)], "item_id string, text string")
+    items.coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = frame([(None, dirty), (5, dirty), (5, "clean text"), (6, None), (6, f"x {dirty.upper()} y"), (9, "clean text")])
+    for block in (200_000, 5):
+        clean = decontaminate.keep_clean(spark, docs, str(tmp_path), block)
+        assert clean.columns == docs.columns and pick(clean) == sorted([(5, "clean text"), (6, None), (9, "clean text")], key=str)
+    docs = frame([(1, "token=abcdefghijklmno"), (1, "fine"), (None, "token=abcdefghijklmno"), (None, None)])
+    safe = secrets.keep_secret_free(spark, docs, "")
+    assert safe.columns == docs.columns and pick(safe) == sorted([(1, "[assign]"), (1, "fine"), (None, "[assign]"), (None, None)], key=str)
+    assert sentencepiece_fst.tokenize(spark, docs, "").count() == 4
+    for stage in (minhash.keep_first, secrets.keep_secret_free, sentencepiece_fst.tokenize, language.keep_languages):
+        assert stage(spark, docs.limit(0).withColumn("lang", F.lit("x")), "").count() == 0
+    assert decontaminate.keep_clean(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_classes_of_null_ids(spark):
+    docs = spark.createDataFrame([(None, "one two three four five six"), (2, "one two three four five six"), (3, "one two three four five six"), (None, None), (4, "")], "doc_id long, text string")
+    got = sorted(((r[0], r[1]) for r in minhash.near_duplicates(docs).select("doc_id", "class_id").collect()), key=str)
+    assert got == sorted([(None, None), (None, None), (2, 2), (3, 2), (4, 4)], key=str)
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "😀 token = 'abcdefghijklmnop0123' z", 3), (2, "fine", 4), (3, None, 0)], "doc_id long, text string, n_chars long")
     out = {r[0]: r for r in secrets.keep_secret_free(spark, docs, "").collect()}
@@ -285,6 +330,28 @@ def test_sentencepiece(spark, docs):
         assert ids.tolist() == plain.encode(t) and machine.decode(ids) == plain.decode(plain.encode(t))
 
 
+def test_shortest_path_of_a_unigram_model(tmp_path):
+    """Paths compete by weight: against the library, with a model written by hand."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    model, r = proto.ModelProto(), random.Random(8)
+    model.trainer_spec.model_type, model.trainer_spec.byte_fallback, model.trainer_spec.vocab_size = proto.TrainerSpec.UNIGRAM, True, 0
+    model.normalizer_spec.add_dummy_prefix, model.normalizer_spec.remove_extra_whitespaces, model.normalizer_spec.escape_whitespaces = True, False, True
+    for piece, kind in (("<unk>", 2), ("<s>", 3), ("</s>", 3), *((f"<0x{b:02X}>", 6) for b in range(256))):
+        model.pieces.add(piece=piece, score=0.0, type=kind)
+    pieces = {"".join(r.choice("abcd") for _ in range(r.randint(1, 4))) for _ in range(60)} | {"▁", "▁a", "▁ab", "▁▁", "▁cd", "éb", "xyz"}
+    for piece in sorted(pieces):
+        model.pieces.add(piece=piece, score=-r.randint(4, 60) / 4, type=1)
+    path = tmp_path / "unigram.model"
+    path.write_bytes(model.SerializeToString())
+    plain, machine = sentencepiece.SentencePieceProcessor(model_file=str(path)), sentencepiece_fst.compile_model(str(path))
+    for _ in range(3000):
+        t = "".join(r.choice("abcdabcdabcd xyé😀") for _ in range(r.randint(0, 20)))
+        ids = np.frombuffer(machine.encode(t), "<u4")
+        assert ids.tolist() == plain.encode(t) and machine.decode(ids) == t
+
+
 def test_token_ids(spark, docs, tmp_path, monkeypatch):
     from tokenizers import Tokenizer
 
@@ -341,7 +408,7 @@ def test_id_coder_blocks_stand_alone():
 def plain_links(rows):
     good = {}
     for i, v in rows:
-        if v is not None and len(v) == 4 and all(x is not None and np.isfinite(x) for x in v) and any(v):
+        if v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v):
             good.setdefault(i, []).append(np.array(v, float))
     ids = [(i, v) for i, vs in good.items() for v in vs]
     n, root = collections.Counter(), {i: i for i, _ in rows}
@@ -353,7 +420,7 @@ def plain_links(rows):
 
     for a, (i, x) in enumerate(ids):
         for j, y in ids[:a]:
-            if x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.9:
+            if len(x) == len(y) and x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.9:
                 n[i] += 1
                 n[j] += 1
                 p, q = find(i), find(j)
@@ -365,7 +432,7 @@ def test_embeddings(spark, monkeypatch):
     r = np.random.default_rng(1)
     base = r.normal(size=(25, 4))
     rows = [(i, (base[i % 25] + r.normal(size=4) * 0.2).tolist()) for i in range(150)] + [(500 + i, base[0].tolist()) for i in range(40)]
-    rows += [(900, None), (901, [0.0] * 4), (902, [float("nan"), 1.0, 0.0, 0.0]), (903, [None, 1.0, 0.0, 0.0]), (904, [1.0, 2.0]), (905, (base[0] * 1000).tolist()), (906, [float("inf")] * 4)]
+    rows += [(900, None), (901, [0.0] * 4), (902, [float("nan"), 1.0, 0.0, 0.0]), (903, [None, 1.0, 0.0, 0.0]), (904, [1.0, 2.0]), (907, [1.0, 2.1]), (908, [1.0, 2.0, 3.0]), (909, [1.0, 2.0, 3.0]), (910, []), (905, (base[0] * 1000).tolist()), (906, [float("inf")] * 4)]
     vectors = spark.createDataFrame([(*x, 3) for x in rows], "vec_id long, embedding array<double>, n_links int")
     monkeypatch.setattr(embeddings, "MEMBERS", 20)
     monkeypatch.setattr(embeddings, "VISITORS", 30)
