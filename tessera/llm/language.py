@@ -6,8 +6,8 @@ two landmarks at least share. Nystrom features of N_LANDMARKS landmark texts fee
 regression. As k(x, Z) is a product of presence vectors, presence x (Z' K^-1/2 W) scores a batch of texts in
 one matrix product.
 
-The classifier is fitted on at most TRAIN_ROWS labelled rows, dealt evenly over the languages by a hash of
-doc_id. Only text and lang of training rows are read for it; a prediction sees text alone.
+The classifier is fitted on about TRAIN_ROWS labelled rows, dealt evenly over the languages by a hash of
+doc_id, or on a part of them whose grams take about TRAIN_BYTES (bounded()). Only text and lang of training rows are read for it; a prediction sees text alone.
 
 Null texts and texts without a letter get `und` with score 0; without any labelled row every text is `und`.
 Repeated rows each get theirs; ties go to the language that sorts first; other columns are ignored.
@@ -25,10 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._chars import grams
-from ._session import ship, table
+from ._session import discard, ship, table, written
 from ._text import slices
 
 SIZES, BITS, N_LANDMARKS, TRAIN_ROWS, RIDGE, BATCH = (1, 2, 3), 18, 256, 3000, 1e-2, 64
+#: Bytes of gram ids that a fit brings to the driver at most, nearly: an expectation over hashed rows.
+TRAIN_BYTES = 128 << 20
 #: In the pipeline, a text goes if it is `und` or if its best language has less than this share of the scores.
 LEAST_SCORE = 0.4
 
@@ -66,6 +68,16 @@ def drawn(shares: dict) -> Column:
     return F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)), F.lit(1 << 20)) / float(1 << 20) < share[F.col("label")]
 
 
+def bounded(taken: DataFrame, most_bytes: int) -> list[tuple]:
+    """(label, gram ids) of the drawn rows, in a fixed order; where they take over most_bytes, of a hashed share of them."""
+    every = written(taken, "training-grams")
+    size = every.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+    part = F.pmod(F.xxhash64("ids", F.lit(9)), F.lit(1 << 20)) < int((1 << 20) * most_bytes / max(size, 1))
+    rows = sorted((r[0], bytes(r[1])) for r in (every.where(part) if size > most_bytes else every).toLocalIterator())
+    discard(every)
+    return rows
+
+
 def fit(rows: list[tuple[str, bytes]], n_landmarks: int = N_LANDMARKS, ridge: float = RIDGE) -> Model:
     """rows: (language, gram ids)."""
     languages = sorted({r[0] for r in rows})
@@ -136,7 +148,7 @@ def train(docs: DataFrame, most: int = TRAIN_ROWS) -> Model:
     if not counts:
         return fit([])
     taken = rows.where(drawn(shares_of(counts, most))).select("label", "text").mapInArrow(features(SIZES, BITS), "label string, ids binary")
-    return fit(sorted((r[0], bytes(r[1])) for r in taken.toLocalIterator()))
+    return fit(bounded(taken, TRAIN_BYTES))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -4,8 +4,8 @@ Features are the distinct character 3- to 5-grams of a whole text, hashed to 2^B
 ratio of its smoothed document shares among toxic and other training rows; a logistic regression is fitted on
 presence x r, with an L2 penalty, with both labels weighing the same, and its intercept moves halfway to the labels' true shares.
 
-It is fitted on at most TRAIN_ROWS labelled rows, as evenly over the two labels as their numbers allow, drawn
-by a hash of doc_id. Scores see text alone.
+It is fitted on about TRAIN_ROWS labelled rows, as evenly over the two labels as their numbers allow, drawn
+by a hash of doc_id, or on a part of them whose grams take about TRAIN_BYTES. Scores see text alone.
 
 Null and empty texts get the score of a text without grams; without labelled rows every score is 0. Rows
 whose label is null aren't used; a document labelled twice counts twice. Repeated rows each get theirs; other
@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 from ._chars import grams
 from ._session import ship, table
 from ._text import slices
-from .language import drawn, features, remainder, shares_of
+from .language import bounded, drawn, features, remainder, shares_of
 
 SIZES, BITS, TRAIN_ROWS, L2, LEAST_DOCS, STEPS = (3, 4, 5), 20, 8000, 1e-5, 5, 400
+#: Bytes of gram ids that a fit brings to the driver at most, nearly.
+TRAIN_BYTES = 128 << 20
 
 
 @dataclass
@@ -103,7 +105,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     # At most about `most` rows: their ids go to the scan, and only drawn texts leave it.
     rows = docs.join(F.broadcast(few), "doc_id").where("text IS NOT NULL").select("label", "text")
     got = rows.mapInArrow(features(SIZES, BITS), "label int, ids binary")
-    return fit(sorted((r[0], bytes(r[1])) for r in got.toLocalIterator()), shares)
+    return fit(bounded(got, TRAIN_BYTES), shares)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
