@@ -9,7 +9,7 @@ order 2's distribution of the next one, those that begin with the last id order
 fourth part is the file's own distribution (powers of two near the counts, in the header), which gives every id of the
 file a share. The four are mixed: their weights are adaptive shares, in the block, of how often each order was the
 highest to know the next id, by how many entries orders 2 and 1 have there. The sorted history and the weights are
-renewed when the block has trebled (marks()), in between they stand still; an id takes the highest order
+renewed when the block has grown fourfold (marks()), in between they stand still; an id takes the highest order
 that knows it. Its interval in 2^26 drives a 48-bit range coder with 16-bit words; carries are added when a
 block ends.
 
@@ -50,7 +50,7 @@ class Damaged(ValueError):
 def marks(n: int) -> list[int]:
     """Sizes at which a block of n ids renews its model, and n."""
     out = [0]
-    while (at := max(64, 3 * out[-1])) < n:
+    while (at := max(64, 4 * out[-1])) < n:
         out.append(at)
     return [*out, n]
 

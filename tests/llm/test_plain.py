@@ -174,7 +174,7 @@ def test_quotes_against_a_plain_linker(spark):
 
 def test_training_is_bounded_in_bytes(spark):
     r = random.Random(1)
-    rows = [(i, invented(r, ["tha", "ing"] if i % 2 else ["sch", "ung"], 40), "a" if i % 2 else "b", 0) for i in range(400)]
+    rows = [(i, invented(r, list("abcdef") if i % 2 else list("uvwxyz"), 40), "a" if i % 2 else "b", 0) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
     taken = docs.select(F.col("lang").alias("label"), "text").mapInArrow(language.features(language.SIZES, language.BITS), "label string, ids binary")
     every = language.bounded(taken, 1 << 30)
