@@ -20,19 +20,20 @@ from .functions.distance import Metric
 from .operators import mutate, query, vector
 from .operators.query import Batch, FindOptions, FindResult, ScanOrder
 from .predicate import Filter, compile_all
+from .sources.steps import settled
 from .sources.storage import Store
 from .types import ColumnDef, DataType
 
 ID = "_id"
 CHECK = "tessera key check"
-#: Rows of one call that the driver turns into a unit; frames of any size go through insert_frame.
+#: Bytes of one row at most.
 DEFAULT_MAX_ROW = 10 * 1024 * 1024
 
 
 class Durability(enum.Enum):
-    IMMEDIATE = "immediate"  # manifests are synced
+    IMMEDIATE = "immediate"  # units and manifests are synced before a commit returns
     NORMAL = "normal"
-    NONE = "none"
+    NONE = "none"  # like NORMAL: a commit needs its files closed
 
 
 def _plain(v: Any) -> Any:
@@ -166,9 +167,9 @@ class Snapshot:
         """Units that filters on _id don't rule out."""
         units = self._open(name)["units"]
         for f in filters:
-            if f.column != ID or isinstance(f.value, bool) or not isinstance(f.value, (int, tuple)):
-                continue
-            values = [v for v in (f.value if isinstance(f.value, tuple) else (f.value,)) if isinstance(v, int)]
+            values = f.value if isinstance(f.value, tuple) else (f.value,)
+            if f.column != ID or any(isinstance(v, bool) or not isinstance(v, int) for v in values):
+                continue  # only whole numbers rule units out
             if f.op in ("eq", "in"):
                 units = [u for u in units if any(u["low"] <= v <= u["high"] for v in values)]
             elif f.op in ("gt", "ge"):
@@ -201,7 +202,10 @@ class Snapshot:
             if not found:
                 raise E.IndexNotFound(index)
             columns = tuple(found[0]["columns"])
-        return query.scan_batch(self.frame(name), ScanOrder(columns, descending), after, limit, filters, or_groups)
+        units = self._near(name, filters)
+        if not columns and after is not None:  # a page by _id: units before the token are done
+            units = [u for u in units if (u["low"] < after[0] if descending else u["high"] > after[0])]
+        return query.scan_batch(self.frame(name, units), ScanOrder(columns, descending), after, limit, filters, or_groups)
 
     # Writing
     def _write(self, name: str, df: DataFrame) -> dict | None:
@@ -214,6 +218,7 @@ class Snapshot:
             out = out.select(ID, F.aes_encrypt(body, F.lit(self.keys[name]), F.lit("GCM"), F.lit("DEFAULT"), F.lit(""), F.lit(name)).alias("payload"))
         path = self.store.new_unit(name)
         out.write.parquet(self.store.path(path))
+        self.store.settle_unit(path)
         low, high, rows = self.spark.read.schema(f"{ID} long").parquet(self.store.path(path)).agg(F.min(ID), F.max(ID), F.count(F.lit(1))).first()
         return {"path": path, "low": low, "high": high, "rows": rows, "col_ids": [c["col_id"] for c in columns]} if rows else None
 
@@ -271,6 +276,7 @@ class Snapshot:
         """Append a frame of any size; ids follow the given order. Missing columns get their defaults."""
         first = self._open(name)["next_id"]
         have = set(rows.columns)
+        rows = self._checked_frame(name, rows)
         filled = rows.select("*", *(F.lit(c.default_value).cast(c.type.spark).alias(c.name) for c in self.live(name) if c.name not in have))
         before = self.table(name)["rows"]
         self._append(name, mutate.with_ids(filled, first, order), first)
@@ -278,6 +284,25 @@ class Snapshot:
         self.table(name)["next_id"] = max(self.table(name)["next_id"], first + n)
         return n
 
+    def _checked_frame(self, name: str, rows: DataFrame) -> DataFrame:
+        """rows, if their columns hold the declared types (whole numbers widen, also to reals) and each fits the row size."""
+        size = F.lit(0).cast("long")
+        for c in self.live(name):
+            if c.name not in rows.columns:
+                continue
+            got, want = rows.schema[c.name].dataType, c.type
+            wide = isinstance(got, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+            good = got == want.spark or isinstance(got, T.NullType) or (wide and want in (DataType.INTEGER, DataType.REAL)) or (isinstance(got, T.FloatType) and want is DataType.REAL) or (isinstance(got, (T.VarcharType, T.CharType)) and want is DataType.TEXT)
+            if not good:
+                raise E.TypeMismatch(f"{c.name} is {want.value}, not {got.simpleString()}")
+            full = F.octet_length(c.name) + 5 if want in (DataType.TEXT, DataType.BLOB) else F.lit(2 if want is DataType.BOOLEAN else 9)
+            size = size + F.when(F.col(f"`{c.name}`").isNull(), 1).otherwise(full)
+        if any(c.type in (DataType.TEXT, DataType.BLOB) and c.name in rows.columns for c in self.live(name)):
+            big = rows.agg(F.max(size)).first()[0]  # no shuffle of rows: one number a task
+            if big is not None and big > self.max_row:
+                raise E.RowTooLarge(f"a row has {big} bytes, over {self.max_row}")
+        return rows
+
     def _rewrite(self, name: str, filters: Sequence[Filter], change: Callable[[DataFrame], DataFrame], patched: bool) -> int:
         """Replace units with matches; one counting job tells which."""
         t = self._open(name)
@@ -341,15 +366,29 @@ class Snapshot:
         return found[ID]
 
     def upsert_increment_frame(self, name: str, calls: DataFrame, keys: Sequence[str], counter: str, delta: str, sets: Sequence[str], seq: str) -> None:
-        """A batch of increments of any size, as if one by one in the order of seq."""
+        """A batch of increments of any size, as if one by one in the order of seq. New keys get the other columns' defaults."""
         t = self._open(name)
         if not any(i["unique"] and set(i["columns"]) == set(keys) for i in self.list_indexes(name)):
             raise E.SchemaError(f"no unique index on exactly {sorted(keys)}")
-        unit = self._write(name, mutate.upsert_increment(self.frame(name), calls, keys, counter, delta, sets, seq, t["next_id"]))
+        self._checked_frame(name, calls.select(*keys, *sets))
+        defaults = {c.name: c.default_value for c in self.live(name) if c.name != counter}
+        after = mutate.upsert_increment(self.frame(name), calls, keys, counter, delta, sets, seq, t["next_id"], defaults=defaults)
+        after = settled(after)
+        self._check_unique(name, after, [])
+        unit = self._write(name, after)
         t["units"] = [unit] if unit else []
         t["rows"] = sum(u["rows"] for u in t["units"])
         t["next_id"] = max(t["next_id"], (unit or {"high": 0})["high"] + 1)
 
+    def increments_once(self, source: str, batch: int, name: str, calls: DataFrame, keys: Sequence[str], counter: str, delta: str, sets: Sequence[str], seq: str) -> bool:
+        """upsert_increment_frame, unless this or a later batch of the source is in the table already; the version says so."""
+        done = self.manifest.setdefault("sources", {})
+        if done.get(source, -1) >= batch:
+            return False
+        self.upsert_increment_frame(name, calls, keys, counter, delta, sets, seq)
+        done[source] = batch
+        return True
+
     def compact(self, name: str, cluster_by: Sequence[str] = ()) -> None:
         """One unit in place of many; sorted within files by the given columns, so that scans can skip row groups."""
         t = self._open(name)
@@ -433,6 +472,7 @@ class Snapshot:
             body = F.to_json(F.struct(F.col("vec").alias("v")))
             df = df.select(ID, F.aes_encrypt(body, F.lit(self.keys[table]), F.lit("GCM"), F.lit("DEFAULT"), F.lit(""), F.lit(table)).alias("payload"))
         df.write.parquet(self.store.path(path))
+        self.store.settle_unit(path)
         c["units"], c["rows"] = [*keep, path], rows
 
     def insert_vectors(self, table: str, name: str, items: Mapping[int, Sequence[float]]) -> None:
@@ -477,7 +517,7 @@ class Snapshot:
 _READS = {"list_tables", "list_columns", "list_indexes", "frame", "find", "get", "multi_get", "count", "count_with", "scan_batch", "vectors", "vector_search", "collection_info", "unlock", "table"}
 _WRITES = {
     "create_table", "drop_table", "add_column", "rename_column", "drop_column", "insert", "insert_with_id", "insert_many", "insert_frame", "update", "update_where", "delete", "delete_where",
-    "upsert", "upsert_increment", "upsert_increment_frame", "compact", "create_index", "create_index_ex", "drop_index", "create_collection", "drop_collection", "insert_vector", "insert_vectors", "update_vector", "delete_vector",
+    "upsert", "upsert_increment", "upsert_increment_frame", "increments_once", "compact", "create_index", "create_index_ex", "drop_index", "create_collection", "drop_collection", "insert_vector", "insert_vectors", "update_vector", "delete_vector",
 }
 
 
@@ -606,6 +646,10 @@ class Database:
             if token is None:
                 return
 
+    def vacuum(self, keep: int = 1) -> tuple[int, int]:
+        """Remove old versions and units that none of the kept ones names. Only while nothing writes or reads older versions."""
+        return self.store.vacuum(max(1, keep))
+
     def close(self) -> None:
         """Nothing is pending after a commit."""
 

@@ -58,21 +58,28 @@ def conflicts(new: DataFrame, old: DataFrame, columns: Sequence[str]) -> DataFra
     return new.join(old.select(*columns), list(columns), "left_semi")
 
 
-def _matched(a: str, b: str, keys: Sequence[str]) -> Column:
-    out = F.lit(True)
-    for k in keys:
-        out = out & F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}"))
-    return out
+def _keyed(df: DataFrame, rows: DataFrame, keys: Sequence[str], key: str) -> tuple[DataFrame, DataFrame]:
+    """One full outer join, computed once: old rows with what matches them (o, n), and new rows without a match (n)."""
+    both = df.select(F.struct(*df.columns).alias("o"), *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)))
+    some = rows.select(F.struct(*rows.columns).alias("n"), *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)))
+    match = F.lit(True)
+    for i in range(len(keys)):
+        match = match & F.col(f"a._k{i}").eqNullSafe(F.col(f"b._k{i}"))
+    joined = settled(both.alias("a").join(some.alias("b"), match, "full_outer").select("o", "n"))
+    return joined.where("o IS NOT NULL"), joined.where("o IS NULL").select("n.*")
 
 
-def upsert(df: DataFrame, rows: DataFrame, keys: Sequence[str], next_id: int, key: str = "_id") -> DataFrame:
+def _filled(fresh: DataFrame, df: DataFrame, defaults: Mapping[str, Any], key: str) -> DataFrame:
+    """New rows with all columns of df; those they lack get their defaults."""
+    return fresh.select(*((F.col(c) if c in fresh.columns else F.lit(defaults.get(c))).cast(df.schema[c].dataType).alias(c) for c in df.columns))
+
+
+def upsert(df: DataFrame, rows: DataFrame, keys: Sequence[str], next_id: int, key: str = "_id", defaults: Mapping[str, Any] | None = None) -> DataFrame:
     """State after inserting rows or, where their keys are there, setting their other columns. One row a key."""
     sets = [c for c in rows.columns if c not in keys]
-    joined = df.alias("o").join(rows.withColumn("_in", F.lit(True)).alias("n"), _matched("o", "n", keys), "left")
-    kept = joined.select(*((F.when(F.col("n._in"), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")) if c in sets else F.col(f"o.{c}")).alias(c) for c in df.columns))
-    fresh = rows.alias("n").join(df.select(*keys).alias("o"), _matched("n", "o", keys), "left_anti")
-    fresh = with_ids(fresh, next_id, list(keys), key)
-    return kept.unionByName(fresh.select(*((F.col(c) if c in fresh.columns else F.lit(None).cast(df.schema[c].dataType)).alias(c) for c in df.columns)))
+    old, fresh = _keyed(df, rows, keys, key)
+    kept = old.select(*((F.when(F.col("n").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")) if c in sets else F.col(f"o.{c}")).alias(c) for c in df.columns))
+    return kept.unionByName(_filled(with_ids(fresh, next_id, list(keys), key), df, defaults or {}, key))
 
 
 def fold_increments(calls: DataFrame, keys: Sequence[str], delta: str, sets: Sequence[str], seq: str) -> DataFrame:
@@ -93,7 +100,7 @@ def add_counter(current: Column, delta: Column, integral: bool) -> Column:
     return F.coalesce(current.cast("double"), F.lit(0.0)) + delta.cast("double")
 
 
-def upsert_increment(df: DataFrame, calls: DataFrame, keys: Sequence[str], counter: str, delta: str, sets: Sequence[str], seq: str, next_id: int, key: str = "_id") -> DataFrame:
+def upsert_increment(df: DataFrame, calls: DataFrame, keys: Sequence[str], counter: str, delta: str, sets: Sequence[str], seq: str, next_id: int, key: str = "_id", defaults: Mapping[str, Any] | None = None) -> DataFrame:
     """State after all calls, as if one by one in the order of seq. keys are unique in df."""
     kind = df.schema[counter].dataType
     if not isinstance(kind, T.NumericType):
@@ -101,16 +108,15 @@ def upsert_increment(df: DataFrame, calls: DataFrame, keys: Sequence[str], count
     integral = isinstance(kind, T.IntegralType)
     if integral and not isinstance(calls.schema[delta].dataType, T.IntegralType):
         raise TypeMismatch(f"{counter} is an integer column: a real delta doesn't fit")
-    folded = fold_increments(calls, keys, delta, sets, seq).withColumn("_in", F.lit(True))
-    joined = df.alias("o").join(folded.alias("n"), _matched("o", "n", keys), "left")
+    folded = fold_increments(calls, keys, delta, sets, seq)
+    old, fresh = _keyed(df, folded, keys, key)
 
     def column(c: str) -> Column:
-        old = F.col(f"o.{c}")
+        now, met = F.col(f"o.{c}"), F.col("n").isNotNull()
         if c == counter:
-            return F.when(F.col("n._in"), add_counter(old, F.col(f"n.{delta}"), integral)).otherwise(old)
-        return F.when(F.col("n._in"), F.col(f"n.{c}")).otherwise(old) if c in sets else old
+            return F.when(met, add_counter(now, F.col(f"n.{delta}"), integral)).otherwise(now)
+        return F.when(met, F.col(f"n.{c}")).otherwise(now) if c in sets else now
 
-    kept = joined.select(*(column(c).alias(c) for c in df.columns))
-    fresh = folded.alias("n").join(df.select(*keys).alias("o"), _matched("n", "o", keys), "left_anti")
+    kept = old.select(*(column(c).alias(c) for c in df.columns))
     fresh = with_ids(fresh, next_id, ["_first"], key).withColumn(counter, F.col(delta).cast(kind))
-    return kept.unionByName(fresh.select(*((F.col(c) if c in fresh.columns else F.lit(None).cast(df.schema[c].dataType)).alias(c) for c in df.columns)))
+    return kept.unionByName(_filled(fresh, df, defaults or {}, key))

@@ -19,11 +19,12 @@ def running_totals(stream: DataFrame, keys: Sequence[str], delta: str, watermark
 
 
 def increments_into(stream: DataFrame, db: Database, table: str, keys: Sequence[str], counter: str, delta: str, sets: Sequence[str], seq: str, checkpoint: str) -> StreamingQuery:
-    """Fold each micro-batch into a table's counters. Each batch is one commit."""
+    """Fold each micro-batch into a table's counters. Each batch is one commit, which holds the batch's number under the
+    checkpoint's name, so that a batch that is run again counts once."""
 
-    def fold(batch: DataFrame, _: int) -> None:
+    def fold(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            db.upsert_increment_frame(table, batch, keys, counter, delta, sets, seq)
+            db.increments_once(checkpoint, number, table, batch, keys, counter, delta, sets, seq)
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

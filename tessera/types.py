@@ -150,6 +150,3 @@ class ColumnDef:
 
     def default(self, value: Any) -> ColumnDef:
         return replace(self, default_value=checked(value, self.type, self.name))
-
-    def field(self) -> T.StructField:
-        return T.StructField(self.name, self.type.spark, True, {"col_id": self.col_id, "nullable": self.nullable, "unique": self.is_unique})
