@@ -487,6 +487,20 @@ class Snapshot:
             raise E.VectorExists(f"{table}/{name} has a vector for a row")
         self._put_vectors(table, c, new, c["units"], c["rows"] + len(items))
 
+    def insert_vectors_frame(self, table: str, name: str, vectors: DataFrame) -> int:
+        """A frame (_id, vec) of any size; the same checks as for single vectors."""
+        c = self._collection(table, name)
+        new = settled(vectors.select(F.col(ID).cast("long").alias(ID), F.col("vec").cast("array<float>").alias("vec")))
+        if not new.where(F.col("vec").isNull() | (F.size("vec") != c["dimensions"])).isEmpty():
+            raise E.DimensionMismatch(f"a vector hasn't {c['dimensions']} components")
+        if not new.join(self.frame(table).select(ID), ID, "left_anti").isEmpty():
+            raise E.StorageError(f"a vector's row isn't in {table}")
+        if not new.groupBy(ID).count().where("count > 1").isEmpty() or (c["units"] and not new.join(self.vectors(table, name).select(ID), ID, "left_semi").isEmpty()):
+            raise E.VectorExists(f"{table}/{name} has a vector for a row")
+        n = new.count()
+        self._put_vectors(table, c, new, c["units"], c["rows"] + n)
+        return n
+
     def insert_vector(self, table: str, name: str, row_id: int, values: Sequence[float]) -> None:
         self.insert_vectors(table, name, {row_id: values})
 
@@ -517,7 +531,7 @@ class Snapshot:
 _READS = {"list_tables", "list_columns", "list_indexes", "frame", "find", "get", "multi_get", "count", "count_with", "scan_batch", "vectors", "vector_search", "collection_info", "unlock", "table"}
 _WRITES = {
     "create_table", "drop_table", "add_column", "rename_column", "drop_column", "insert", "insert_with_id", "insert_many", "insert_frame", "update", "update_where", "delete", "delete_where",
-    "upsert", "upsert_increment", "upsert_increment_frame", "increments_once", "compact", "create_index", "create_index_ex", "drop_index", "create_collection", "drop_collection", "insert_vector", "insert_vectors", "update_vector", "delete_vector",
+    "upsert", "upsert_increment", "upsert_increment_frame", "increments_once", "compact", "create_index", "create_index_ex", "drop_index", "create_collection", "drop_collection", "insert_vector", "insert_vectors", "insert_vectors_frame", "update_vector", "delete_vector",
 }
 
 

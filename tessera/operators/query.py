@@ -37,6 +37,7 @@ class FindOptions:
     offset: int = 0
     include_total: bool = False
     columns: Sequence[str] | None = None
+    ordered: bool = True  # False: rows in any order, where neither sort, offset nor limit is given
 
 
 @dataclass
@@ -56,7 +57,8 @@ def find(df: DataFrame, options: FindOptions | None = None, key: str = "_id", st
     o = options or FindOptions()
     found = restrict(df, o.filters, o.or_groups, strict)
     total = found.count() if o.include_total else None
-    rows = found.orderBy(*order_of(df, o.sort, key))
+    plain = not o.ordered and not o.sort and not o.offset and o.limit is None
+    rows = found if plain else found.orderBy(*order_of(df, o.sort, key))
     if o.offset:
         rows = rows.offset(o.offset)
     if o.limit is not None:

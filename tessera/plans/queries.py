@@ -14,6 +14,7 @@ from ..functions.distance import Metric
 from ..operators import joins, mutate, query, vector
 from ..operators.query import FindOptions, ScanOrder, Sort
 from ..predicate import Filter as P
+from ..sources.steps import shared_dir
 from ..types import ColumnDef, DataType
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,22 +29,9 @@ def placed(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     return df.withColumn("pos", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
 
 
-def _find(table: str, key: str, columns: Sequence[str], **options: object) -> Query:
-    def run(spark: SparkSession, sf: str) -> DataFrame:
-        return query.find(read(spark, sf, table), FindOptions(columns=columns, **options), key=key).rows
-
-    return run
-
-
 def _found(table: str, key: str, columns: Sequence[str], filters: Sequence[P] = (), or_groups: Sequence[Sequence[P]] = ()) -> Query:
-    """A find without order or limits: the filter alone, so that no global sort is paid for."""
-
-    def run(spark: SparkSession, sf: str) -> DataFrame:
-        from ..predicate import restrict
-
-        return restrict(read(spark, sf, table), filters, or_groups).select(*columns)
-
-    return run
+    """A find without order or limits."""
+    return lambda spark, sf: query.find(read(spark, sf, table), FindOptions(filters, or_groups, columns=columns, ordered=False), key).rows
 
 
 def _page(table: str, key: str, columns: Sequence[str], sort: Sequence[Sort], limit: int, offset: int = 0, filters: Sequence[P] = ()) -> Query:
@@ -62,15 +50,16 @@ def labelled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _labelled(filters: Sequence[P], or_groups: Sequence[Sequence[P]] = ()) -> Query:
-    from ..predicate import restrict
+    return lambda spark, sf: query.find(labelled(spark, sf), FindOptions(filters, or_groups, columns=["doc_id", "lang", "quality", "toxic"], ordered=False), "doc_id").rows
 
-    return lambda spark, sf: restrict(labelled(spark, sf), filters, or_groups).select("doc_id", "lang", "quality", "toxic")
 
+def _labelled_page(sort: Sequence[Sort], limit: int, behind: str | None = None) -> Query:
+    """A page; with `behind`, one that begins `limit` / 2 rows before the first row with that column set (or the last without)."""
 
-def _labelled_page(sort: Sequence[Sort], limit: int) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         df = labelled(spark, sf)
-        rows = query.find(df, FindOptions(sort=sort, limit=limit), "doc_id").rows
+        offset = max(0, query.count(df, [P.is_null(behind)]) - limit // 2) if behind else 0
+        rows = query.find(df, FindOptions(sort=sort, limit=limit, offset=offset), "doc_id").rows
         return placed(rows, query.order_of(df, sort, "doc_id")).select("pos", "doc_id", "quality")
 
     return run
@@ -148,28 +137,23 @@ def delete_where(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _totals(spark: SparkSession, sf: str, real: bool) -> DataFrame:
-    """A table of counters for the first half of users, keyed by (user_id, event_type)."""
-    users = read(spark, sf, "events").select("user_id", "event_type").distinct().where(F.col("user_id") % 2 == 0)
-    ids = mutate.with_ids(users, 1, ["user_id", "event_type"])
+    """A table of counters keyed by (user_id, event_type): every customer's clicks; events come for some and for other keys."""
+    users = read(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.lit("click").alias("event_type"))
+    ids = mutate.with_ids(users, 1, ["user_id"])
     return ids.withColumn("total", F.lit(0.5).cast("double") if real else F.lit(10).cast("bigint")).withColumn("last_id", F.lit(-1).cast("bigint"))
 
 
-def upsert_increment_int(spark: SparkSession, sf: str) -> DataFrame:
-    calls = read(spark, sf, "events").select("user_id", "event_type", "event_id", F.lit(1).cast("bigint").alias("delta"), F.col("event_id").alias("last_id"))
-    table = _totals(spark, sf, False)
-    return mutate.upsert_increment(table, calls, ["user_id", "event_type"], "total", "delta", ["last_id"], "event_id", 100001)
-
+def _increments(real: bool, delta: str, done: Callable[[DataFrame], DataFrame] = lambda df: df) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        calls = read(spark, sf, "events").select("user_id", "event_type", "event_id", F.expr(delta).alias("delta"), F.col("event_id").alias("last_id"))
+        return done(mutate.upsert_increment(_totals(spark, sf, real), calls, ["user_id", "event_type"], "total", "delta", ["last_id"], "event_id", 1000000001))
 
-def upsert_increment_real(spark: SparkSession, sf: str) -> DataFrame:
-    calls = read(spark, sf, "events").select("user_id", "event_type", "event_id", F.col("value").alias("delta"), F.col("event_id").alias("last_id"))
-    out = mutate.upsert_increment(_totals(spark, sf, True), calls, ["user_id", "event_type"], "total", "delta", ["last_id"], "event_id", 100001)
-    return out.withColumn("total", F.round("total", 6))
+    return run
 
 
-def upsert_increment_mixed(spark: SparkSession, sf: str) -> DataFrame:
-    """Integer deltas on a real counter give reals."""
-    calls = read(spark, sf, "events").select("user_id", "event_type", "event_id", F.lit(2).cast("bigint").alias("delta"), F.col("event_id").alias("last_id"))
-    return mutate.upsert_increment(_totals(spark, sf, True), calls, ["user_id", "event_type"], "total", "delta", ["last_id"], "event_id", 100001)
+upsert_increment_int = _increments(False, "1L")
+upsert_increment_real = _increments(True, "value", lambda df: df.withColumn("total", F.round("total", 6)))
+upsert_increment_mixed = _increments(True, "2L")  # integer deltas on a real counter give reals
 
 
 def counter_wraps(spark: SparkSession, sf: str) -> DataFrame:
@@ -178,37 +162,39 @@ def counter_wraps(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def upsert_set(spark: SparkSession, sf: str) -> DataFrame:
-    customers = read(spark, sf, "customer").select(F.col("c_custkey").alias("_id"), "c_name", "c_acctbal").where("c_custkey % 3 <> 0")
-    rows = read(spark, sf, "customer").select("c_name", (F.col("c_acctbal") + 1).alias("c_acctbal")).where("c_custkey % 2 = 0")
-    return mutate.upsert(customers, rows, ["c_name"], 1000001)
+    """Customers by name, set anew; suppliers come in."""
+    customers = read(spark, sf, "customer").select(F.col("c_custkey").alias("_id"), "c_name", "c_acctbal")
+    rows = read(spark, sf, "customer").select("c_name", (F.col("c_acctbal") + 1).alias("c_acctbal"))
+    rows = rows.unionByName(read(spark, sf, "supplier").select(F.col("s_name").alias("c_name"), F.col("s_acctbal").alias("c_acctbal")))
+    return mutate.upsert(customers, rows, ["c_name"], 1000000001)
 
 
 def unique_violations(spark: SparkSession, sf: str) -> DataFrame:
     return mutate.violations(read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"])
 
 
-# Snapshots: the table goes through a database in the shared or a temporary folder.
+# Snapshots: the table goes through a database in the shared folder.
 def _db(spark: SparkSession) -> Database:
-    import tempfile
+    return Database(spark, f"{shared_dir(spark)}/db-{uuid.uuid4().hex}")
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return Database(spark, f"{shared or 'file://' + tempfile.mkdtemp(prefix='tessera-')}/db-{uuid.uuid4().hex}")
+
+def _part_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_size").cast("bigint").alias("size"), F.col("p_retailprice").alias("price"), "p_brand")
 
 
 def _parts(spark: SparkSession, sf: str) -> Database:
     db = _db(spark)
     db.create_table("part", [ColumnDef("name", DataType.TEXT), ColumnDef("size", DataType.INTEGER), ColumnDef("price", DataType.REAL)])
-    half = read(spark, sf, "part").select(F.col("p_partkey"), F.col("p_name").alias("name"), F.col("p_size").cast("bigint").alias("size"), F.col("p_retailprice").alias("price"))
-    db.insert_frame("part", half.where("p_partkey % 2 = 0"), ["p_partkey"])
+    db.insert_frame("part", _part_rows(spark, sf), ["p_partkey"])
     return db
 
 
 def add_column_default(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows older than a column read its default; newer ones have their own value, also a null."""
+    """Rows older than a column read its default; newer ones (the whole table once more) have their own value, also a null."""
     db = _parts(spark, sf)
     db.add_column("part", ColumnDef("tag", DataType.TEXT).default("untagged"))
-    rest = read(spark, sf, "part").where("p_partkey % 2 = 1").select("p_partkey", F.col("p_name").alias("name"), F.col("p_size").cast("bigint").alias("size"), F.col("p_retailprice").alias("price"), F.when(F.col("p_size") > 25, F.col("p_brand")).alias("tag"))
-    db.insert_frame("part", rest, ["p_partkey"])
+    again = _part_rows(spark, sf).withColumn("tag", F.when(F.col("size") > 25, F.col("p_brand")))
+    db.insert_frame("part", again, ["p_partkey"])
     return db.frame("part")
 
 
@@ -276,7 +262,7 @@ def encrypt_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return again.frame("customer").drop("_id")
 
 
-# Vectors. The query vector is that of vec_id 0; a batch takes the first ids below 20.
+# Vectors. The query vector is that of vec_id 0; a batch takes every id divisible by 50.
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"), "label")
 
@@ -293,11 +279,208 @@ def _knn(metric: Metric, k: int = 10, filters: Sequence[P] = ()) -> Query:
 
 def knn_batch(spark: SparkSession, sf: str) -> DataFrame:
     df = _vectors(spark, sf)
-    queries = df.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("vec").alias("query_vec"))
+    queries = df.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("vec").alias("query_vec"))
     near = vector.search_many(df, queries, 10, Metric.EUCLIDEAN, "vec_id")
     return near.select("query_id", "vec_id", F.col("rank").cast("bigint").alias("rank"), F.round("distance", 6).alias("distance"))
 
 
+def _row(spark: SparkSession, df: DataFrame, row_id: int, key: str) -> DataFrame:
+    found = query.get(df, row_id, key)
+    return spark.createDataFrame([] if found is None else [found], df.schema)
+
+
+# Through the database, as users call it. Single rows go into `nation`, which is small at every scale.
+def _nations(spark: SparkSession, sf: str, **options: object) -> Database:
+    db = _db(spark)
+    db.create_table("nation", [ColumnDef("key", DataType.INTEGER), ColumnDef("name", DataType.TEXT), ColumnDef("region", DataType.INTEGER).default(-1)], **options)
+    rows = read(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("key"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("bigint").alias("region"))
+    db.insert_frame("nation", rows, ["key"])
+    return db
+
+
+def _customers(spark: SparkSession, sf: str) -> Database:
+    """The whole table in one unit, and once more, with negative keys, in another."""
+    db = _db(spark)
+    db.create_table("customer", [ColumnDef("key", DataType.INTEGER), ColumnDef("segment", DataType.TEXT), ColumnDef("balance", DataType.REAL)])
+    rows = read(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance"))
+    db.insert_frame("customer", rows, ["key"])
+    db.insert_frame("customer", rows.select((-F.col("key")).alias("key"), F.lit(None).cast("string").alias("segment"), "balance"), [F.col("key").desc()])
+    return db
+
+
+def db_find_page(spark: SparkSession, sf: str) -> DataFrame:
+    found = _customers(spark, sf).find("customer", FindOptions([P.gt("balance", 0.0)], [[P.lt("segment", "F")], [P.eq("segment", "MACHINERY")]], [Sort.desc("balance"), Sort.asc("segment")], 40, 15, True))
+    rows = placed(found.rows, [F.col("balance").desc_nulls_last(), F.col("segment").asc_nulls_first(), F.col("_id").asc()])
+    return rows.withColumn("total", F.lit(found.total).cast("bigint"))
+
+
+def db_find_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids prune units; the projection is the options'."""
+    options = FindOptions([P.gt("_id", 10), P.ne("segment", "BUILDING")], columns=["_id", "segment"], ordered=False)
+    return _customers(spark, sf).find("customer", options).rows
+
+
+def db_get(spark: SparkSession, sf: str) -> DataFrame:
+    db = _nations(spark, sf)
+    rows = [db.get("nation", i) for i in (7, 3, 999)]
+    return db.multi_get("nation", [2, 25, 2, 0]).unionByName(spark.createDataFrame([r for r in rows if r is not None], db.frame("nation").schema))
+
+
+def db_count(spark: SparkSession, sf: str) -> DataFrame:
+    db = _customers(spark, sf)
+    groups = [[P.is_null("segment"), P.lt("balance", 100.0)], [P.eq("segment", "BUILDING")]]
+    some = [("all", db.count("customer")), ("filtered", db.count("customer", [P.le("segment", "BUILDING")])), ("groups", db.count_with("customer", [P.gt("key", -50)], groups)), ("ids", db.count("customer", [P.in_list("_id", [1, 2, 2.0, 99999999])]))]
+    return spark.createDataFrame(some, "what string, n bigint")
+
+
+def db_scan_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of 4 by id and by an index, descending."""
+    db = _nations(spark, sf)
+    db.create_index("nation", "by_region", "region")
+    out = [(w, i, r["_id"]) for w, o in (("id", {}), ("index", {"index": "by_region", "descending": True})) for i, b in enumerate(db.scan_all("nation", 4, **o)) for r in b.rows]
+    return spark.createDataFrame(out, "what string, page bigint, _id bigint")
+
+
+def db_insert(spark: SparkSession, sf: str) -> DataFrame:
+    """Single rows: the next id, a given one, and the one after it; defaults, nulls and unknown columns."""
+    db = _nations(spark, sf)
+    db.insert("nation", {"key": 100, "name": "first", "unknown": 1})
+    db.insert_with_id("nation", 1000, {"key": 101, "region": None})
+    db.insert("nation", {"name": "third", "region": 7})
+    return db.frame("nation")
+
+
+def db_update_delete(spark: SparkSession, sf: str) -> DataFrame:
+    db = _nations(spark, sf)
+    db.update("nation", 3, {"name": "three", "region": None})
+    db.update("nation", 999, {"name": "nobody"})
+    db.delete("nation", 5)
+    db.update_where("nation", [P.le("region", 1)], {"key": -1})
+    db.delete_where("nation", [P.eq("_id", 7.0)])
+    return db.frame("nation")
+
+
+def db_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """Keyed writes: found and new keys; counters wrap, and new ones begin at the delta."""
+    db = _nations(spark, sf)
+    db.create_index("nation", "by_key", "key", unique=True)
+    db.upsert("nation", {"key": 3}, {"name": "set"})
+    db.upsert("nation", {"key": 300}, {"name": "new"})
+    db.upsert_increment("nation", {"key": 4}, "region", 9223372036854775807, {"name": "counted"})
+    db.upsert_increment("nation", {"key": 301}, "region", 5)
+    calls = read(spark, sf, "region").select(F.col("r_regionkey").cast("bigint").alias("key"), F.lit(2).cast("bigint").alias("d"), F.col("r_regionkey").alias("seq"))
+    db.upsert_increment_frame("nation", calls.unionByName(calls.withColumn("key", F.lit(400).cast("bigint"))), ["key"], "region", "d", [], "seq")
+    return db.frame("nation")
+
+
+def db_transactions(spark: SparkSession, sf: str) -> DataFrame:
+    """A committed, a rolled-back and a light transaction, one with an error, and what a second version of the data reads."""
+    db = _nations(spark, sf)
+    with db.begin_acid() as tx:
+        tx.update("nation", 1, {"name": "one"})
+        tx.insert("nation", {"key": 50, "name": tx.get("nation", 1)["name"]})
+        tx.commit()
+    with db.begin_acid() as tx:
+        tx.delete_where("nation", [])
+        tx.rollback()
+    try:
+        db.transaction(lambda tx: (tx.update("nation", 2, {"name": "two"}), 1 / 0))
+    except ZeroDivisionError:
+        pass
+    db.set_acid(False)
+    with db.begin() as light:
+        light.delete("nation", 3)
+    return Database(spark, db.store.root).frame("nation")
+
+
+def db_drops(spark: SparkSession, sf: str) -> DataFrame:
+    """What is left of tables, indexes and collections after drops and a reopening."""
+    db = _nations(spark, sf)
+    db.create_table("gone", [ColumnDef("x", DataType.BLOB)])
+    db.create_index("nation", "a", "key")
+    db.create_index("nation", "b", ["region", "key"])
+    db.drop_index("nation", "a")
+    db.create_collection("nation", "v", 2)
+    db.create_collection("nation", "w", 3, Metric.DOT)
+    db.drop_collection("nation", "v")
+    db.drop_table("gone")
+    db.vacuum()
+    again = Database(spark, db.store.root).snapshot()
+    rows = [("table", t["name"]) for t in again.list_tables()] + [("index", i["name"]) for i in again.list_indexes("nation")] + [("collection", c["name"]) for c in again.manifest["collections"]]
+    return spark.createDataFrame(rows, "kind string, name string")
+
+
+def _collection(key: bytes | None) -> Query:
+    """A collection over the whole table: batch and single inserts, an update, a delete, reopening, a filtered search."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        db = _db(spark)
+        vectors = read(spark, sf, "embeddings")
+        db.create_table("items", [ColumnDef("vec_id", DataType.INTEGER), ColumnDef("label", DataType.INTEGER)], key)
+        db.insert_frame("items", vectors.select("vec_id", F.col("label").cast("bigint").alias("label")), ["vec_id"])
+        size = len(vectors.where("vec_id = 0").first()["embedding"])
+        db.create_collection("items", "v", size, Metric.EUCLIDEAN)
+        rows = db.frame("items").join(vectors.select("vec_id", F.col("embedding").alias("vec")), "vec_id").select("_id", "vec")
+        db.insert_vectors_frame("items", "v", rows)
+        db.delete_vector("items", "v", 2)
+        db.update_vector("items", "v", 3, [0.5] * size)
+        again = Database(spark, db.store.root)
+        if key:
+            again.unlock("items", key)
+        near = again.vector_search("items", "v", [0.25] * size, 12, where=P.le("label", 4))
+        near = near.join(again.frame("items"), "_id").select("vec_id", "distance")
+        return placed(near, [F.col("distance"), F.col("vec_id")]).select("pos", "vec_id", F.round("distance", 6).alias("distance"))
+
+    return run
+
+
+def db_async(spark: SparkSession, sf: str) -> DataFrame:
+    """The asynchronous facade: transactions that read what they wrote, one rolled back, and vectors."""
+    import asyncio
+
+    from ..aio import AsyncDatabase
+
+    async def work(db: AsyncDatabase) -> None:
+        await db.create_index("nation", "by_key", "key", unique=True)
+
+        async def one() -> None:
+            async with db.begin() as tx:
+                await tx.upsert_increment("nation", {"key": 2}, "region", 10)
+                await tx.commit()
+
+        await asyncio.gather(one(), one())
+        async with db.begin() as tx:
+            await tx.delete_where("nation", [])
+        async with db.begin() as tx:
+            i = await tx.insert("nation", {"key": 60, "name": "x"})
+            await tx.update("nation", i, {"name": (await tx.get("nation", i))["name"] + "y"})
+            await tx.commit()
+        await db.create_collection("nation", "v", 2)
+        await db.insert_vectors("nation", "v", {1: [1.0, 0.0], 4: [0.0, 1.0]})
+        near = (await db.vector_search("nation", "v", [1.0, 0.1], 1)).first()["_id"]
+        await db.delete("nation", near)
+
+    db = _nations(spark, sf)
+    asyncio.run(work(AsyncDatabase(db)))
+    return db.frame("nation")
+
+
+DATABASE: dict[str, Query] = {
+    "db_find_page": db_find_page,
+    "db_find_filtered": db_find_filtered,
+    "db_get": db_get,
+    "db_count": db_count,
+    "db_scan_batch": db_scan_batch,
+    "db_insert": db_insert,
+    "db_update_delete": db_update_delete,
+    "db_upsert": db_upsert,
+    "db_transactions": db_transactions,
+    "db_drops": db_drops,
+    "db_collection": _collection(None),
+    "db_collection_encrypted": _collection(bytes(range(32))),
+    "db_async": db_async,
+}
+
 ORDER = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
 OR_GROUPS = [[P.eq("o_orderstatus", "F"), P.gt("o_totalprice", 300000.0)], [P.in_list("o_orderpriority", ["1-URGENT"]), P.lt("o_totalprice", 20000.0)]]
 
@@ -324,12 +507,12 @@ QUERIES: dict[str, Query] = {
     "find_or_empty_group": _found("orders", "o_orderkey", ORDER, [P.eq("o_orderstatus", "P")], [[P.eq("o_custkey", 1)], []]),
     "find_keyset_or": _found("orders", "o_orderkey", ORDER, (), [[P.gt("o_custkey", 500)], [P.eq("o_custkey", 500), P.gt("o_orderkey", 1000)]]),
     "find_sort_multi": _page("orders", "o_orderkey", ["o_orderkey", "o_orderstatus", "o_totalprice"], [Sort.asc("o_orderstatus"), Sort.desc("o_totalprice")], 200),
-    "find_sort_nulls_asc": _labelled_page([Sort.asc("quality"), Sort.desc("lang")], 500),
+    "find_sort_nulls_asc": _labelled_page([Sort.asc("quality"), Sort.desc("lang")], 500, "quality"),
     "find_sort_nulls_desc": _labelled_page([Sort.desc("quality")], 500),
     "find_sort_unknown": _page("orders", "o_orderkey", ["o_orderkey"], [Sort.desc("nowhere")], 50),
     "find_offset_limit": _page("lineitem", "l_orderkey", ["l_orderkey", "l_linenumber", "l_extendedprice"], [Sort.desc("l_extendedprice"), Sort.asc("l_linenumber"), Sort.asc("l_partkey"), Sort.asc("l_suppkey")], 100, 50, [P.eq("l_returnflag", "R")]),
     "find_with_total": find_with_total,
-    "get_by_id": lambda spark, sf: read(spark, sf, "customer").where(F.col("c_custkey") == 42).select("c_custkey", "c_name", "c_acctbal"),
+    "get_by_id": lambda spark, sf: _row(spark, read(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal"), 42, "c_custkey"),
     "multi_get": lambda spark, sf: query.multi_get(read(spark, sf, "customer").select("c_custkey", "c_name"), [3, 1, 99, 1, 123456789], "c_custkey"),
     "count_all": _count("lineitem"),
     "count_eq": _count("events", [P.eq("event_type", "click")]),
@@ -366,4 +549,5 @@ QUERIES: dict[str, Query] = {
     "knn_filtered": _knn(Metric.COSINE, 10, [P.eq("label", 3)]),
     "knn_selective_filter": _knn(Metric.EUCLIDEAN, 5, [P.in_list("vec_id", [7, 11, 13, 17, 19])]),
     "knn_batch": knn_batch,
+    **DATABASE,
 }
