@@ -32,7 +32,7 @@ def search(vectors: DataFrame, query: Sequence[float], k: int = 10, metric: Metr
 
 
 def search_many(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: Metric = Metric.COSINE, key: str = "_id", vec: str = "vec", query_key: str = "query_id", query_vec: str = "query_vec") -> DataFrame:
-    """(query_key, key, distance, rank) of the k nearest of each query; keys are integers, queries have one vector an id.
+    """(query_key, key, distance, rank) of the k nearest of each query; keys are integers; rows of one query id share a ranking.
 
     Vectors and queries that are null or of another length than the queries' commonest aren't compared.
     """

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera import ColumnDef, Database, DataType, Filter, FindOptions, Metric, Sort
+from tessera import ColumnDef, Database, DataType, Durability, Filter, FindOptions, Metric, Sort
 from tessera import types as E
 from tessera.aio import AsyncDatabase
 
@@ -238,3 +238,77 @@ def test_stream_folds_into_counters(spark, db, tmp_path):
     stream = stream_of(spark, f"{tmp_path}/in", "user long, d long, last long").withColumn("seq", F.col("last"))
     increments_into(stream, db, "c", ["user"], "n", "d", ["last"], "seq", f"{tmp_path}/check").awaitTermination(120)
     assert [tuple(r)[1:] for r in db.frame("c").orderBy("user").collect()] == [(0, 4, 13), (1, 4, 14), (2, 4, 15)]
+
+
+def test_ids_of_other_types_and_strict_frames(spark, db):
+    db.create_table("t", [ColumnDef("a", T), ColumnDef("n", I), ColumnDef("r", R).default(1.5)])
+    db.insert_many("t", [{"a": "x", "n": 1}, {"a": "y", "n": 2}])
+    for f, n in ((Filter.in_list("_id", [1.0]), 1), (Filter.eq("_id", 1.0), 1), (Filter.in_list("_id", [1, "1", None]), 1), (Filter.gt("_id", 1.5), 1), (Filter.eq("_id", True), 0)):
+        assert db.count("t", [f]) == n
+    frame = lambda row, schema: spark.createDataFrame([row], schema)
+    for row, schema in ((("x", "12"), "a string, n string"), (("x", 1.9), "a string, n double"), ((5, 1), "a long, n long"), (("x", 1, True), "a string, n long, r boolean")):
+        with pytest.raises(E.TypeMismatch):
+            db.insert_frame("t", frame(row, schema), ["n"])
+    db.insert_frame("t", frame(("z", 3, 4), "a string, n int, r int"), ["n"])
+    assert rows(db, "t")[-1] == (3, "z", 3, 4.0)
+    db.set_max_row_size(40)
+    with pytest.raises(E.RowTooLarge):
+        db.insert_frame("t", frame(("x" * 500, 4), "a string, n long"), ["n"])
+    assert db.count("t") == 3
+
+
+def test_increments_of_frames(spark, db):
+    db.create_table("c", [ColumnDef("k", T), ColumnDef("n", I), ColumnDef("note", T).default("dflt"), ColumnDef("code", I)])
+    db.create_index("c", "by_k", "k", unique=True)
+    db.create_index("c", "by_code", "code", unique=True)
+    db.insert("c", {"k": "a", "n": 1, "code": 7})
+    calls = spark.createDataFrame([(1, "a", 2), (2, "b", 3), (3, "b", 1)], "seq long, k string, d long")
+    args = ("c", calls, ["k"], "n", "d", [], "seq")
+    assert db.increments_once("source", 0, *args) and not db.increments_once("source", 0, *args)  # a batch that is run again
+    assert rows(db, "c") == [(1, "a", 3, "dflt", 7), (2, "b", 4, "dflt", None)]
+    assert db.increments_once("other", 0, *args)
+    with pytest.raises(E.UniqueViolation):
+        db.upsert_increment_frame("c", spark.createDataFrame([(1, "z", 1, 7)], "seq long, k string, d long, code long"), ["k"], "n", "d", ["code"], "seq")
+    assert rows(db, "c") == [(1, "a", 5, "dflt", 7), (2, "b", 8, "dflt", None)]
+
+
+def test_vacuum_and_pages(spark, db):
+    db.create_table("t", [ColumnDef("v", I)])
+    for i in range(3):
+        db.insert_many("t", [{"v": 10 * i + j} for j in range(4)])
+    assert [[r["_id"] for r in b.rows] for b in db.scan_all("t", 5)] == [[1, 2, 3, 4, 5], [6, 7, 8, 9, 10], [11, 12]]
+    assert [[r["_id"] for r in b.rows] for b in db.scan_all("t", 5, descending=True)] == [[12, 11, 10, 9, 8], [7, 6, 5, 4, 3], [2, 1]]
+    db.compact("t")
+    assert db.vacuum() == (4, 3) and db.count("t", [Filter.ge("v", 0)]) == 12
+    assert Database(spark, db.store.root).count("t") == 12 and db.vacuum() == (0, 0)
+
+
+def test_parallel_writers(spark, tmp_path):
+    """Writers on threads: every row is there once, ids are unique."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    db = Database(spark, f"file://{tmp_path}/many", Durability.IMMEDIATE)
+    db.create_table("t", [ColumnDef("v", I)])
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: db.insert_many("t", [{"v": 10 * i + j} for j in range(3)]), range(4)))
+    got = rows(db, "t")
+    assert sorted(v for _, v in got) == sorted(10 * i + j for i in range(4) for j in range(3)) and len({i for i, _ in got}) == 12
+    n = db.insert_frame("t", spark.range(100_000).select(F.col("id").alias("v")), ["v"])
+    assert n == 100_000 and db.delete_where("t", [Filter.ge("v", 50)]) == 99_950 and db.count("t") == 62
+
+
+def test_encrypted_collections(spark, db):
+    key = bytes(range(32))
+    db.create_table("s", [ColumnDef("t", T)], key=key)
+    db.insert_many("s", [{"t": "a"}, {"t": "b"}])
+    db.create_collection("s", "v", 2)
+    db.insert_vectors("s", "v", {1: [1.0, 0.0]})
+    db.insert_vectors_frame("s", "v", spark.createDataFrame([(2, [0.0, 1.0])], "_id long, vec array<float>"))
+    again = Database(spark, db.store.root)
+    with pytest.raises(E.EncryptionRequired):
+        again.vector_search("s", "v", [1.0, 0.0])
+    again.unlock("s", key)
+    assert [r[0] for r in again.vector_search("s", "v", [0.1, 1.0], 1).collect()] == [2]
+    for bad, error in (((2, [1.0, 1.0]), E.VectorExists), ((9, [1.0, 1.0]), E.StorageError), ((1, [1.0]), E.DimensionMismatch)):
+        with pytest.raises(error):
+            again.insert_vectors_frame("s", "v", spark.createDataFrame([bad], "_id long, vec array<float>"))
