@@ -181,10 +181,10 @@ def _rule_sql(order: int, kind: str, pattern: str, least: int, least_value: int)
     behind = pattern.startswith(_BEFORE)
     if behind:
         pattern = pattern.replace(_BEFORE, "(^|[^A-Za-z0-9_-])").replace(",}+", ",}")
-    prefix = f"length(regexp_extract_all(text, '{pattern}', 1)[i])" if behind else "0"
-    return f"""SELECT doc_id, {order} AS ord, '{kind}' AS kind, (list_sum(g[1:i]) + coalesce(list_sum(z[1:i - 1]), 0) + {prefix})::BIGINT AS a, (list_sum(g[1:i]) + list_sum(z[1:i]))::BIGINT AS e
+    before = f"list_transform(regexp_extract_all(text, '{pattern}', 1), lambda x: length(x))" if behind else "list_transform(m, lambda x: 0)"
+    return f"""SELECT doc_id, {order} AS ord, '{kind}' AS kind, (list_sum(g[1:i]) + coalesce(list_sum(z[1:i - 1]), 0) + b[i])::BIGINT AS a, (list_sum(g[1:i]) + list_sum(z[1:i]))::BIGINT AS e
 FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, m, list_transform(string_split_regex(text, '{pattern}'), lambda x: length(x)) AS g, list_transform(m, lambda x: length(x)) AS z,
-      list_transform({value}, lambda x: length(x)) AS v FROM (SELECT doc_id, text, regexp_extract_all(text, '{pattern}') AS m FROM documents WHERE text IS NOT NULL)))
+      list_transform({value}, lambda x: length(x)) AS v, {before} AS b FROM (SELECT doc_id, text, regexp_extract_all(text, '{pattern}') AS m FROM documents WHERE text IS NOT NULL)))
 WHERE z[i] >= {least} AND v[i] >= {least_value}"""
 
 
