@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, FloatType
 
 from ._components import components
 from ._session import ship, table, written
@@ -217,6 +218,11 @@ def _search(shared, shared_radii, least: float):
     return run
 
 
+def _kind(kind: DataType) -> str:
+    """Vectors are carried as they are given, in floats where these hold them exactly; cosines are taken in doubles."""
+    return "array<float>" if isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType) else "array<double>"
+
+
 def near_vectors(vectors: DataFrame, least: float = LEAST, list_size: int = LIST_SIZE, sample: int = SAMPLE, probes: int | None = None) -> DataFrame:
     """vectors: vec_id (an integer), embedding. One row (vec_id, n_links, component_id) for each row.
 
@@ -224,7 +230,8 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, list_size: int = LIST
     """
     spark = vectors.sparkSession
     ship(spark)
-    vec = F.col("embedding").cast("array<double>")
+    kind = _kind(vectors.schema["embedding"].dataType)
+    vec = F.col("embedding").cast(kind)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), vec.alias("vec"))
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     rows = rows.select("vec_id", "vec", F.coalesce(finite, F.lit(False)).alias("good"), F.xxhash64("vec").alias("k1"), F.xxhash64(F.lit(1), "vec").alias("k2"))
@@ -251,13 +258,14 @@ def _links(one: DataFrame, n: int, least: float, list_size: int, sample: int) ->
     some = [r[0] for r in one.where(drawn).orderBy(F.xxhash64("rep"), "rep").select("vec").limit(2 * sample).collect()] or [one.first()["vec"]]
     index = fit(_unit(np.array(some)), min(MAX_LISTS, -(-n // list_size)), -(-n // MEMBERS))
     shared = spark.sparkContext.broadcast(index)
-    kinds = "rep long, copies long, vec array<double>, list int, codes array<int>, error float, far double"
+    vec = _kind(one.schema["vec"].dataType)
+    kinds = f"rep long, copies long, vec {vec}, list int, codes array<int>, error float, far double"
     coded = written(one.mapInArrow(_index(shared), kinds), "coded")
     radii = np.full(len(index.coarse), -1.0)
     for at, far in coded.groupBy("list").agg(F.max("far")).collect():  # at most MAX_LISTS rows of two numbers
         radii[at] = far
     bounds = spark.sparkContext.broadcast(radii)
-    kinds = "rep long, copies long, vec array<double>, list int, cell int, cells array<int>, codes array<int>, error float"
+    kinds = f"rep long, copies long, vec {vec}, list int, cell int, cells array<int>, codes array<int>, error float"
     coded = written(coded.mapInArrow(_cells(shared, bounds, least), kinds), "visits")
     held = coded.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("mb"))
     seen = coded.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / VISITORS).cast("int").alias("qb"))
