@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from . import types as E
 from .functions.counters import wrap_int
 from .functions.distance import Metric
-from .operators import mutate, query, vector
+from .operators import ann, mutate, query, vector
 from .operators.query import Batch, FindOptions, FindResult, ScanOrder
 from .predicate import Filter, compile_all
 from .sources.steps import settled
@@ -453,11 +453,12 @@ class Snapshot:
     def drop_collection(self, table: str, name: str) -> None:
         self.manifest["collections"].remove(self._collection(table, name))
 
-    def vectors(self, table: str, name: str) -> DataFrame:
+    def vectors(self, table: str, name: str, units: Sequence[str] | None = None) -> DataFrame:
+        """All vectors, or those of some units."""
         c = self._collection(table, name)
         self._open(table)
         schema = T.StructType([T.StructField(ID, T.LongType()), T.StructField("vec", T.ArrayType(T.FloatType()))])
-        paths = [self.store.path(u) for u in c["units"]]
+        paths = [self.store.path(u) for u in (c["units"] if units is None else units)]
         if not paths:
             return self.spark.createDataFrame([], schema)
         if not self.table(table)["check"]:
@@ -474,6 +475,8 @@ class Snapshot:
         df.write.parquet(self.store.path(path))
         self.store.settle_unit(path)
         c["units"], c["rows"] = [*keep, path], rows
+        if c.get("graph") and not set(c["graph"]["of"]) <= set(keep):
+            c["graph"] = None
 
     def insert_vectors(self, table: str, name: str, items: Mapping[int, Sequence[float]]) -> None:
         c = self._collection(table, name)
@@ -516,12 +519,38 @@ class Snapshot:
         self.delete_vector(table, name, row_id)
         self.insert_vector(table, name, row_id, values)
 
+    def create_vector_graph(self, table: str, name: str, shard: int = ann.SHARD) -> None:
+        """Graphs (m, ef_construction) over the vectors there are, for searches with ef_search.
+
+        Vectors added later are searched exactly beside them; a delete or update drops the graphs.
+        """
+        c = self._collection(table, name)
+        if self.table(table)["check"]:
+            raise E.SchemaError("graphs aren't kept for encrypted tables")
+        path = self.store.new_unit(f"{table}/{name}/graph")
+        graphs = ann.build(self.vectors(table, name), c["dimensions"], Metric(c["metric"]), c["m"], c["ef_construction"], shard=shard)
+        graphs.write.parquet(self.store.path(path))
+        self.store.settle_unit(path)
+        c["graph"] = {"unit": path, "of": list(c["units"])}
+
+    def drop_vector_graph(self, table: str, name: str) -> None:
+        self._collection(table, name)["graph"] = None
+
     def vector_search(self, table: str, name: str, q: Sequence[float], k: int = 10, ef_search: int | None = None, where: Filter | None = None) -> DataFrame:
-        """Exact, so ef_search changes nothing. Rows that fail the filter, or are gone, never appear under a filter."""
+        """Exact, but where ef_search is given and the collection has graphs. Rows that fail the filter, or are gone, never appear under a filter."""
         c = self._collection(table, name)
         if len(q) != c["dimensions"]:
             raise E.DimensionMismatch(f"{len(q)} components, not {c['dimensions']}")
-        return vector.search(self.vectors(table, name), q, k, Metric(c["metric"]), [where] if where else [], self.frame(table) if where else None)
+        metric, filters, rows = Metric(c["metric"]), [where] if where else [], self.frame(table) if where else None
+        if ef_search is None or not c.get("graph"):
+            return vector.search(self.vectors(table, name), q, k, metric, filters, rows)
+        graphs = self.spark.read.schema(ann.GRAPH).parquet(self.store.path(c["graph"]["unit"]))
+        allowed = query.restrict(rows, filters).select(ID) if where else None
+        near = ann.search(graphs, q, k, ef_search, metric, c["m"], allowed)
+        new = [u for u in c["units"] if u not in c["graph"]["of"]]
+        if new:
+            near = near.unionByName(vector.search(self.vectors(table, name, new), q, k, metric, filters, rows)).orderBy("distance", ID).limit(k)
+        return near
 
     def collection_info(self, table: str, name: str) -> dict:
         c = self._collection(table, name)
@@ -531,7 +560,7 @@ class Snapshot:
 _READS = {"list_tables", "list_columns", "list_indexes", "frame", "find", "get", "multi_get", "count", "count_with", "scan_batch", "vectors", "vector_search", "collection_info", "unlock", "table"}
 _WRITES = {
     "create_table", "drop_table", "add_column", "rename_column", "drop_column", "insert", "insert_with_id", "insert_many", "insert_frame", "update", "update_where", "delete", "delete_where",
-    "upsert", "upsert_increment", "upsert_increment_frame", "increments_once", "compact", "create_index", "create_index_ex", "drop_index", "create_collection", "drop_collection", "insert_vector", "insert_vectors", "insert_vectors_frame", "update_vector", "delete_vector",
+    "upsert", "upsert_increment", "upsert_increment_frame", "increments_once", "compact", "create_index", "create_index_ex", "drop_index", "create_collection", "drop_collection", "insert_vector", "insert_vectors", "insert_vectors_frame", "update_vector", "delete_vector", "create_vector_graph", "drop_vector_graph",
 }
 
 

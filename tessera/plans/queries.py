@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from ..catalog import Database
 from ..functions.counters import add_wrapping
 from ..functions.distance import Metric
-from ..operators import joins, mutate, query, vector
+from ..operators import ann, joins, mutate, query, vector
 from ..operators.query import FindOptions, ScanOrder, Sort
 from ..predicate import Filter as P
-from ..sources.steps import shared_dir
+from ..sources.steps import settled, shared_dir
 from ..types import ColumnDef, DataType
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -284,6 +284,17 @@ def knn_batch(spark: SparkSession, sf: str) -> DataFrame:
     return near.select("query_id", "vec_id", F.col("rank").cast("bigint").alias("rank"), F.round("distance", 6).alias("distance"))
 
 
+def knn_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """The same queries by graphs: approximate, so tests hold its recall against the exact search."""
+    df = _vectors(spark, sf)
+    first = df.where("vec IS NOT NULL").first()
+    size = len(first["vec"]) if first else 1
+    queries = df.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("vec").alias("query_vec"))
+    graphs = settled(ann.build(df, size, Metric.EUCLIDEAN, key="vec_id"))
+    near = ann.search_many(graphs, queries, size, 10, 100, Metric.EUCLIDEAN, key="vec_id")
+    return near.select("query_id", "vec_id", F.col("rank").cast("bigint").alias("rank"), F.round("distance", 6).alias("distance"))
+
+
 def _row(spark: SparkSession, df: DataFrame, row_id: int, key: str) -> DataFrame:
     found = query.get(df, row_id, key)
     return spark.createDataFrame([] if found is None else [found], df.schema)
@@ -549,5 +560,6 @@ QUERIES: dict[str, Query] = {
     "knn_filtered": _knn(Metric.COSINE, 10, [P.eq("label", 3)]),
     "knn_selective_filter": _knn(Metric.EUCLIDEAN, 5, [P.in_list("vec_id", [7, 11, 13, 17, 19])]),
     "knn_batch": knn_batch,
+    "knn_graph": knn_graph,
     **DATABASE,
 }
