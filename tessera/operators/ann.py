@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distance import Metric
+from ..sources.steps import ship
 from .vector import MAX_QUERIES, QUERY_FLOATS, _exact, _matrix
 
 SHARD, M, EF_CONSTRUCTION = 10_000, 16, 200
@@ -161,6 +162,7 @@ def layers(ids: np.ndarray, m: int) -> np.ndarray:
 def build(vectors: DataFrame, dimensions: int, metric: Metric = Metric.COSINE, m: int = M, ef_construction: int = EF_CONSTRUCTION, key: str = "_id", vec: str = "vec", shard: int = SHARD) -> DataFrame:
     """Rows of GRAPH. Counts the vectors once to set the number of shards."""
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<float>").alias("v")).where((F.size("v") == dimensions) & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))))
+    ship(vectors.sparkSession)
     shards = max(1, -(-rows.count() // shard))
     kind = metric.value
 
@@ -189,6 +191,7 @@ def _read(batch: pa.RecordBatch, i: int, metric: Metric, m: int) -> tuple[np.nda
 
 def _found(graphs: DataFrame, ids: np.ndarray, asked: np.ndarray, k: int, ef: int | None, metric: Metric, m: int) -> DataFrame:
     """(q, i, distance): each shard's k nearest of each query."""
+    ship(graphs.sparkSession)
     shared, ef, kind = graphs.sparkSession.sparkContext.broadcast((ids, asked)), max(k, ef or 10), metric.value
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

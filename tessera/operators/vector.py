@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distance import Metric, distance, vector_literal
 from ..predicate import Filter, restrict
+from ..sources.steps import ship
 
 MAX_QUERIES, QUERY_FLOATS, TILE = 10_000, 8_000_000, 1 << 21
 
@@ -69,6 +70,7 @@ def _exact(metric: Metric, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: Metric) -> DataFrame:
     """Each task's k nearest of each query."""
+    ship(vectors.sparkSession)
     block = queries.toArrow()  # bounded by MAX_QUERIES and QUERY_FLOATS
     shared = vectors.sparkSession.sparkContext.broadcast((block.column("q").to_numpy(), pa.chunked_array(block.column("v"))))
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import subprocess
+import sys
+
 import numpy as np
 import pytest
 
@@ -86,3 +90,16 @@ def test_registered_query_recall(spark, sf):
     exact = QUERIES["knn_batch"](spark, sf).select("query_id", "vec_id")
     assert found.count() == exact.count()
     assert found.join(exact, ["query_id", "vec_id"]).count() >= 0.9 * exact.count()
+
+
+def test_workers_find_the_library_from_any_folder(tmp_path, sf):
+    """Workers of a session that began elsewhere import the functions sent to them."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"import sys; sys.path.insert(0, {root!r})\nfrom pyspark.sql import SparkSession\nfrom tessera.plans.queries import QUERIES\n"
+    code += "s = SparkSession.builder.master('local[4]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '4').getOrCreate()\n"
+    code += f"print([QUERIES[n](s, {sf!r}).count() for n in ('knn_batch', 'knn_graph')])"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    got = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert got.returncode == 0, got.stderr[-2000:]
+    few, more = eval(got.stdout.strip().splitlines()[-1])
+    assert few == more > 0
