@@ -3,7 +3,7 @@
 A file's ids are cut into blocks of about BLOCK_IDS. Every block starts from a fresh model, decodes from its own words
 and the file's header alone, and carries a CRC-32 of its ids and words.
 
-Model of a block. What was coded so far (the history) is kept sorted by id, next id and the id after that, so that
+Model of a block. What was coded so far (the history) is kept sorted by id (as numbered by falling share in the file), next id and the id after that, so that
 one sorted array holds the adaptive counts of all orders: the entries that begin with the last two ids are
 order 2's distribution of the next one, those that begin with the last id order 1's, and all entries order 0's. A
 fourth part is the file's own distribution (powers of two near the counts, in the header), which gives every id of the
@@ -29,7 +29,7 @@ import zlib
 
 import numpy as np
 
-MAGIC, VERSION, BLOCK_IDS, LANES = b"TIDB", 2, 2048, 3072
+MAGIC, VERSION, BLOCK_IDS, LANES = b"TIDB", 3, 2048, 3072
 FILE_IDS = 2048 * BLOCK_IDS  # a file ends with the document that reaches this
 _HEAD = struct.Struct("<4sHIQQQIII")
 _MIX, _SPAN = 12, 14
@@ -59,12 +59,13 @@ def _classes(steps: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(steps, np.arange(n + 1), "right") - 1
 
 
-def _weights(counts: np.ndarray) -> np.ndarray:
-    """counts: lanes x classes x 4. Where orders 1 and 0 and the file's distribution begin, in steps of _ONE up to _TOP."""
+def _weights(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """counts: lanes x classes x 4. Where order 2, 1, 0 and the file's distribution begin, up to _TOP, and how wide they are in steps of _ONE."""
     top = 1 << _MIX
     share = np.where(_START > 0, counts * (top - 4) // counts.sum(2, keepdims=True) + 1, 0)
     first, second = share[:, :, 0], share[:, :, 0] + share[:, :, 1]
-    return np.stack([first, second, top - share[:, :, 3], share[:, :, 3]], 2).reshape(-1, 4).astype(np.float32) * np.float32(_ONE)
+    begin = np.stack([np.zeros_like(first), first, second, top - share[:, :, 3]], 2).reshape(-1, 4)
+    return begin * _ONE, np.diff(begin, append=top).astype(float)
 
 
 def _sorted(h: np.ndarray, entries: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,11 +121,10 @@ def _prepared(h: np.ndarray, bits: int, ends: list[int]) -> tuple[np.ndarray, np
         c1, c2 = s1[:, 1:-1], s2[:, :-2]
         n1, n2 = e1[:, 1:-1] - c1, e2[:, :-2] - c2
         in2, in1, in0 = e3 > s3, e2[:, 1:-1] > s2[:, 1:-1], e1[:, 2:] > s1[:, 2:]
-        at = np.where(in2, 0, np.where(in1, 1, np.where(in0, 2, 3)))
-        kind = lane + class2[n2] + class1[n1]
-        w1, w0, wf, _ = (x[kind].astype(float) for x in np.ascontiguousarray(_weights(counts).T))
-        base = np.where(in2, 0, np.where(in1, w1, np.where(in0, w0, wf)))
-        w = (np.where(in2, w1, np.where(in1, w0, np.where(in0, wf, _TOP))) - base) * (1 / _ONE)
+        out2, out1, out0 = (~x.view(np.uint8) & 1 for x in (in2, in1, in0))
+        at = out2 * (1 + out1 * (1 + out0))  # the first that knows it
+        kind = (lane + class2.take(n2) + class1.take(n1)) * 4 + at
+        base, w = (x.take(kind) for x in _weights(counts))
         every = np.arange(lanes)[:, None] * (a - 2)  # where each lane's entries begin
         size = np.where(in2, n2, np.where(in1, n1, a - 2))
         low = np.where(in2, s3 - c2, np.where(in1, s2[:, 1:-1] - c1, s1[:, 2:] - every))
@@ -135,7 +135,7 @@ def _prepared(h: np.ndarray, bits: int, ends: list[int]) -> tuple[np.ndarray, np
         start[:, a:b] = base + w * low
         width[:, a:b] = w * (high - low)
         fresh[:, a:b] = new
-        counts += np.bincount((kind * 4 + at).ravel(), minlength=counts.size).reshape(counts.shape)
+        counts += np.bincount(kind.ravel(), minlength=counts.size).reshape(counts.shape)
     return start, width, fresh
 
 
@@ -153,7 +153,11 @@ def encode_blocks(ids: np.ndarray, n: np.ndarray, cum: np.ndarray) -> list[np.nd
     total, room = float(cum[-1]), 4 * longest + 8
     words, at = np.zeros(lanes * room, np.uint32), np.arange(lanes, dtype=np.int64) * room
     low, size = np.zeros(lanes), np.full(lanes, _FULL)
-    columns, share, cum = np.ascontiguousarray(ids.T), np.diff(cum).astype(float), cum.astype(float)
+    share, cum = np.diff(cum).astype(float), cum.astype(float)
+    fresh_at = np.concatenate([[0], np.cumsum(np.count_nonzero(fresh, axis=1))])  # of the ids that the file's distribution codes
+    fresh_lane = np.nonzero(fresh)[1]
+    fresh_id = ids.T[fresh]
+    fresh_low, fresh_share = cum.take(fresh_id), share.take(fresh_id)
     model = ends[1] if len(ends) > 2 else longest
 
     def settle(low: np.ndarray, size: np.ndarray, at: np.ndarray, ready: np.ndarray) -> None:
@@ -176,11 +180,12 @@ def encode_blocks(ids: np.ndarray, n: np.ndarray, cum: np.ndarray) -> list[np.nd
             lo += start[t, :live] * r
             np.multiply(width[t, :live], r, out=sz)
             settle(lo, sz, to, np.flatnonzero(sz < _LEAST))
-        new = np.flatnonzero(fresh[t, :live])
+        some = slice(fresh_at[t], fresh_at[t] + np.searchsorted(fresh_lane[fresh_at[t] : fresh_at[t + 1]], live))
+        new = fresh_lane[some]
         if len(new):
-            x, r = columns[t].take(new), np.floor(sz.take(new) / total)
-            lo[new] += cum.take(x) * r
-            r *= share.take(x)
+            r = np.floor(sz.take(new) / total)
+            lo[new] += fresh_low[some] * r
+            r *= fresh_share[some]
             sz[new] = r
             settle(lo, sz, to, new[r < _LEAST])
     if longest:
@@ -212,12 +217,12 @@ class _History:
             self._fill(h[a : a + _ROWS], bits, self.order[a : a + _ROWS], at[a : a + _ROWS])
         self.order, self.at = self.order.ravel(), at.view(np.uint16).reshape(-1, 8)  # each number as its low and high half
 
-    def found(self, places: np.ndarray) -> np.ndarray:
-        """Rows of numbers: the ids at places, and begin and end of the three runs."""
-        out = self.at.take(places, axis=0).T.astype(np.float64, order="C")
-        out[1] *= 65536
-        out[1] += out[0]
-        return out[1:]
+    def found(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids at places, and rows of numbers: begin of all entries and of the three runs, and their ends."""
+        got, out = self.at.take(places, axis=0), np.zeros((8, len(places)))
+        out[4] = self.entries
+        out[1:4], out[5:] = got[:, 2::2].T, got[:, 3::2].T
+        return got.view(np.uint32)[:, 0].astype(np.int64), out
 
     @staticmethod
     def _fill(h: np.ndarray, bits: int, order: np.ndarray, at: np.ndarray) -> None:
@@ -251,27 +256,31 @@ def decode_blocks(words: list[np.ndarray], n: np.ndarray, cum: np.ndarray) -> np
         data[i, : len(w)] = w
     data = data.ravel()
     bits, ends, total = max(1, (len(cum) - 2).bit_length()), marks(longest), float(cum[-1])
-    lane = np.arange(lanes, dtype=np.int64)
+    lane = every = np.arange(lanes, dtype=np.int64)
     at = lane * room
     last = at + room - 1
     code = ((data[at] << 32) | (data[at + 1] << 16) | data[at + 2]).astype(float)
     at += 3
     size = np.full(lanes, _FULL)
     ids, share, cum = np.zeros((longest, lanes), np.int64), np.diff(cum).astype(float), cum.astype(float)
+    group_first = np.flatnonzero(np.diff(share, prepend=0))  # ids of equal shares one after another
+    group_low, group_share = cum.take(group_first), share.take(group_first)
     counts = np.tile(_START, (lanes, 1, 1))
     class2, class1 = _classes(_STEPS2, longest) * len(_STEPS1), _classes(_STEPS1, longest)
 
     def settle(ready: np.ndarray) -> None:
         while len(ready):
             where, y = at.take(ready), size.take(ready) * _WORD
-            # (The remainder and the bound are for damaged words alone.)
-            code[ready] = np.fmod(code.take(ready) * _WORD, _FULL) + data.take(np.minimum(where, last.take(ready)))
+            # (The bounds are for damaged words alone.)
+            code[ready] = np.minimum(code.take(ready) * _WORD, _FULL - _WORD) + data.take(np.minimum(where, last.take(ready)))
             size[ready], at[ready] = y, where + 1
             ready = ready[y < _LEAST]
 
     def from_file(some: np.ndarray) -> np.ndarray:
         r = np.floor(size.take(some) / total)
-        x = np.searchsorted(cum, np.minimum(np.floor(code.take(some) / r), total - 1), "right") - 1
+        v = np.minimum(np.floor(code.take(some) / r), total - 1)
+        group = np.searchsorted(group_low, v, "right") - 1
+        x = group_first.take(group) + ((v - group_low.take(group)) / group_share.take(group)).astype(np.int64)
         code[some] -= cum.take(x) * r
         r *= share.take(x)
         size[some] = r
@@ -292,30 +301,35 @@ def decode_blocks(words: list[np.ndarray], n: np.ndarray, cum: np.ndarray) -> np
                 ids[t, : len(lane)] = from_file(lane)
             continue
         table = _History(np.ascontiguousarray(ids[:a].T), bits)
-        weights = _weights(counts)
-        row, first = lane * a, lane * table.entries
-        _, s1, e1, s2, e2, _, _ = table.found(row + a - 1)
+        begins, widths = _weights(counts)
+        row, first, kinds = lane * a, lane * table.entries, lane * _CLASSES
+        _, known = table.found(row + a - 1)
         seen = []
         for t in range(a, b):
             if t == longest - 1:
                 trimmed()
-                row, first, s1, e1, s2, e2 = (z[: len(lane)] for z in (row, first, s1, e1, s2, e2))
-            n1, n2 = e1 - s1, e2 - s2
-            kind = lane * _CLASSES + (class2.take(n2.astype(np.int64)) + class1.take(n1.astype(np.int64)))
-            b1, b0, bf, _ = weights.take(kind, axis=0).T.astype(float, order="C")
+                row, first, kinds, known = row[: len(lane)], first[: len(lane)], kinds[: len(lane)], np.ascontiguousarray(known[:, : len(lane)])
+            live = len(lane)
+            kind = kinds + class2.take((known[6] - known[2]).astype(np.int64)) + class1.take((known[5] - known[1]).astype(np.int64))
+            edges = begins.take(kind, axis=0)
             r = np.floor(size * (1 / _TOP))
             v = np.minimum(np.floor(code / r), _TOP - 1)
-            in2, in1, in0 = v < b1, v < b0, v < bf
-            base = np.where(in2, 0, np.where(in1, b1, np.where(in0, b0, bf)))
-            w = (np.where(in2, b1, np.where(in1, b0, np.where(in0, bf, _TOP))) - base) * (1 / _ONE)
-            begin, some = np.where(in2, s2, np.where(in1, s1, 0)), np.where(in2, n2, np.where(in1, n1, table.entries))
+            in2, in1, in0 = v < edges[:, 1], v < edges[:, 2], v < edges[:, 3]
+            higher = in2.view(np.int8) + in1.view(np.int8)
+            kind *= 4
+            kind += 3 - (higher + in0.view(np.int8))
+            base, w = begins.take(kind), widths.take(kind)
+            at_order = higher * np.int64(live) + every[:live]  # of order 0, 1 or 2's row
+            begin = known.take(at_order)
+            some = known.take(at_order + 4 * live) - begin
             place = ((np.floor((v - base) / w) + 1) * some - 1) * (1 / _ONE)  # its whole part
-            y = row + table.order.take(first + (begin + np.floor(place)).astype(np.int64)) + in1 + in2
-            x, s1, e1, s2, e2, s3, e3 = table.found(y)
-            s2 *= in1
-            e2 *= in1
-            low, high = np.where(in2, s3, np.where(in1, s2, s1)) - begin, np.where(in2, e3, np.where(in1, e2, e1)) - begin
+            y = row + table.order.take(first + (begin + np.floor(place)).astype(np.int64)) + higher
+            x, known = table.found(y)
+            at_order += live  # of one id more
+            low, high = known.take(at_order) - begin, known.take(at_order + 4 * live) - begin
             low, high = np.floor(low * _ONE / some), np.floor(high * _ONE / some)
+            known[2] *= in1
+            known[6] *= in1
             new = np.flatnonzero(~in0)
             low[new], high[new] = 0, _ONE
             code -= (base + w * low) * r
@@ -323,9 +337,9 @@ def decode_blocks(words: list[np.ndarray], n: np.ndarray, cum: np.ndarray) -> np
             settle(np.flatnonzero(size < _LEAST))
             if len(new):
                 x[new] = from_file(new)
-                s1[new] = e1[new] = 0
+                known[1, new] = known[5, new] = 0
             ids[t, : len(lane)] = x
-            seen.append(kind * 4 + 3 - in0 - in1 - in2)
+            seen.append(kind)
         counts += np.bincount(np.concatenate(seen), minlength=counts.size).reshape(counts.shape)
     return ids.T
 
@@ -345,6 +359,11 @@ def _alphabet(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return distinct.astype(np.uint32), rank, (np.frexp(n)[1] - 1).astype(np.uint8)
 
 
+def _by_share(exponents: np.ndarray) -> np.ndarray:
+    """The order in which a file's ids are coded: by falling share, so that one is found by few comparisons."""
+    return np.argsort(-exponents.astype(np.int8), kind="stable")
+
+
 def _running(exponents: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(np.int64(1) << exponents.astype(np.int64))])
 
@@ -359,7 +378,10 @@ def encode_file(doc_ids: np.ndarray, null: np.ndarray, counts: np.ndarray, ids:
     if block_ids > 1 << _SPAN:
         raise ValueError("a block has 2^14 ids at most")
     distinct, rank, exponents = _alphabet(ids)
-    cum = _running(exponents)
+    order = _by_share(exponents)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    rank, cum = place[rank], _running(exponents[order])
     sizes = _sizes(len(ids), -(-len(ids) // block_ids))
     cut = np.concatenate([[0], np.cumsum(sizes)])
     table, payload = [], []
@@ -389,7 +411,9 @@ def decode_file(image: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     docs = zlib.decompress(image[_HEAD.size : at])
     doc_ids, null, counts = np.frombuffer(docs, "<i8", n_docs), np.frombuffer(docs, np.uint8, n_docs, 8 * n_docs).astype(bool), np.frombuffer(docs, "<u8", n_docs, 9 * n_docs).astype(np.int64)
     distinct = np.cumsum(np.frombuffer(docs, "<u4", n_distinct, 17 * n_docs), dtype=np.uint32)
-    cum = _running(np.frombuffer(docs, np.uint8, n_distinct, 17 * n_docs + 4 * n_distinct))
+    exponents = np.frombuffer(docs, np.uint8, n_distinct, 17 * n_docs + 4 * n_distinct)
+    order = _by_share(exponents)
+    distinct, cum = distinct[order], _running(exponents[order])
     table = np.frombuffer(image, "<u4", 2 * n_blocks, at).reshape(-1, 2).astype(np.int64)
     at += 8 * n_blocks
     cut = at + 2 * np.concatenate([[0], np.cumsum(table[:, 0])])

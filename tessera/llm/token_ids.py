@@ -18,6 +18,7 @@ ids come first; other columns are ignored. A damaged file raises Damaged.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import os
 import uuid
@@ -33,30 +34,56 @@ from pyspark.sql import functions as F
 
 from . import id_coder
 from ._session import shared_dir, ship, table
-from ._text import bytes_of, slices
+from ._text import LOWER, bytes_of, slices, spans_hash
 
 END_ID, CACHE, SLICE_BYTES, FILE_IDS = 1, 2_000_000, 8 << 20, id_coder.FILE_IDS
 #: The rules under which words may be encoded one by one (fixed values of the format): white space becomes one space,
 #: case is dropped, and this pattern finds the parts that the model sees.
 _NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 _PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-def _word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Begin and end of each word of lower-case texts: cut at white space, at digits, and before punctuation behind a letter."""
-    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
-    digit, letter = (data >= 48) & (data <= 57), (data >= 97) & (data <= 122)
-    other = inside & (data < 128) & ~digit & ~letter
-    ascii_ = digit | letter | other
-    cut = (digit[:-1] & ascii_[1:]) | (ascii_[:-1] & digit[1:]) | (letter[:-1] & other[1:])
-    first, last = inside.copy(), inside.copy()
-    first[1:] &= ~inside[:-1] | cut
-    last[:-1] &= ~inside[1:] | cut
-    edge = off[:-1][off[:-1] < len(data)]
-    first[edge] = inside[edge]
-    before = edge[edge > 0] - 1
-    last[before] = inside[before]
-    return np.flatnonzero(first), np.flatnonzero(last) + 1
+#: Byte classes of lower-case text. Between two bytes there is a cut where _LEFT of the first meets _RIGHT of the second:
+#: 1 behind a digit, 2 before one, 4 between letter and punctuation, 8 where a word ends at white space, 16 where one begins.
+_SPACE, _LOWER = b" \t\n\v\f\r", bytes(LOWER)
+_BEGINS, _ENDS = 1 | 2 | 4 | 16, 1 | 2 | 4 | 8
+
+
+def _class(space: int, digit: int, letter: int, other: int, more: int) -> bytes:
+    """A table of bytes; more: those of longer characters."""
+    return bytes(space if x in _SPACE else digit if 48 <= x < 58 else letter if 97 <= x < 123 else other if x < 128 else more for x in range(256))
+
+
+_LEFT, _RIGHT = _class(16, 1 | 2 | 8, 2 | 4 | 8, 2 | 8, 8), _class(8, 1 | 2 | 16, 1 | 16, 1 | 4 | 16, 16)
+#: Words of letters alone: of ASCII, and of Latin-1 too (which are composed already).
+_ASCII, _LATIN = r"\A[a-z]+\z", r"\A[a-zÀ-ÖØ-öø-ÿ]+\z"
+
+
+def _word_bounds(whole: bytes, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of each word of lower-case texts: cut at white space, at digits, and before punctuation behind a letter.
+
+    Letters are those of ASCII and, before punctuation and digits, of Latin-1.
+    """
+    if not whole:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    left, right = (np.frombuffer(whole.translate(x), np.uint8) for x in (_LEFT, _RIGHT))
+    cut = left[:-1] & right[1:]
+    data = np.frombuffer(whole, np.uint8)
+    second = np.flatnonzero(data[:-2] == 0xC3) + 1
+    second = second[(data[second] | 0x20) != 0xB7]  # but for the signs of multiplication and division
+    cut[second] = _LEFT[97] & right[second + 1]
+    edge = off[(off > 0) & (off < len(data))]
+    cut[edge - 1] = (left[edge - 1] & 8) | (right[edge] & 16)
+    first, last = np.flatnonzero((cut & _BEGINS) != 0), np.flatnonzero((cut & _ENDS) != 0)
+    return np.concatenate([np.zeros(right[0] >> 4 & 1, np.int64), first + 1]), np.concatenate([last + 1, np.full(left[-1] >> 3 & 1, len(data))])
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    _, off, data = words.buffers()
+    off = np.frombuffer(off, np.int64, len(words) + 1, 8 * words.offset)
+    data = np.frombuffer(data, np.uint8, off[-1]) if data is not None else np.zeros(0, np.uint8)
+    return spans_hash(data.astype(np.uint64) + np.uint64(1), off[:-1], off[1:])
 
 
 class Encoder:
@@ -72,66 +99,86 @@ class Encoder:
         norm, pre, bpe = rules["normalizer"] or {}, rules["pre_tokenizer"] or {}, rules["model"]
         split = (pre.get("pretokenizers") or [{}])[0]
         special = [x["content"] for x in rules["added_tokens"]]
-        self.by_word = norm.get("normalizers") == _NORMALIZERS and (split.get("pattern"), split.get("behavior"), split.get("invert")) == ({"Regex": _PARTS}, "Removed", True) and bool(bpe.get("end_of_word_suffix"))
+        self.by_word = norm.get("normalizers") == _NORMALIZERS and (split.get("pattern"), split.get("behavior"), split.get("invert")) == ({"Regex": _PARTS}, "Removed", True) and pre["pretokenizers"][1:] == [_BYTES] and bool(bpe.get("end_of_word_suffix"))
         # Where a special token's text occurs, the whole text goes to the library.
         self.special = [x.lower().encode() for x in special if x]
         closing = [i for x, i in self.tokenizer.get_vocab().items() if x.endswith(bpe.get("end_of_word_suffix") or "\0")]
         self.closes = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.closes[closing] = True
+        if self.by_word:  # the same model for lines of such words, which need no pattern (and ASCII's lower-case letters stay as they are)
+            split = {"type": "WhitespaceSplit"}
+            self.ascii = Tokenizer.from_str(json.dumps(rules | {"normalizer": None, "pre_tokenizer": split, "added_tokens": []}))
+            self.latin = Tokenizer.from_str(json.dumps(rules | {"normalizer": {"type": "Lowercase"}, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [split, _BYTES]}, "added_tokens": []}))
         self._forget()
 
     def _forget(self) -> None:
         self.known = pa.array([], pa.large_binary())  # remembered words; the ids of word k are ids[at[k] : at[k] + size[k]]
         self.ids, self.at, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.hash, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # the words' hashes in order, and whose they are
 
-    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.fromiter((i for x in found for i in x), np.uint32), np.array([len(x) for x in found], np.int64)
+    def _library(self, texts: list[str], tokenizer=None) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(itertools.chain.from_iterable(found), np.uint32), np.array([len(x) for x in found], np.int64)
 
-    def _letters(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _letters(self, words: list[str], tokenizer) -> tuple[np.ndarray, np.ndarray]:
         """Words of letters alone are one part each, which the last id of each closes; so a line of them can be told apart."""
-        ids, _ = self._library([b" ".join(words[a : a + 256]).decode() for a in range(0, len(words), 256)])
+        ids, _ = self._library([" ".join(words[a : a + 256]) for a in range(0, len(words), 256)], tokenizer)
         ends = np.flatnonzero(self.closes[ids]) + 1
-        if len(ends) != len(words):
-            return self._library([x.decode() for x in words])
-        return ids, np.diff(ends, prepend=0)
+        return (ids, np.diff(ends, prepend=0)) if len(ends) == len(words) else self._library(words)
 
-    def _learn(self, words: pa.Array) -> np.ndarray:
+    def _find(self, words: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """Where each of some distinct words is, -1 if it isn't known. Words are found by their hashes and compared by their bytes."""
+        out = np.full(len(words), -1, np.int32)
+        if not len(self.hash):
+            return out
+        order = hashes.argsort()  # near ones after one another
+        at = np.minimum(np.searchsorted(self.hash, hashes[order]), len(self.hash) - 1)
+        same = self.hash[at] == hashes[order]
+        order, slot = order[same], self.slot[at[same]]
+        same = pc.equal(words.take(pa.array(order)), self.known.take(pa.array(slot))).to_numpy(zero_copy_only=False)
+        out[order[same]] = slot[same]
+        return out
+
+    def _learn(self, words: pa.Array, hashes: np.ndarray) -> np.ndarray:
         """Remember words, and where each is now."""
-        every, slot = words.to_pylist(), np.empty(len(words), np.int32)
-        letters = np.fromiter((x.isalpha() for x in every), bool, len(every))
-        for which, how in ((np.flatnonzero(letters), self._letters), (np.flatnonzero(~letters), lambda z: self._library([x.decode() for x in z]))):
+        slot, text = np.empty(len(words), np.int32), words.cast(pa.large_string())
+        ascii_, latin = (pc.match_substring_regex(text, x).to_numpy(zero_copy_only=False) for x in (_ASCII, _LATIN))
+        for which, tokenizer in ((np.flatnonzero(ascii_), self.ascii), (np.flatnonzero(latin & ~ascii_), self.latin), (np.flatnonzero(~latin), None)):
             if len(which):
-                ids, size = how([every[i] for i in which])
+                some = text.take(pa.array(which))
+                ids, size = self._letters(some.to_pylist(), tokenizer) if tokenizer else self._library(some.to_pylist())
                 slot[which] = len(self.known) + np.arange(len(which))
-                self.known = pa.concat_arrays([self.known, words.take(pa.array(which))])
+                self.known = pa.concat_arrays([self.known, some.cast(pa.large_binary())])
                 self.at = np.concatenate([self.at, (len(self.ids) + np.cumsum(size) - size).astype(np.int32)])
                 self.size = np.concatenate([self.size, size.astype(np.int32)])
                 self.ids = np.concatenate([self.ids, ids])
+        order = hashes.argsort()
+        at = np.searchsorted(self.hash, hashes[order])
+        self.hash, self.slot = np.insert(self.hash, at, hashes[order]), np.insert(self.slot, at, slot[order])
         return slot
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and how many each text has. Null counts as empty."""
         raw, off = bytes_of(column)
-        data = raw + (((raw >= 65) & (raw <= 90)).view(np.uint8) << 5)
-        whole = data.tobytes()
+        whole = raw.tobytes().translate(_LOWER)
         if not self.by_word or any(x in whole for x in self.special):
             return self._library(["" if x is None else x for x in column.to_pylist()])
-        start, end = _word_bounds(data, off)
+        start, end = _word_bounds(whole, off)
         at = np.concatenate([[0], np.cumsum(end - start)])
-        text = data[~((data == 32) | ((data >= 9) & (data <= 13)))]
+        text = whole.translate(None, _SPACE)
         words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(at), pa.py_buffer(text)]).dictionary_encode()
         distinct = words.dictionary
-        slot = pc.index_in(distinct, value_set=self.known).fill_null(-1).to_numpy().copy()
+        hashes = _hashes(distinct)
+        slot = self._find(distinct, hashes)
         if len(self.known) + (slot < 0).sum() > CACHE:
             self._forget()
             slot[:] = -1
         missing = np.flatnonzero(slot < 0)
-        slot[missing] = self._learn(distinct.take(pa.array(missing)))
+        slot[missing] = self._learn(distinct.take(pa.array(missing)), hashes[missing])
         each = words.indices.to_numpy()
-        size = self.size[slot][each]
+        size = self.size.take(slot).take(each)
         ends = np.concatenate([[0], np.cumsum(size)])
-        from_ = np.repeat(self.at[slot][each] - ends[:-1].astype(np.int32), size)
+        from_ = np.repeat(self.at.take(slot).take(each) - ends[:-1].astype(np.int32), size)
         from_ += np.arange(ends[-1], dtype=np.int32)
         return self.ids.take(from_), np.diff(ends[np.searchsorted(start, off)])
 

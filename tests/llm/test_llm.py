@@ -378,6 +378,39 @@ def test_token_ids(spark, docs, tmp_path, monkeypatch):
         assert ids.tolist() == want[0] + want[1] and n.tolist() == [len(want[0]), 0, len(want[1])]
 
 
+def test_words_are_learned_once_whatever_follows_them(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = token_ids.tokenizer_path()
+    plain = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        encoder = token_ids.Encoder(f.read())
+    library, texts = encoder._library, []
+    monkeypatch.setattr(encoder, "_library", lambda batch, *a: texts.extend(batch) or library(batch, *a))
+    t = ["Né né, né. né! né5 ÿé* und", "né×né ÷ und, über né's"]
+    ids, _ = encoder.encode(pa.array(t))
+    assert ids.tolist() == [i for x in t for i in plain.encode(x, add_special_tokens=False).ids]
+    known = {x.decode() for x in encoder.known.to_pylist()}
+    assert known == {"né", ",", ".", "!", "5", "ÿé", "*", "und", "né×né", "÷", "über", "'s"}
+    assert {"und", "né ÿé über"} <= set(texts)  # words of letters go by lines
+    # Words whose hashes meet are told apart by their bytes.
+    monkeypatch.setattr(token_ids, "_hashes", lambda words: np.zeros(len(words), np.uint64))
+    encoder._forget()
+    for x in ["one two", "two three", "three one two", "one", "two"]:
+        assert encoder.encode(pa.array([x]))[0].tolist() == plain.encode(x, add_special_tokens=False).ids
+
+
+def test_damaged_words_end():
+    r = np.random.default_rng(3)
+    cum = np.concatenate([[0], np.cumsum(1 << r.integers(0, 6, 500))])  # shares in no order
+    ids, n = r.integers(0, 40, (6, 1500)), np.full(6, 1500)
+    words = id_coder.encode_blocks(ids, n, cum)
+    assert np.array_equal(id_coder.decode_blocks(words, n, cum), ids)
+    for w in words:
+        w[r.integers(0, len(w), 30)] = r.integers(0, 1 << 16, 30)
+    assert id_coder.decode_blocks(words, n, cum).shape == ids.shape
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 2048, 2049, 5000])
 def test_id_coder(n):
     r = np.random.default_rng(n)
