@@ -3,7 +3,7 @@
 Texts are encoded with the tokenizers library. Where the tokenizer's rules (read from its file) cut at white space,
 before punctuation and around digits, and keep no case, a text's ids are those of its words one after another; then the
 words of a slice are told apart by Arrow, each distinct one is encoded once and remembered (a cache of bounded size,
-kept by the Python worker over its tasks). A test holds this against encoding whole texts. Other
+kept by the Python worker over its tasks). Words of letters alone are encoded by lines, without the pattern. A test holds this against encoding whole texts. Other
 tokenizers get whole texts. Each document ends with END_ID.
 
 Rows are range-partitioned by doc_id (ties by a hash of the text, so that one repeated id can spread) and
@@ -92,7 +92,7 @@ class Encoder:
     def __init__(self, model: str) -> None:
         """model: the tokenizer's JSON."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(model)
         rules = json.loads(model)
@@ -106,9 +106,9 @@ class Encoder:
         self.closes = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.closes[closing] = True
         if self.by_word:  # the same model for lines of such words, which need no pattern (and ASCII's lower-case letters stay as they are)
-            split = {"type": "WhitespaceSplit"}
-            self.ascii = Tokenizer.from_str(json.dumps(rules | {"normalizer": None, "pre_tokenizer": split, "added_tokens": []}))
-            self.latin = Tokenizer.from_str(json.dumps(rules | {"normalizer": {"type": "Lowercase"}, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [split, _BYTES]}, "added_tokens": []}))
+            self.ascii, self.latin, split = Tokenizer(self.tokenizer.model), Tokenizer(self.tokenizer.model), pre_tokenizers.WhitespaceSplit()
+            self.ascii.pre_tokenizer, self.latin.normalizer = split, normalizers.Lowercase()
+            self.latin.pre_tokenizer = pre_tokenizers.Sequence([split, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self._forget()
 
     def _forget(self) -> None:
