@@ -36,9 +36,12 @@ def _stars(edges: DataFrame) -> bool:
     return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out + into > 1 AND out > 0").isEmpty()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """edges: u, v. Rows (u, v): each node that isn't its component's least, and that least node."""
-    edges = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+def components(edges: DataFrame, plain: bool = False) -> DataFrame:
+    """edges: u, v. Rows (u, v): each node that isn't its component's least, and that least node.
+
+    plain: edges are rows of written tables with u > v, few of them twice, and needn't be written again.
+    """
+    edges = edges if plain else written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     while not _stars(edges):
         edges = _small(_large(edges))
     return edges

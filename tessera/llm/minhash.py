@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import _text as X
 from ._components import components
-from ._session import discard, ship, table, written
+from ._session import ship, table, written
 
 SHINGLE, BANDS, ROWS, LEAST, BLOCK_WEIGHT, HUB_ROUNDS = 5, 24, 4, 0.8, 200_000, 1
 
@@ -115,7 +115,7 @@ def _sign(bands: int, rows: int):
 
 
 def _bag_rows():
-    """(doc, text) to (doc, bag): sorted ids, where copies of a shingle have an id each, so that overlap counts them."""
+    """(doc, t1, t2, bands, text) to (doc, t1, t2, bands, bag): sorted ids, where copies of a shingle have an id each, so that overlap counts them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in X.slices(batches):
@@ -125,7 +125,8 @@ def _bag_rows():
             ids, d = np.where(copy > 0, X.mix(h[at] + copy.astype(np.uint64), 9), h[at]), doc[at]
             order = np.lexsort((ids, d))
             cut = np.searchsorted(d[order], np.arange(part.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column("doc"), pa.ListArray.from_arrays(pa.array(cut), pa.array(ids[order].view(np.int64)))], names=["doc", "bag"])
+            lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(ids[order].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc", "t1", "t2", "bands")), lists], names=["doc", "t1", "t2", "bands", "bag"])
 
     return run
 
@@ -185,24 +186,24 @@ def _compare(least: float):
     return run
 
 
-def _parts(exploded: DataFrame, found: DataFrame) -> DataFrame:
+def _parts(exploded: DataFrame, found: DataFrame, *more: str) -> DataFrame:
     """Rows of buckets with the component each text has so far."""
     told = exploded.join(found.select(F.col("u").alias("doc"), F.col("v").alias("to")), "doc", "left")
-    return told.select("key", "band", "doc", "weight", F.coalesce("to", "doc").alias("part"))
+    return told.select("key", "band", "doc", "weight", F.coalesce("to", "doc").alias("part"), *more)
 
 
-def _hub_pairs(exploded: DataFrame, found: DataFrame, links: DataFrame, used: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+def _hub_pairs(exploded: DataFrame, found: DataFrame, links: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """In each open bucket, the text with most links so far (not tried there yet) against all that aren't with it; and these texts."""
     degree = links.select(F.explode(F.array("u", "v")).alias("doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("degree"))
-    told = _parts(exploded, found).join(degree, "doc", "left").join(used.withColumn("tried", F.lit(True)), ["key", "band", "doc"], "left")
+    told = _parts(exploded, found, "tried").join(degree, "doc", "left")
     told = written(told.withColumn("score", F.when(F.col("tried"), None).otherwise(F.coalesce("degree", F.lit(0)))).drop("tried", "degree"), "hub-rows")
     hubs = told.groupBy("key", "band").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high"), F.max(F.when(F.col("score").isNotNull(), F.struct("score", (-F.col("doc")).alias("id"), "part", "weight"))).alias("hub"))
     hubs = written(hubs.where("n > 2 AND low < high AND hub IS NOT NULL").select("key", "band", (-F.col("hub.id")).alias("at"), F.col("hub.part").alias("hub_part"), F.col("hub.weight").alias("hub_weight")), "hubs")
     pairs = told.join(hubs, ["key", "band"]).where("part <> hub_part").where(F.least("weight", "hub_weight") >= least * F.greatest("weight", "hub_weight"))
-    return pairs.select(F.greatest("doc", "at").alias("u"), F.least("doc", "at").alias("v")).distinct(), hubs.select("key", "band", F.col("at").alias("doc"))
+    return pairs.groupBy(F.greatest("doc", "at").alias("u"), F.least("doc", "at").alias("v")).agg(F.min("at").alias("hub")), hubs.select("key", "band", "at")
 
 
-def _rest(exploded: DataFrame, found: DataFrame, bag_of, least: float, block_weight: int) -> DataFrame:
+def _rest(exploded: DataFrame, found: DataFrame, bag: DataFrame, least: float, block_weight: int) -> DataFrame:
     """Links between parts of buckets (of three texts or more) that aren't connected yet."""
     told = _parts(exploded, found)
     size = told.groupBy("key", "band").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high"), F.min_by("part", "doc").alias("main"), F.sum("weight").alias("mass"))
@@ -215,58 +216,58 @@ def _rest(exploded: DataFrame, found: DataFrame, bag_of, least: float, block_wei
     mine = rows.select("key", "band", "doc", "part", query.alias("query"), cut.alias("c"), F.explode(cuts).alias("x"))
     asked = mine.where("query").select("key", "band", "doc", "part", "query", F.col("c").alias("q"), F.col("x").alias("t"), (F.col("c") == F.col("x")).alias("target"))
     held = mine.where("NOT (query AND c = x)").select("key", "band", "doc", "part", "query", F.col("x").alias("q"), F.col("c").alias("t"), F.lit(True).alias("target"))
-    work = written(asked.withColumn("asks", F.lit(True)).unionByName(held.withColumn("asks", F.lit(False))), "blocks")
-    return bag_of(work).groupBy("key", "band", "q", "t").applyInArrow(_compare(least), "u long, v long")
+    work = asked.withColumn("asks", F.lit(True)).unionByName(held.withColumn("asks", F.lit(False)))
+    return work.join(bag, "doc").groupBy("key", "band", "q", "t").applyInArrow(_compare(least), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int = ROWS, block_weight: int = BLOCK_WEIGHT) -> DataFrame:
     """docs: doc_id (an integer), text. One row (doc_id, class_id; t1, t2: hashes of the text; classed: has words) for each row."""
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
-    signed = written(docs.where("doc_id IS NOT NULL").mapInArrow(_sign(bands, rows), "doc_id long, t1 long, t2 long, weight long, bands array<long>"), "signed")
-    texts = written(signed.groupBy("t1", "t2").agg(F.min("doc_id").alias("doc")), "texts")
-    mine = written(signed.join(texts.select("t1", "t2", F.col("doc").alias("doc_id")), ["t1", "t2", "doc_id"]).dropDuplicates(["t1", "t2"]).select(F.col("doc_id").alias("doc"), "t1", "t2", "weight", "bands"), "mine")
-    discard(signed)
+    signed = docs.where("doc_id IS NOT NULL").mapInArrow(_sign(bands, rows), "doc_id long, t1 long, t2 long, weight long, bands array<long>")
+    # Equal texts have equal bands, so the least of each is theirs; numbers one by one are aggregated without a sort.
+    each = [F.min(F.col("bands")[i]).alias(f"b{i}") for i in range(bands)]
+    mine = signed.groupBy("t1", "t2").agg(F.min("doc_id").alias("doc"), F.min("weight").alias("weight"), *each)
+    mine = written(mine.select("doc", "t1", "t2", "weight", F.array(*(f"b{i}" for i in range(bands))).alias("bands")), "mine")
     exploded = mine.select("doc", "weight", F.posexplode("bands").alias("band", "key"))
     low = written(exploded.groupBy("key", "band").agg(F.min(F.struct("doc", "weight")).alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "band", "pivot"), "pivots")
     ratio = F.least("weight", "pivot.weight") >= least * F.greatest("weight", "pivot.weight")
     # Used often from here on, so it is shuffled once and written; texts alone in their buckets are out of it.
     in_bucket = written(exploded.join(low, ["key", "band"]), "crowded")
     pairs = written(in_bucket.where(F.col("doc") != F.col("pivot.doc")).where(ratio).select(F.col("doc").alias("u"), F.col("pivot.doc").alias("v")).distinct(), "pairs")
-    # Bags of texts in any bucket of two or more.
-    crowd = written(in_bucket.select("doc").distinct(), "crowd")
-    wanted = docs.select(F.col("doc_id").alias("doc"), "text", "t1", "t2").join(mine.join(crowd, "doc", "left_semi").select("doc", "t1", "t2").hint("shuffle_hash"), ["doc", "t1", "t2"], "left_semi")
-    bag = written(wanted.select("doc", "text").mapInArrow(_bag_rows(), "doc long, bag array<long>").dropDuplicates(["doc"]), "bags")
+    # Bags of texts in any bucket of two or more; a text that a row repeats has one.
+    crowd = mine.join(in_bucket.select("doc").distinct(), "doc", "left_semi").select("doc", "t1", "t2", "bands")
+    wanted = docs.select(F.col("doc_id").alias("doc"), "text", "t1", "t2").join(crowd.hint("shuffle_hash"), ["doc", "t1", "t2"])
+    bag = wanted.select("doc", "t1", "t2", "bands", "text").mapInArrow(_bag_rows(), "doc long, t1 long, t2 long, bands array<long>, bag array<long>")
+    bag = written(bag.dropDuplicates(["doc", "t1", "t2"]).select("doc", "bands", "bag"), "bags")
+
     def verified(some: DataFrame) -> DataFrame:
-        with_u = some.join(bag.select(F.col("doc").alias("u"), "bag"), "u")
-        both = with_u.join(bag.select(F.col("doc").alias("v"), F.col("bag").alias("bag2")), "v").select("u", "v", "bag", "bag2")
+        """some: u, v and which of them is the hub, that many rows may share. It is joined first, while rows are ids alone: then no shuffle of bags is uneven."""
+        some = some.select("u", "v", "hub", F.when(F.col("hub") == F.col("u"), F.col("v")).otherwise(F.col("u")).alias("doc"))
+        with_hub = some.join(bag.select(F.col("doc").alias("hub"), F.col("bag").alias("bag2")), "hub")
+        both = with_hub.join(bag.select("doc", "bag"), "doc").select("u", "v", "bag", "bag2")
         return written(both.mapInArrow(_verify(least), "u long, v long"), "links")
 
-    links = verified(pairs)
-    found = components(links)
-    crowded = in_bucket.select("key", "band", "doc", "weight")
-    used, tested = low.select("key", "band", F.col("pivot.doc").alias("doc")), pairs
+    links = verified(pairs.withColumn("hub", F.col("v")))
+    found = components(links, plain=True)
+    crowded = in_bucket.select("key", "band", "doc", "weight", (F.col("doc") == F.col("pivot.doc")).alias("tried"))
+    untried, tested = crowded, pairs
     for _ in range(HUB_ROUNDS):
-        some, hubs = _hub_pairs(crowded, found, links, used, least)
-        some = written(some.join(tested, ["u", "v"], "left_anti"), "hub-pairs")
+        some, hubs = _hub_pairs(untried, found, links, least)
+        some = some.join(tested, ["u", "v"], "left_anti")
         more = verified(some)
         if more.isEmpty():
             break
-        links, used, tested = links.unionByName(more), used.unionByName(hubs), tested.unionByName(some)
-        found = components(found.unionByName(more))
-
-    both = written(bag.join(mine.select("doc", "bands"), "doc"), "bags-and-bands")
-    discard(bag)
-
-    def with_bags(work: DataFrame) -> DataFrame:
-        return work.join(both, "doc")
+        untried = untried.join(hubs, ["key", "band"], "left").withColumn("tried", F.col("tried") | F.coalesce(F.col("doc") == F.col("at"), F.lit(False))).drop("at")
+        links, tested = links.unionByName(more), tested.unionByName(some.select("u", "v"))
+        found = components(found.unionByName(more), plain=True)
 
-    more = written(_rest(crowded, found, with_bags, least, block_weight), "more-links")
+    more = written(_rest(crowded, found, bag, least, block_weight), "more-links")
     if not more.isEmpty():
-        found = components(found.unionByName(more))
-    class_of = texts.join(found.select(F.col("u").alias("doc"), "v"), "doc", "left").select("t1", "t2", F.coalesce("v", "doc").alias("class_id"))
-    # Texts without words aren't in `texts`.
-    told = docs.select("doc_id", "t1", "t2").join(written(class_of, "classes"), ["t1", "t2"], "left")
+        found = components(found.unionByName(more), plain=True)
+    class_of = mine.join(found.select(F.col("u").alias("doc"), "v"), "doc", "left").select("t1", "t2", F.coalesce("v", "doc").alias("class_id"))
+    # Texts without words aren't in `mine`.
+    told = docs.select("doc_id", "t1", "t2").join(class_of, ["t1", "t2"], "left")
     return told.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), "t1", "t2", F.col("class_id").isNotNull().alias("classed"))
 
 

@@ -161,6 +161,20 @@ def test_minhash(docs, monkeypatch):
     assert {r[0]: r[1] for r in minhash.near_duplicates(docs, block_weight=300).collect()} == want
 
 
+def test_minhash_writes_few_steps(docs, monkeypatch):
+    names, real = [], minhash.written
+    monkeypatch.setattr(minhash, "written", lambda df, name="step": names.append(name) or real(df, name))
+    minhash.near_duplicates(docs).count()
+    assert len(names) <= 13
+
+
+def test_minhash_compares_each_text_of_a_repeated_id(spark):
+    a, b = ([f"{x}{i}" for i in range(120)] for x in "ab")
+    rows = [(5, a), (5, b), (8, a[:119]), (9, b[:119])]
+    got = minhash.near_duplicates(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string"))
+    assert sorted((r[0], r[1]) for r in got.collect()) == [(5, 5), (5, 5), (8, 5), (9, 5)]
+
+
 def test_bagminhash_estimates_weighted_jaccard():
     r = np.random.default_rng(0)
     h = np.sort(r.integers(0, 1 << 62, 400, dtype=np.uint64))
