@@ -120,11 +120,13 @@ class Encoder:
         found = [e.ids for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
         return np.fromiter(itertools.chain.from_iterable(found), np.uint32), np.array([len(x) for x in found], np.int64)
 
-    def _letters(self, words: list[str], tokenizer) -> tuple[np.ndarray, np.ndarray]:
+    def _letters(self, words: pa.Array, tokenizer) -> tuple[np.ndarray, np.ndarray]:
         """Words of letters alone are one part each, which the last id of each closes; so a line of them can be told apart."""
-        ids, _ = self._library([" ".join(words[a : a + 256]) for a in range(0, len(words), 256)], tokenizer)
+        at = np.append(np.arange(0, len(words), 256), len(words))
+        lines = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(at), words), pa.scalar(" ", pa.large_string()))
+        ids, _ = self._library(lines.to_pylist(), tokenizer)
         ends = np.flatnonzero(self.closes[ids]) + 1
-        return (ids, np.diff(ends, prepend=0)) if len(ends) == len(words) else self._library(words)
+        return (ids, np.diff(ends, prepend=0)) if len(ends) == len(words) else self._library(words.to_pylist())
 
     def _find(self, words: pa.Array, hashes: np.ndarray) -> np.ndarray:
         """Where each of some distinct words is, -1 if it isn't known. Words are found by their hashes and compared by their bytes."""
@@ -146,7 +148,7 @@ class Encoder:
         for which, tokenizer in ((np.flatnonzero(ascii_), self.ascii), (np.flatnonzero(latin & ~ascii_), self.latin), (np.flatnonzero(~latin), None)):
             if len(which):
                 some = text.take(pa.array(which))
-                ids, size = self._letters(some.to_pylist(), tokenizer) if tokenizer else self._library(some.to_pylist())
+                ids, size = self._letters(some, tokenizer) if tokenizer else self._library(some.to_pylist())
                 slot[which] = len(self.known) + np.arange(len(which))
                 self.known = pa.concat_arrays([self.known, some.cast(pa.large_binary())])
                 self.at = np.concatenate([self.at, (len(self.ids) + np.cumsum(size) - size).astype(np.int32)])

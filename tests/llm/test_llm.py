@@ -558,6 +558,16 @@ def test_short_quotes_link(spark):
     assert got[1, 2] == (0, None, None, 1)
 
 
+def test_lines_of_words_are_made_in_arrow():
+    with open(token_ids.tokenizer_path(), encoding="utf-8") as f:
+        encoder = token_ids.Encoder(f.read())
+    words = [f"{'abcdefghij'[i % 10] * (i % 7 + 1)}{'xyz'[i % 3]}" for i in range(600)]  # two whole lines and a part
+    for n in (1, 256, 257, 600):
+        ids, size = encoder._letters(pa.array(words[:n], pa.large_string()), encoder.ascii)
+        want = [e.ids for e in encoder.tokenizer.encode_batch(words[:n], add_special_tokens=False)]
+        assert size.tolist() == [len(x) for x in want] and ids.tolist() == [y for x in want for y in x]
+
+
 def test_empty_tables(spark, docs, tmp_path):
     none = docs.limit(0)
     assert substring.substring_dedup(none).count() == 0
